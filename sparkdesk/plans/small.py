@@ -1,0 +1,21 @@
+"""Broadcasting behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Whether ``df`` holds at most ``max_rows`` rows; reads one more than that at most."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast when it is small.
+
+    A larger side is returned unmarked, so the join shuffles and adaptive
+    execution splits its skewed partitions.
+    """
+    return F.broadcast(df) if is_small(df, max_rows) else df
