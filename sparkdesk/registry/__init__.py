@@ -6,7 +6,7 @@ import importlib
 
 from sparkdesk.registry.core import ORACLES, QUERIES
 
-_MODULES = ["usage"]
+_MODULES = ["usage", "text", "conversations"]
 
 
 def _load() -> None:
