@@ -6,7 +6,7 @@ import importlib
 
 from sparkdesk.registry.core import ORACLES, QUERIES
 
-_MODULES = ["usage", "text", "conversations"]
+_MODULES = ["usage", "text", "conversations", "pages"]
 
 
 def _load() -> None:
