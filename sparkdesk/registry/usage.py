@@ -149,12 +149,13 @@ SELECT event_id, version, before_first,
 )
 def price_as_of(spark, sf_dir):
     rates, fx = P.current_price_list(spark)
-    values = ",".join(f"({i}L, DATE '{d}', CAST({f} AS DOUBLE))" for i, (d, f) in enumerate(REVISIONS))
-    revisions = spark.sql(f"SELECT * FROM VALUES {values} AS v(version, collected, factor)")
-    scaled = rates.crossJoin(revisions)  # two constant tables: a dozen rates by three revisions
+    values = ",".join(f"({i}L, DATE '{d}')" for i, (d, _) in enumerate(REVISIONS))
+    revisions = spark.sql(f"SELECT * FROM VALUES {values} AS v(version, collected)")
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("version"), F.lit(f).alias("factor")) for i, (_, f) in enumerate(REVISIONS)])
+    scaled = rates.select("*", F.inline(each))
     for c in ("input_per_mtok", "output_per_mtok", "per_unit"):
         scaled = scaled.withColumn(c, F.col(c) * F.col("factor"))
-    history = U.price_history(scaled.drop("collected", "factor"), revisions.drop("factor"))
+    history = U.price_history(scaled.drop("factor"), revisions)
     return U.priced_as_of(usage_events(spark, sf_dir), history, fx).select(
         "event_id", "version", "before_first", F.round("cost", 10).alias("cost")
     )
