@@ -53,7 +53,7 @@ def checks(a: Column, text: Column) -> Column:
     absent = F.filter(a["containsAll"], lambda s: ~F.contains(text, s))
     present = F.filter(a["notContains"], lambda s: F.contains(text, s))
     any_hit = F.exists(a["containsAny"], lambda s: F.contains(text, s))
-    regex_ok = text.rlike(a["regex"])
+    regex_ok = F.rlike(text, a["regex"])
     lines, words, numbered = line_count(text), word_count(text), numbered_items(text)
     lo, hi = a["words"]["min"], a["words"]["max"]
 

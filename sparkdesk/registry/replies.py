@@ -23,10 +23,10 @@ SELECT request_id, coalesce(string_agg(token, '' ORDER BY seq) FILTER (kept AND
 
 @query("assembled_replies_t2", DUCK_REPLIES.replace("{cap}", str(R.MAX_REPLY_BYTES)))
 def assembled_replies(spark, sf_dir):
-    return R.assemble(R.decode(reply_lines(spark, sf_dir)))
+    return R.assemble(reply_lines(spark, sf_dir))
 
 
 @query("capped_replies_t2", DUCK_REPLIES.replace("{cap}", str(_CAP)))
 def capped_replies(spark, sf_dir):
     """The same with a cap that most replies reach."""
-    return R.assemble(R.decode(reply_lines(spark, sf_dir)), max_bytes=_CAP)
+    return R.assemble(reply_lines(spark, sf_dir), max_bytes=_CAP)
