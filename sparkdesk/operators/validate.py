@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.plans.prices import KNOWN_CURRENCIES, MAX_PLAUSIBLE_RATE
+from sparkdesk.operators.markdown import lines
 from sparkdesk.operators.web import address_problem
+from sparkdesk.sources.conversations import CONVERSATION_SCHEMA, CURRENT_SCHEMA
 from sparkdesk.sources.prices import exchange, rates
 
 
@@ -48,3 +50,92 @@ def price_table_problems(tables: DataFrame, current_collected: str) -> DataFrame
     for other in reports[1:]:
         out = out.unionByName(other)
     return out
+
+
+ROLES = ["user", "assistant", "system"]
+MAX_MESSAGES = 20_000
+
+
+def import_problems(files: DataFrame, max_messages: int = MAX_MESSAGES) -> DataFrame:
+    """(file_id, rule) for each reason a conversation file (file_id, json) is refused."""
+    v = F.try_parse_json("json")
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    listed = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.messages", "variant")).startswith("ARRAY"), F.lit(False))
+    c = F.col("c")
+    messages = F.coalesce(c["messages"], F.array())
+    parsed = files.withColumns({"is_object": is_object, "listed": listed}).withColumn("c", F.from_json("json", CONVERSATION_SCHEMA))
+
+    def any_message(test) -> Column:
+        return F.coalesce(F.exists(messages, test), F.lit(False))
+
+    remote = any_message(lambda m: F.exists(
+        F.coalesce(m["attachments"], F.array()),
+        lambda a: (a["kind"] == "image") & ~F.coalesce(a["dataUrl"].startswith("data:image/"), F.lit(False)),
+    ))
+    shows = any_message(lambda m: (F.coalesce(m["text"], F.lit("")) != "") | (F.size(F.coalesce(m["attachments"], F.array())) > 0))
+    api = any_message(lambda m: m["content"].isNotNull())
+    usable = F.col("is_object") & F.col("listed")
+    rules = F.array_compact(F.array(
+        F.when(~F.col("is_object"), "not a conversation"),
+        F.when(F.col("is_object") & ~F.col("listed"), "no messages"),
+        F.when(F.coalesce(c["schema"], F.lit(CURRENT_SCHEMA)) > CURRENT_SCHEMA, "newer schema"),
+        F.when(usable & (F.size(messages) > max_messages), "too many messages"),
+        F.when(usable & any_message(lambda m: m["role"].isNull()), "no sender"),
+        F.when(usable & any_message(lambda m: ~m["role"].isin(ROLES)), "unknown sender"),
+        F.when(usable & remote, "image not inline"),
+        F.when(usable & ~shows & api, "content instead of text"),
+        F.when(usable & ~shows & ~api, "nothing to show"),
+    ))
+    return parsed.select("file_id", F.explode(rules).alias("rule"))
+
+
+_SEPARATOR = r"^\|[\s|:-]+\|$"
+
+
+def broken_tables(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no, separators): table rows after a blank line below a
+    table, which render as text; ``separators`` counts the tables above."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    rows = lines(documents).withColumn("row", F.col("line").startswith("|")).withColumn(
+        "separator", F.col("line").rlike(_SEPARATOR) & F.coalesce(F.lag("row").over(w), F.lit(False))
+    )
+    # separators so far, and how many there were when the run of rows began
+    counted = rows.withColumn("seen", F.sum(F.col("separator").cast("long")).over(w)).withColumn(
+        "at_start", F.coalesce(F.max(F.when(~F.col("row"), F.col("seen"))).over(w), F.lit(0))
+    )
+    said = counted.where("line <> ''")
+    return said.withColumns({
+        "above": F.lag(F.struct("row", "line_no", "seen", "at_start")).over(w),
+    }).where("row AND above.row AND line_no - above.line_no > 1 AND above.seen > above.at_start").select(
+        "doc_id", (F.col("line_no") + 1).alias("line_no"), (F.col("above.seen") - F.col("above.at_start")).alias("separators")
+    )
+
+
+def marker_patterns(references: list[str], withheld: list[str]) -> list[tuple[str, str]]:
+    """(rule, pattern) pairs: notes to the author, draft banners, headings for
+    maintainers, references that must not ship, links to withheld names."""
+    quote = lambda s: "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
+    patterns = [
+        ("placeholder", r"\[(?!\s*[xX ]?\s*\])(?!(?:GAP|FAQ|PLACEHOLDER)\])[A-Z][^\]\n]{4,}\](?!\()"),
+        ("draft banner", r"(?i)^#\s.*\boutline\b|^\*\*Status:.*\b(?:outline|draft|not yet (?:a )?publish)"),
+        ("maintainer heading", r"(?i)^#{1,6}\s.*\b(?:reviewer|checklist|for review|internal|todo)\b"),
+    ]
+    patterns += [("reference", quote(r)) for r in references]
+    if withheld:
+        names = "|".join(quote(n) for n in withheld)
+        patterns.append(("withheld link", rf"\[[^\]]+\]\((?:[^)]*/)?(?:{names})(?:#[^)]*)?\)"))
+    return patterns
+
+
+def _marked(rule: str):
+    return lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("found"))
+
+
+def text_markers(documents: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(doc_id, line_no, rule, found) for every match of every pattern, in one pass over the lines."""
+    raw = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    found = F.concat(*[
+        F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), _marked(rule))
+        for rule, p in patterns
+    ])
+    return raw.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.inline(found))

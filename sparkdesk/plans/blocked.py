@@ -48,24 +48,26 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    block: Column,
+    block: Column | str,
     scans: Sequence[Scan],
 ) -> DataFrame:
     """Add the ``scans`` columns, evaluated per key in ``order``.
 
     Keys are never null; ``block`` must not decrease along ``order`` in a key. ``max`` and
     ``min`` take structs, so ``max(struct(position, value))`` over the rows
-    before is a lag, or a carried-forward value.
+    before is a lag, or a carried-forward value. Scans that share a ``block``
+    column, given by name, share its partitioning.
     """
     values = {s.name: f"__v_{s.name}" for s in scans}
-    wide = df.withColumn(_BLOCK, block)
+    by = block if isinstance(block, str) else _BLOCK
+    wide = df if isinstance(block, str) else df.withColumn(by, block)
     for s in scans:
         wide = wide.withColumn(values[s.name], s.value)
 
-    summary = wide.groupBy(*keys, _BLOCK).agg(
+    summary = wide.groupBy(*keys, by).agg(
         *[_AGG[s.kind](values[s.name]).alias(f"__s_{s.name}") for s in scans]
     )
-    per_key = Window.partitionBy(*keys).orderBy(_BLOCK)
+    per_key = Window.partitionBy(*keys).orderBy(by)
     past = per_key.rowsBetween(Window.unboundedPreceding, -1)
     future = per_key.rowsBetween(1, Window.unboundedFollowing)
     combine = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
@@ -80,11 +82,11 @@ def scan(
             offsets.append(combine[s.kind](partial).over(Window.partitionBy(*keys)))
     summary = summary.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(_BLOCK).alias("__kb"),
+        F.col(by).alias("__kb"),
         *[o.alias(f"__o_{s.name}") for s, o in zip(scans, offsets)],
     )
 
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    inside = Window.partitionBy(*keys, by).orderBy(*order)
     frames = {
         "before": inside.rowsBetween(Window.unboundedPreceding, -1),
         "upto": inside.rowsBetween(Window.unboundedPreceding, Window.currentRow),
@@ -97,7 +99,7 @@ def scan(
             local = local.withColumn(f"__l_{s.name}", _AGG[s.kind](values[s.name]).over(frames[s.frame]))
 
     on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
-    joined = local.join(summary, on + [F.col(_BLOCK) == F.col("__kb")], "left")
+    joined = local.join(summary, on + [F.col(by) == F.col("__kb")], "left")
     out = []
     for s in scans:
         if s.frame == "total":
