@@ -1,21 +1,20 @@
 """Recognised text fragments of a page, put into reading order.
 
 Fragments are (page_id, min_y, max_y, min_x, max_x, text), the origin being at
-the bottom left.
+the bottom left. A page's text ends as one value, which bounds what is gathered
+per page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.functions.text import trimmed
-from sparkdesk.plans.blocked import Scan, scan
 
 GUTTER_MIN_WIDTH = 0.12
 GUTTER_MIN_ROWS = 3
 TOLERANCE = GUTTER_MIN_WIDTH / 2
 MANY_COLUMNS = "it is laid out in more than one column, which this app cannot read in the right order yet"
-_BANDS = 64
 
 
 def line_pieces(fragments: DataFrame) -> DataFrame:
@@ -26,14 +25,12 @@ def line_pieces(fragments: DataFrame) -> DataFrame:
     the top down. A fragment that lies below everything before it can join
     nothing: there the page is cut into clusters (a running minimum finds the
     cuts), and the fold runs in each cluster on its own.
+    Everything is per page, and shares one shuffle of the fragments.
     """
-    order = [F.desc("max_y"), F.asc("min_x"), F.asc("min_y"), F.asc("text")]
-    banded = fragments.withColumn("band", F.floor(-F.col("max_y") * _BANDS).cast("long"))
-    lowest = scan(banded, ["page_id"], order, "band", [Scan("lowest", "min", F.col("min_y"), "before")])
+    w = Window.partitionBy("page_id").orderBy(F.desc("max_y"), F.asc("min_x"), F.asc("min_y"), F.asc("text"))
+    lowest = F.min("min_y").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.col("lowest").isNull() | (F.col("max_y") <= F.col("lowest"))
-    clustered = scan(
-        lowest.withColumn("cut", cut), ["page_id"], order, "band", [Scan("cluster", "count", F.when(F.col("cut"), 1), "upto")]
-    )
+    clustered = fragments.withColumn("lowest", lowest).withColumn("cluster", F.count_if(cut).over(w))
     item = F.struct((-F.col("max_y")).alias("top_down"), "min_x", "min_y", "text", "max_x", "max_y")
     grouped = clustered.groupBy("page_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(
@@ -71,8 +68,8 @@ def text_lines(pieces: DataFrame) -> DataFrame:
         F.transform(
             F.sequence(F.lit(2), F.size("items")),
             lambda i: F.struct(
-                F.element_at("items", i - 1)["max_x"].alias("left"),
-                (F.element_at("items", i)["min_x"] - F.element_at("items", i - 1)["max_x"]).alias("gap"),
+                F.get("items", i - 2)["max_x"].alias("left"),
+                (F.get("items", i - 1)["min_x"] - F.get("items", i - 2)["max_x"]).alias("gap"),
             ),
         ),
         lambda g: g["gap"] >= GUTTER_MIN_WIDTH,
@@ -107,15 +104,19 @@ def gutters(gaps: DataFrame, tolerance: float = TOLERANCE, at_least: int = GUTTE
 
 def reading_order(fragments: DataFrame) -> DataFrame:
     """(page_id, text, error): the page's lines from the top down; a page in
-    columns is refused, because it would be read across instead of down."""
-    rows = text_lines(line_pieces(fragments))
-    columns = gutters(rows.select("page_id", F.explode("gaps").alias("gap"))).select("page_id").distinct().withColumn("columns", F.lit(True))
+    columns is refused, because it would be read across instead of down.
+
+    Three gaps line up with one of them just when three neighbours among the
+    sorted gaps are each within the tolerance of the next.
+    """
     said = F.when(F.col("text") != "", F.struct("cluster", "row", "text"))
-    page = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["text"]), "\n")
-    return (
-        rows.groupBy("page_id").agg(page.alias("text")).join(columns, "page_id", "left")
-        .select(
-            "page_id", F.when(F.col("columns").isNull(), F.col("text")).alias("text"),
-            F.when(F.col("columns"), MANY_COLUMNS).alias("error"),
-        )
+    pages = text_lines(line_pieces(fragments)).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(said)).alias("lines"), F.array_sort(F.flatten(F.collect_list("gaps"))).alias("gaps")
+    )
+    close = lambda i: F.get("gaps", i) - F.get("gaps", i - 1) <= TOLERANCE
+    columns = (F.size("gaps") >= GUTTER_MIN_ROWS) & F.exists(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("gaps") - 2)), lambda i: close(i) & close(i + 1)
+    )
+    return pages.select("page_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), columns.alias("columns")).select(
+        "page_id", F.when(~F.col("columns"), F.col("text")).alias("text"), F.when(F.col("columns"), MANY_COLUMNS).alias("error")
     )

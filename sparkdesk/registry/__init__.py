@@ -6,7 +6,7 @@ import importlib
 
 from sparkdesk.registry.core import ORACLES, QUERIES
 
-_MODULES = ["usage", "text", "conversations", "pages", "replies", "evaluation", "web", "markdown", "corpus"]
+_MODULES = ["usage", "text", "conversations", "pages", "replies", "evaluation", "web", "markdown", "corpus", "streaming"]
 
 
 def _load() -> None:
