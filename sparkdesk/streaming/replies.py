@@ -2,8 +2,9 @@
 
 Lines are parsed by Spark; the operator keeps, per open request, the text so
 far and the lines that arrived ahead of their turn, and gives one row when the
-request ends. The text is capped, and a closed request keeps only a mark, for
-as long as stragglers are expected.
+request ends. The text is capped, and a closed request keeps only a mark. A
+service that never stops names how long the mark is kept; a run that ends with
+its input must not, because a processing-time timeout always wants another batch.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ _STATE = (
     "closed boolean, next long, reply string, size long, truncated boolean, prompt long, completion long, "
     f"ahead array<struct<seq:bigint,steps:array<{_STEP}>>>"
 )
-KEEP_CLOSED_MS = 60 * 60 * 1000
 
 
 def parsed(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -47,7 +47,7 @@ def parsed(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     )
 
 
-def _fold(max_bytes: int):
+def _fold(max_bytes: int, keep_closed_ms: int | None):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (request,) = key
         if state.hasTimedOut:
@@ -95,14 +95,20 @@ def _fold(max_bytes: int):
             (q, [(q, s["kind"], s["token"], s["prompt"], s["completion"]) for s in steps]) for q, steps in sorted(waiting.items())
         ]
         state.update((closed, nxt, "".join(parts), size, truncated, prompt, completion, rest))
-        if closed:
-            state.setTimeoutDuration(KEEP_CLOSED_MS)
+        if closed and keep_closed_ms is not None:
+            state.setTimeoutDuration(keep_closed_ms)
 
     return advance
 
 
-def assembled(lines: DataFrame, max_bytes: int = MAX_REPLY_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def assembled(
+    lines: DataFrame,
+    max_bytes: int = MAX_REPLY_BYTES,
+    max_line_bytes: int = MAX_LINE_BYTES,
+    keep_closed_ms: int | None = None,
+) -> DataFrame:
+    timeout = GroupStateTimeout.NoTimeout if keep_closed_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return (
         parsed(lines, max_line_bytes).groupBy("request_id")
-        .applyInPandasWithState(_fold(max_bytes), REPLY_COLUMNS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(_fold(max_bytes, keep_closed_ms), REPLY_COLUMNS, _STATE, "append", timeout)
     )
