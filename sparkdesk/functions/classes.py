@@ -23,6 +23,15 @@ WIDE = (
     r"\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{20000}-\x{3FFFD}"
 )
 
+# The same classes for Java, which tries the members of a union in turn: a plain
+# range in front settles most characters at once, and keeps a class that holds
+# none of them from trying its own.
+J_WHITE = rf"[^!-~]&&[{WHITE}]"
+J_NOT_WHITE = rf"!-~[^{WHITE}]"
+J_READABLE = rf"!-~[^{UNREADABLE}]"
+J_WIDE = rf"[^\x{{0}}-\x{{10FF}}]&&[{WIDE}]"
+J_NOT_WIDE = rf"\x{{0}}-\x{{10FF}}[^{WIDE}]"
+
 # fence labels that open in a side panel
 RENDERABLE = "html svg docx xlsx pptx".split()
 CODE = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkdesk.functions.classes import WHITE
+from sparkdesk.functions.classes import J_WHITE
 from sparkdesk.functions.text import line_count, numbered_items, trimmed, word_count
 
 ASSERT_SCHEMA = (
@@ -58,7 +58,7 @@ def checks(a: Column, text: Column) -> Column:
     lo, hi = a["words"]["min"], a["words"]["max"]
 
     body = F.regexp_replace(
-        F.regexp_replace(text, rf"(?i)^[{WHITE}]*```(?:json)?[{WHITE}]*", ""), rf"[{WHITE}]*```[{WHITE}]*$", ""
+        F.regexp_replace(text, rf"(?i)^[{J_WHITE}]*```(?:json)?[{J_WHITE}]*", ""), rf"[{J_WHITE}]*```[{J_WHITE}]*$", ""
     )
     value = F.try_parse_json(body)
     kind = F.schema_of_variant(value)

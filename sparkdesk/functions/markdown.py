@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkdesk.functions.classes import WHITE
+from sparkdesk.functions.classes import J_WHITE
 from sparkdesk.functions.text import display_width, trimmed
 
-_CELL = rf"[{WHITE}]*[-:]*-[-:]*[{WHITE}]*"
+_CELL = rf"[{J_WHITE}]*[-:]*-[-:]*[{J_WHITE}]*"
 _DELIMITER = rf"^\|?{_CELL}(?:\|{_CELL})*\|?$"
 _CONTAINER = r"\G {0,3}(?:>[ \t]?|(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]+|$))"
 MAX_NESTING = 20
@@ -20,7 +20,7 @@ def is_delimiter_row(line: Column) -> Column:
 
 def plain_kind(line: Column) -> Column:
     """What a trimmed line is on its own: tables need the line below."""
-    packed = F.regexp_replace(line, f"[{WHITE}]+", "")
+    packed = F.regexp_replace(line, f"[{J_WHITE}]+", "")
     number = F.regexp_extract(line, r"^([0-9]+)[.)] ", 1).try_cast("long")
     return (
         F.when(line == "", "blank")
@@ -80,7 +80,7 @@ def split_long(text: Column, budget: int) -> Column:
     def token(piece: Column, hard: bool) -> Column:
         return F.struct(piece.alias("text"), display_width(piece).alias("width"), F.lit(hard).alias("hard"))
 
-    words = F.split(trimmed(text), f"[{WHITE}]+")
+    words = F.split(trimmed(text), f"[{J_WHITE}]+")
     tokens = F.flatten(F.transform(words, lambda w: F.when(
         display_width(w) > budget, F.transform(chunks(w), lambda c: token(c, True))
     ).otherwise(F.array(token(w, False)))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from sparkdesk.functions.classes import WHITE
+from sparkdesk.functions.classes import J_NOT_WHITE
 from sparkdesk.functions.text import PARTIAL_MARK, SCAN_MARK, is_readable, trimmed
 
 # fixed values: what a partly read document says before its text
@@ -29,21 +29,19 @@ REFUSED_STATUS = 33
 
 
 def words(c: Column) -> Column:
-    body = trimmed(c)
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"[{WHITE}]+"))
+    return F.regexp_extract_all(c, F.lit(f"[{J_NOT_WHITE}]+"), F.lit(0))
 
 
-def page_category(current: Column, native: Column, native_error: Column) -> Column:
-    """How two readers' texts of a page differ. Repeats, case and punctuation
-    count, so an amount that one reader saw twice is a difference."""
-    a, b = F.coalesce(current, F.lit("")), F.coalesce(native, F.lit(""))
-    ra, rb = is_readable(a), is_readable(b)
-    wa, wb = words(a), words(b)
+def page_category(a: Column, b: Column, native_error: Column) -> Column:
+    """How two readers' pages differ, each a struct(readable, words). Repeats,
+    case and punctuation count, so an amount that one reader saw twice is a
+    difference."""
+    wa, wb = a["words"], b["words"]
     return (
         F.when(native_error.isNotNull(), "native_page_error")
-        .when(~ra & ~rb, "neither_readable")
-        .when(~ra, "native_only_readable")
-        .when(~rb, "current_only_readable")
+        .when(~a["readable"] & ~b["readable"], "neither_readable")
+        .when(~a["readable"], "native_only_readable")
+        .when(~b["readable"], "current_only_readable")
         .when(wa == wb, "same_words_in_order")
         .when(F.array_sort(wa) == F.array_sort(wb), "same_words_reordered")
         .when(F.array_join(wa, "") == F.array_join(wb, ""), "spacing_only")
@@ -51,6 +49,12 @@ def page_category(current: Column, native: Column, native_error: Column) -> Colu
     )
 
 
+def page_words(c: Column) -> Column:
+    """What the comparison needs of a page: struct(readable, words)."""
+    text = F.coalesce(c, F.lit(""))
+    return F.struct(is_readable(text).alias("readable"), words(text).alias("words"))
+
+
 def extraction_outcome(status: Column, signal: Column, error: Column, stdout: Column, frame: str = FRAME) -> Column:
     """The process is judged before its text: a failed one can leave a
     convincing prefix behind."""

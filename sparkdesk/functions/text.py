@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sparkdesk.functions.classes import (
-    ARTIFACT_LABELS, EXTRACTABLE, LABEL_NAMES, LEGACY, MACRO_TEMPLATE, TEMPLATE, UNREADABLE, WHITE, WHITE_CHARS, WIDE,
+    ARTIFACT_LABELS, EXTRACTABLE, LABEL_NAMES, J_NOT_WHITE, J_NOT_WIDE, J_READABLE, J_WHITE, LEGACY, MACRO_TEMPLATE,
+    TEMPLATE, WHITE_CHARS,
 )
 
 FENCE = r"(?s)```([^\n]*)\n(.*?)```"
@@ -33,16 +34,16 @@ def has_visible_text(c: Column) -> Column:
 
 def fence_label(info: Column) -> Column:
     """Lower-case first word of a fence's info string, ``text`` when there is none."""
-    word = F.regexp_extract(trimmed(info), rf"^([^{WHITE}]+)", 1)
+    word = F.regexp_extract(trimmed(info), rf"^([{J_NOT_WHITE}]+)", 1)
     return F.when(word == "", "text").otherwise(F.lower(word))
 
 
 def fence_title(info: Column) -> Column:
-    return trimmed(F.regexp_extract(trimmed(info), rf"(?s)^[^{WHITE}]+[{WHITE}](.*)$", 1))
+    return trimmed(F.regexp_extract(trimmed(info), rf"(?s)^[{J_NOT_WHITE}]+[{J_WHITE}](.*)$", 1))
 
 
 def is_readable(c: Column) -> Column:
-    return F.coalesce(c.rlike(f"[^{UNREADABLE}]"), F.lit(False))
+    return F.coalesce(c.rlike(f"[{J_READABLE}]"), F.lit(False))
 
 
 def looks_binary(c: Column) -> Column:
@@ -61,14 +62,13 @@ def file_class(name: Column) -> Column:
     )
 
 
-def count_of(c: Column, cls: str) -> Column:
-    """How many characters are in a character class."""
-    return F.length(F.regexp_replace(c, f"[^{cls}]+", ""))
+def count_wide(c: Column) -> Column:
+    return F.length(F.regexp_replace(c, f"[{J_NOT_WIDE}]+", ""))
 
 
 def estimate_tokens(c: Column) -> Column:
     """Four ASCII characters, one wide character or two others per token."""
-    ascii_n, wide_n = count_of(c, r"\x{0}-\x{7F}"), count_of(c, WIDE)
+    ascii_n, wide_n = F.length(F.regexp_replace(c, r"[^\x{0}-\x{7F}]+", "")), count_wide(c)
     other = F.length(c) - ascii_n - wide_n
     mixed = F.ceil(ascii_n / 4) + wide_n + F.ceil(other / 2)
     return F.when(_all_ascii(c), F.ceil(F.length(c) / 4)).otherwise(mixed).cast("long")
@@ -80,7 +80,7 @@ def _all_ascii(c: Column) -> Column:
 
 
 def display_width(c: Column) -> Column:
-    wide = F.when(_all_ascii(c), 0).otherwise(count_of(c, WIDE))
+    wide = F.when(_all_ascii(c), 0).otherwise(count_wide(c))
     return (F.length(c) + wide).cast("long")
 
 
@@ -116,15 +116,15 @@ def token_usage(json: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WHITE}]+")).cast("long")
+    return F.regexp_count(c, F.lit(f"[{J_NOT_WHITE}]+")).cast("long")
 
 
 def line_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"[^\n]*[^{WHITE}][^\n]*")).cast("long")
+    return F.regexp_count(c, F.lit(rf"[^\n]*[{J_NOT_WHITE}][^\n]*")).cast("long")
 
 
 def numbered_items(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"(?m)^[{WHITE}]*[0-9]+[.)][{WHITE}]+")).cast("long")
+    return F.regexp_count(c, F.lit(rf"(?m)^[{J_WHITE}]*[0-9]+[.)][{J_WHITE}]+")).cast("long")
 
 
 _SENT_AS = "struct<mode:string,webSearch:boolean,force:boolean,quick:boolean>"

@@ -24,24 +24,33 @@ def align_readers(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def page_categories(aligned: DataFrame) -> DataFrame:
-    return aligned.where("in_a AND in_b").select(
-        "doc_id", "page_no",
-        P.page_category(F.col("a_text"), F.col("b_text"), F.col("b_error")).alias("category"),
+def categorised(aligned: DataFrame) -> DataFrame:
+    """(doc_id, page_no, in_a, in_b, category), category null where a reader
+    lacks the page. Each text is split once, before it is compared."""
+    both = F.col("in_a") & F.col("in_b")
+    return aligned.select(
+        "doc_id", "page_no", "in_a", "in_b", "b_error",
+        P.page_words(F.col("a_text")).alias("a"), P.page_words(F.col("b_text")).alias("b"),
+    ).select(
+        "doc_id", "page_no", "in_a", "in_b",
+        F.when(both, P.page_category(F.col("a"), F.col("b"), F.col("b_error"))).alias("category"),
     )
 
 
+def page_categories(aligned: DataFrame) -> DataFrame:
+    return categorised(aligned.where("in_a AND in_b")).select("doc_id", "page_no", "category")
+
+
 def compared_documents(aligned: DataFrame, document_errors: DataFrame) -> DataFrame:
     """Uncertain pages per document: (doc_id, pages, reasons, inconclusive).
 
     A document that a reader failed on, or whose page counts differ, is
     inconclusive, which is never the same as clean.
     """
-    category = P.page_category(F.col("a_text"), F.col("b_text"), F.col("b_error"))
-    uncertain = F.when(F.col("in_a") & F.col("in_b") & category.isin(P.UNCERTAIN), category)
+    uncertain = F.when(F.col("category").isin(P.UNCERTAIN), F.col("category"))
     failed = document_errors.select("doc_id").distinct().withColumn("failed", F.lit(True))
     return (
-        aligned.withColumn("__why", uncertain)
+        categorised(aligned).withColumn("__why", uncertain)
         .groupBy("doc_id")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("__why").isNotNull(), F.col("page_no")))).alias("pages"),
@@ -63,13 +72,11 @@ def category_counts(aligned: DataFrame, document_errors: DataFrame, group: Colum
     """Page categories of completed comparisons per group of documents, and how
     many documents were attempted, failed to open, or differ in page count."""
     failed = document_errors.select("doc_id").distinct().withColumn("failed", F.lit(True))
-    category = P.page_category(F.col("a_text"), F.col("b_text"), F.col("b_error"))
     one = lambda c: F.when(c, 1).otherwise(0)
     per_doc = (
-        aligned.withColumn("__c", F.when(F.col("in_a") & F.col("in_b"), category))
-        .groupBy("doc_id")
+        categorised(aligned).groupBy("doc_id")
         .agg(
-            *[F.count_if(F.col("__c") == c).alias(c) for c in P.CATEGORIES],
+            *[F.count_if(F.col("category") == c).alias(c) for c in P.CATEGORIES],
             (F.count_if("in_a") != F.count_if("in_b")).alias("mismatch"),
         )
         .join(failed, "doc_id", "left")

@@ -203,12 +203,8 @@ SELECT *, round(caught / nullif(caught + false_positives, 0), 6) AS precision, r
 
 @query("rule_quality_a10", _rule_quality_sql())
 def rule_quality(spark, sf_dir):
-    aligned = readers(spark, sf_dir)
-    category = F.when(
-        F.col("in_a") & F.col("in_b"), P.page_category(F.col("a_text"), F.col("b_text"), F.col("b_error"))
-    )
     docs = (
-        aligned.select("doc_id", category.alias("category")).groupBy("doc_id")
+        G.categorised(readers(spark, sf_dir)).groupBy("doc_id")
         .agg(
             F.coalesce(F.bool_or(F.col("category") == "neither_readable"), F.lit(False)).alias("neither"),
             F.coalesce(F.bool_or(F.col("category") == "other_difference"), F.lit(False)).alias("other"),

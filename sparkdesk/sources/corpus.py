@@ -39,9 +39,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def parse_records(lines: DataFrame) -> DataFrame:
     """Add ``r`` (the record, all null when malformed) and ``problem`` with the line itself."""
     r = F.from_json("line", RECORD_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    whole = F.schema_of_variant(F.try_parse_json(F.col("line")))
-    problem = F.when(whole.isNull(), "malformed").when(~whole.startswith("OBJECT"), "not an object")
-    return lines.select("*", r.alias("r"), problem.alias("problem"))
+    # a line that does not open an object is no record; what it is instead matters only then
+    other = F.when(F.try_parse_json(F.col("line")).isNull(), "malformed").otherwise("not an object")
+    opens = F.ltrim("line").startswith("{")
+    return lines.withColumn("r", r).withColumn(
+        "problem", F.when(F.col("r._corrupt").isNotNull() & opens, "malformed").when(~opens, other)
+    )
 
 
 MAX_LISTED = 400
