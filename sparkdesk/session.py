@@ -23,13 +23,18 @@ def build_session(master: str = "local[*]", app: str = "sparkdesk", partitions:
     return builder.getOrCreate()
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where the
     session names one, else a fresh local folder (single-machine runs only)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        named = _LOCAL_DIRS[app]
     return named.rstrip("/")
 
 

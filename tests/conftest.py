@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,6 +12,5 @@ from sparkdesk.session import build_session  # noqa: E402
 def spark():
     session = build_session("local[8]", "sparkdesk-tests", partitions=8)
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     yield session
     session.stop()
