@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", "sparkdesk-bench", partitions=int(cpus) if cpus.isdigit() else 8)
+    spark = build_session(f"local[{cpus}]", "sparkdesk-bench", partitions=int(cpus) if cpus.isdigit() else 8, memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     queries = registered()
     names = list(queries) if os.environ.get("BENCH_ALL") else HEADLINE

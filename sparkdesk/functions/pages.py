@@ -32,29 +32,21 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[{J_NOT_WHITE}]+"), F.lit(0))
 
 
-def page_category(a: Column, b: Column, native_error: Column) -> Column:
-    """How two readers' pages differ, each a struct(readable, words). Repeats,
-    case and punctuation count, so an amount that one reader saw twice is a
-    difference."""
-    wa, wb = a["words"], b["words"]
+def page_category(a_readable: Column, a_words: Column, b_readable: Column, b_words: Column, native_error: Column) -> Column:
+    """How two readers' texts of a page differ. Repeats, case and punctuation
+    count, so an amount that one reader saw twice is a difference."""
     return (
         F.when(native_error.isNotNull(), "native_page_error")
-        .when(~a["readable"] & ~b["readable"], "neither_readable")
-        .when(~a["readable"], "native_only_readable")
-        .when(~b["readable"], "current_only_readable")
-        .when(wa == wb, "same_words_in_order")
-        .when(F.array_sort(wa) == F.array_sort(wb), "same_words_reordered")
-        .when(F.array_join(wa, "") == F.array_join(wb, ""), "spacing_only")
+        .when(~a_readable & ~b_readable, "neither_readable")
+        .when(~a_readable, "native_only_readable")
+        .when(~b_readable, "current_only_readable")
+        .when(a_words == b_words, "same_words_in_order")
+        .when(F.array_sort(a_words) == F.array_sort(b_words), "same_words_reordered")
+        .when(F.array_join(a_words, "") == F.array_join(b_words, ""), "spacing_only")
         .otherwise("other_difference")
     )
 
 
-def page_words(c: Column) -> Column:
-    """What the comparison needs of a page: struct(readable, words)."""
-    text = F.coalesce(c, F.lit(""))
-    return F.struct(is_readable(text).alias("readable"), words(text).alias("words"))
-
-
 def extraction_outcome(status: Column, signal: Column, error: Column, stdout: Column, frame: str = FRAME) -> Column:
     """The process is judged before its text: a failed one can leave a
     convincing prefix behind."""

@@ -28,12 +28,16 @@ def categorised(aligned: DataFrame) -> DataFrame:
     """(doc_id, page_no, in_a, in_b, category), category null where a reader
     lacks the page. Each text is split once, before it is compared."""
     both = F.col("in_a") & F.col("in_b")
+    a, b = (F.coalesce(c, F.lit("")) for c in ("a_text", "b_text"))
     return aligned.select(
         "doc_id", "page_no", "in_a", "in_b", "b_error",
-        P.page_words(F.col("a_text")).alias("a"), P.page_words(F.col("b_text")).alias("b"),
+        P.is_readable(a).alias("a_readable"), P.words(a).alias("a_words"),
+        P.is_readable(b).alias("b_readable"), P.words(b).alias("b_words"),
     ).select(
         "doc_id", "page_no", "in_a", "in_b",
-        F.when(both, P.page_category(F.col("a"), F.col("b"), F.col("b_error"))).alias("category"),
+        F.when(both, P.page_category(
+            F.col("a_readable"), F.col("a_words"), F.col("b_readable"), F.col("b_words"), F.col("b_error")
+        )).alias("category"),
     )
 
 

@@ -20,5 +20,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+# tables whose rows are long texts, so that work on them is bound by the processor
+_TEXTS = {"documents", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A text table that is read in fewer tasks than there are
+    cores (one small file) is spread over them; one of many splits is not."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", app: str = "sparkdesk", partitions: int | None = None) -> SparkSession:
+def build_session(
+    master: str = "local[*]", app: str = "sparkdesk", partitions: int | None = None, memory: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -20,6 +22,8 @@ def build_session(master: str = "local[*]", app: str = "sparkdesk", partitions:
     )
     if partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if memory is not None:
+        builder = builder.config("spark.driver.memory", memory)
     return builder.getOrCreate()
 
 
