@@ -42,15 +42,16 @@ def package_problems(parts: DataFrame, overrides: DataFrame, defaults: DataFrame
 
     ``parts`` (package_id, name), ``overrides`` (package_id, part_name),
     ``defaults`` (package_id, extension), ``rels`` (package_id, rels_name,
-    rel_id, target, external), ``uses`` (package_id, part, rel_id).
+    rel_id, target, external), ``uses`` (package_id, part, rel_id). A package
+    names each part once, and an anti join does not mind repeats on its right.
     """
-    names = parts.select("package_id", "name").distinct()
+    names = parts.select("package_id", "name")
     declared = overrides.select("package_id", F.ltrim("part_name", F.lit("/")).alias("name"), F.col("part_name").alias("item"))
     undeclared = (
         names.where(F.col("name") != CONTENT_TYPES)
-        .join(declared.select("package_id", "name").distinct(), ["package_id", "name"], "left_anti")
+        .join(declared.select("package_id", "name"), ["package_id", "name"], "left_anti")
         .withColumn("extension", F.regexp_extract("name", r"([^.]*)$", 1))
-        .join(defaults.select("package_id", "extension").distinct(), ["package_id", "extension"], "left_anti")
+        .join(defaults.select("package_id", "extension"), ["package_id", "extension"], "left_anti")
         .select("package_id", F.lit("undeclared part").alias("rule"), F.col("name").alias("item"))
     )
     missing = declared.join(names, ["package_id", "name"], "left_anti").select(
@@ -60,7 +61,7 @@ def package_problems(parts: DataFrame, overrides: DataFrame, defaults: DataFrame
     dangling = targets.join(names, ["package_id", "name"], "left_anti").select(
         "package_id", F.lit("dangling target").alias("rule"), F.concat_ws(" -> ", "target", "name").alias("item")
     )
-    known = rels.select("package_id", "rels_name", "rel_id").distinct()
+    known = rels.select("package_id", "rels_name", "rel_id")
     used = uses.withColumn("rels_name", rels_name_for(F.col("part")))
     unknown = used.join(known, ["package_id", "rels_name", "rel_id"], "left_anti").select(
         "package_id", F.lit("undeclared relationship").alias("rule"), F.concat_ws(": ", "part", "rel_id").alias("item")
