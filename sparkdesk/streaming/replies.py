@@ -62,7 +62,11 @@ def _fold(max_bytes: int, keep_closed_ms: int | None):
             if closed:
                 continue
             for seq, steps in zip(pdf["seq"], pdf["steps"]):
-                waiting[int(seq)] = list(steps)
+                # plain values: the state takes no others
+                waiting[int(seq)] = [
+                    {k: s[k] if k in ("kind", "token") or s[k] is None else int(s[k]) for k in ("kind", "token", "prompt", "completion")}
+                    for s in steps
+                ]
             while nxt in waiting and not ended:
                 for s in waiting.pop(nxt):
                     if s["kind"] == "token":
