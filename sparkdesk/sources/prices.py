@@ -61,6 +61,6 @@ def exchange(tables: DataFrame) -> DataFrame:
 
 def current_price_list(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Rates and exchange rates of the list in force."""
-    one = spark.range(1).select(F.lit("current").alias("id"), F.lit(PRICE_LIST).alias("json"))
+    one = spark.range(0, 1, 1, 1).select(F.lit("current").alias("id"), F.lit(PRICE_LIST).alias("json"))
     tables = parse_price_tables(one, "id", "json")
     return rates(tables).drop("table_id"), exchange(tables).drop("table_id")
