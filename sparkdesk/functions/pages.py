@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sparkdesk.functions.classes import J_NOT_WHITE
-from sparkdesk.functions.text import PARTIAL_MARK, SCAN_MARK, is_readable, trimmed
+from sparkdesk.functions.text import PARTIAL_MARK, SCAN_MARK, trimmed
 
 # fixed values: what a partly read document says before its text
 PREAMBLE = (

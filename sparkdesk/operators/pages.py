@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.functions import pages as P
+from sparkdesk.functions.text import is_readable
 from sparkdesk.plans.blocked import order_statistic
 
 MAX_OCR_PAGES = 20
@@ -31,8 +32,8 @@ def categorised(aligned: DataFrame) -> DataFrame:
     a, b = (F.coalesce(c, F.lit("")) for c in ("a_text", "b_text"))
     return aligned.select(
         "doc_id", "page_no", "in_a", "in_b", "b_error",
-        P.is_readable(a).alias("a_readable"), P.words(a).alias("a_words"),
-        P.is_readable(b).alias("b_readable"), P.words(b).alias("b_words"),
+        is_readable(a).alias("a_readable"), P.words(a).alias("a_words"),
+        is_readable(b).alias("b_readable"), P.words(b).alias("b_words"),
     ).select(
         "doc_id", "page_no", "in_a", "in_b",
         F.when(both, P.page_category(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(
@@ -46,10 +46,3 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/sparkdesk/{name}-{uuid.uuid4().hex}"
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder and reading it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

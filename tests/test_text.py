@@ -88,7 +88,7 @@ def test_binary(spark):
     ("", "x", "native_only_readable"), ("x", "", "current_only_readable"),
 ])
 def test_page_category(spark, a, b, want):
-    got = P.page_category(P.is_readable(lit(a)), P.words(lit(a)), P.is_readable(lit(b)), P.words(lit(b)), F.lit(None))
+    got = P.page_category(X.is_readable(lit(a)), P.words(lit(a)), X.is_readable(lit(b)), P.words(lit(b)), F.lit(None))
     assert value(spark, got) == want
 
 
