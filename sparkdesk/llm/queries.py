@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkdesk.llm.binary_ids import round_trip
 from sparkdesk.llm.common import read
+from sparkdesk.llm.near_dup import near_duplicates
 from sparkdesk.llm.packing import pack
 from sparkdesk.llm.tokens import vocabulary
 
@@ -16,12 +17,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_minhash": op4_minhash,
     "op5_binary_ids": op5_binary_ids,
 }
 ORACLES: dict[str, str] = {}
