@@ -4,19 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.llm.binary_ids import round_trip
 from sparkdesk.llm.common import read
 from sparkdesk.llm.near_dup import near_duplicates
 from sparkdesk.llm.packing import pack
+from sparkdesk.llm.sharding import hilbert_shards
 from sparkdesk.llm.tokens import vocabulary
+from sparkdesk.llm.toxicity import score_documents
+from sparkdesk.llm.url_filter import judge_urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_shards(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -25,9 +35,23 @@ def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the document of the same number: low quality or toxic is to be blocked."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("blocked"))
+    return judge_urls(read(spark, sf_dir, "pages"), labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_hilbert": op2_hilbert,
     "op4_minhash": op4_minhash,
     "op5_binary_ids": op5_binary_ids,
+    "op6_toxicity": op6_toxicity,
+    "op7_url_rules": op7_url_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -1,27 +1,42 @@
 """Token ids of whole texts, with a bounded memory of pieces already encoded.
 
-Both tokenizers split a text into pieces that are encoded on their own before
-any merge is made. A text is cut at places where such a split always falls, so
-equal pieces give equal ids wherever they stand, and most are found in memory.
+Both tokenizers cut a text into pieces (words, digits, runs of signs) before any
+merge is made, and merge inside a piece only. A text of common characters is cut
+by the same rules here, and a new piece goes to the tokenizer's own model; most
+pieces are found in memory. Any other text is given to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import array
 import os
 import re
 
 import numpy as np
 
-MEMORY = 300_000  # pieces remembered by one Python worker
-LONGEST = 64  # longer pieces are encoded each time
+MEMORY = 500_000  # pieces remembered by one Python worker
+LONGEST = 48  # longer pieces are encoded each time
 
-# white space to Python that the tokenizers' patterns do not take for white space
-_ODD = re.compile("[\x1c-\x1f]")
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# characters on whose classes, cases and composed forms all Unicode versions agree
+_OTHER = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿŒœ]")
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿŒœ"
+_PIECES = {
+    "words": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"),
+    "bytes": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"),
+}
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes characters: bytes without a visible form move up from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in visible}
+    letter |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in letter)}
+    common = [*map(chr, [9, 10, 13, *range(32, 127), *range(192, 256)]), "Œ", "œ"]
+    return {ord(c): "".join(letter[b] for b in c.encode()) for c in common}
 
 
 class Encoder:
-    """``kind`` is ``words`` (white space is dropped) or ``bytes`` (a word keeps the space before it)."""
+    """``kind`` is ``words`` (lower case, white space is dropped) or ``bytes`` (a word keeps the space before it)."""
 
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,38 +44,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.split = str.split if kind == "words" else _SPACED.findall
+        self.model = self.tokenizer.model
+        self.pieces, self.lower, self.letters = _PIECES[kind].findall, kind == "words", _byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _piece(self, piece: str) -> bytes:
+        ids = array.array("I", [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            self.known[piece] = ids
+        return ids
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
+        out, known, piece = [], self.known, self._piece
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _ODD.search(text):
-                out.append(self._encode([text])[0])
+            elif _OTHER.search(text):
+                whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                out.append(np.array(whole, dtype="<u4").tobytes())
             else:
-                out.append(self._joined(self.split(text)))
+                found = self.pieces(text.lower() if self.lower else text)
+                out.append(b"".join([known.get(p) or piece(p) for p in found]))
         return out
 
-    def _joined(self, pieces: list[str]) -> bytes:
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in known})
-        fresh = dict(zip(new, self._encode(new)))
-        if len(known) + len(fresh) > MEMORY:
-            known.clear()
-        known.update((p, v) for p, v in fresh.items() if len(p) <= LONGEST)
-        return b"".join([known[p] if p in known else fresh[p] if p in fresh else self._encode([p])[0] for p in pieces])
-
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
