@@ -40,10 +40,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the document of the same number: low quality or toxic is to be blocked."""
+    """A page's number in its URL is its document's: low quality or toxic is to be blocked."""
+    pages = read(spark, sf_dir, "pages")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("blocked"))
-    return judge_urls(read(spark, sf_dir, "pages"), labels)
+    number = F.expr(r"try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') as bigint)")
+    labels = (
+        pages.select("page_id", number.alias("doc_id"))
+        .join(read(spark, sf_dir, "labels").select("doc_id", bad.alias("blocked")), "doc_id").select("page_id", "blocked")
+    )
+    return judge_urls(pages, labels)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,13 +8,16 @@ suspicious token is a lattice of such readings, and Viterbi decoding finds the
 likeliest word. Runs of single characters parted by spaces are joined first.
 Tokens of plain letters have one reading and are left alone.
 
-Classifier over the restored words: every word has features (itself, its
-prefixes, its character 4- and 5-grams), and a feature's value is the lower
-confidence bound of the share of toxic documents among those that hold it. A
-document scores what its most telling word does, raised a little by others.
+Classifier over the restored words: a word's features are itself and its
+prefixes of 4 to 6 letters. A list of rules is learned by sequential covering:
+the feature with the highest lower confidence bound of its share of toxic
+documents becomes a rule, the documents that hold it are set aside, and the next
+is chosen among the rest, so that nothing is blamed that only stands beside a
+word already known. A document scores the bound of its strongest rule, raised a
+little by the next word's.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents (those of the
-smallest hashed ids), and keeps ``FEATURES`` features at most; both bound what
+smallest hashed ids) and considers ``FEATURES`` features at most; both bound what
 goes through the driver. The character model covers all words of all documents.
 
 Defined results: a null or empty text scores as a text without a telling word;
@@ -25,7 +28,6 @@ than those named are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,10 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkdesk.llm.common import stage
 
-SAMPLE = 40_000
-FEATURES = 50_000
-SUPPORT = 5  # toxic documents that a feature needs
-Z = 2.0  # deviations of the confidence bound
+SAMPLE = 20_000
+FEATURES = 20_000
+SUPPORT = 3  # toxic documents that a feature needs
+Z = 2.5  # deviations of the confidence bound
+TIMES = 4  # rules that hold a document before it is set aside
+LEAST = 0.2  # bound below which a feature is no rule
 THRESHOLD = 0.3
 MEMORY = 400_000  # words whose score one Python worker remembers
 LONGEST = 64  # longer tokens are not remembered
@@ -48,6 +52,8 @@ LONGEST = 64  # longer tokens are not remembered
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 _AT = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0 is the edge of a word
 _SIZE = len(LETTERS) + 1
+_CODES = np.zeros(0x180, dtype=np.int64)
+_CODES[[ord(c) for c in LETTERS]] = range(1, _SIZE)
 
 #: what a character may stand for, besides itself
 LOOKS = {
@@ -72,14 +78,18 @@ class Characters:
 
     @staticmethod
     def count(words: Counter) -> np.ndarray:
+        """Trigram counts of weighted words, each framed by edges."""
         out = np.zeros(_SIZE**3, dtype=np.int64)
-        for word, n in words.items():
-            a = b = 0
-            for ch in word:
-                c = _AT[ch]
-                out[(a * _SIZE + b) * _SIZE + c] += n
-                a, b = b, c
-            out[(a * _SIZE + b) * _SIZE] += n
+        held = list(words)
+        for i in range(0, len(held), 50_000):
+            some = held[i : i + 50_000]
+            text = "\0\0" + "\0\0".join(some) + "\0"
+            codes = _CODES[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")]
+            lengths = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+            weight = np.repeat(np.fromiter((words[w] for w in some), dtype=np.int64, count=len(some)), lengths + 2)
+            a, b, c = codes[:-2], codes[1:-1], codes[2:]
+            inside = (b != 0) | (c != 0)
+            out += np.bincount(((a * _SIZE + b) * _SIZE + c)[inside], weights=weight[: len(a)][inside], minlength=_SIZE**3).astype(np.int64)
         return out
 
     def restore(self, token: str) -> str:
@@ -152,9 +162,7 @@ def restored_text(text: str, model: Characters) -> str:
 
 
 def features(word: str) -> list[str]:
-    bound = f"^{word}$"
-    grams = {bound[i : i + n] for n in (4, 5) for i in range(len(bound) - n + 1)}
-    return [f"={word}", *grams, *(f"^{word[:n]}" for n in (5, 6) if len(word) >= n)]
+    return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
 
 
 def lower_bound(hits: np.ndarray, all_: np.ndarray, z: float = Z) -> np.ndarray:
@@ -230,8 +238,14 @@ def _plain(words: Counter) -> Counter:
     return out
 
 
+def _bound(hits, all_, z: float = Z):
+    """The same bound as a column."""
+    p = hits / all_
+    return (p + z * z / (2 * all_) - z * F.sqrt(p * (1 - p) / all_ + z * z / (4 * all_ * all_))) / (1 + z * z / all_)
+
+
 def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, float]:
-    """Feature values from labelled documents; ``labels`` has doc_id and toxic."""
+    """Rules (feature to bound) from labelled documents; ``labels`` has doc_id and toxic."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -239,39 +253,68 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, flo
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen, toxic, clean = Characters(counts.reshape(_SIZE, _SIZE, _SIZE)), {}, Counter(), Counter()
+        model, seen = Characters(counts.reshape(_SIZE, _SIZE, _SIZE)), {}
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            out = []
+            for text in batch.column("text").to_pylist():
                 held = set()
                 for token in set(split(text)):
                     own = seen.get(token)
                     if own is None:
+                        if len(seen) > MEMORY // 4:
+                            seen.clear()
                         own = seen[token] = [f for w in readings(token, model) for f in features(w)]
                     held.update(own)
-                (toxic if label else clean).update(held)
-                if len(seen) > MEMORY // 8:
-                    seen = {}
-            if len(toxic) + len(clean) > 8 * MEMORY:
-                yield _counted(toxic, clean)
-                toxic, clean = Counter(), Counter()
-        yield _counted(toxic, clean)
+                out.append(list(held))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.list_(pa.string())), batch.column("toxic").cast(pa.int64())], names=["features", "toxic"]
+            )
 
+    rows = stage(texts.mapInArrow(run, "features array<string>, toxic long"), "toxicity-sample")
+    each = rows.select(F.explode("features").alias("feature"), "toxic")
     found = (
-        texts.mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= SUPPORT)
-    )
-    p, n = F.col("toxic") / (F.col("toxic") + F.col("clean")), F.col("toxic") + F.col("clean")
-    bound = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    rows = found.select("feature", bound.alias("v")).orderBy(F.desc("v"), "feature").limit(FEATURES).collect()
-    return {r["feature"]: float(r["v"]) for r in rows}
-
-
-def _counted(toxic: Counter, clean: Counter) -> pa.RecordBatch:
-    names = list(toxic.keys() | clean.keys())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (toxic, clean))],
-        names=["feature", "toxic", "clean"],
+        each.groupBy("feature").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("hits") >= SUPPORT).select("feature", _bound(F.col("hits"), F.col("n")).alias("v"))
+        .where(F.col("v") >= LEAST / 2).orderBy(F.desc("v"), "feature").limit(FEATURES)
     )
+    wanted = [r["feature"] for r in found.collect()]
+    if not wanted:
+        return {}
+    at = {f: i for i, f in enumerate(wanted)}
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [[at[f] for f in held if f in at] for held in b.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), b.column("toxic")], names=["held", "toxic"])
+
+    sample = rows.mapInArrow(narrow, "held array<int>, toxic long").where(F.size("held") > 0).collect()
+    return cover([(list(r["held"]), bool(r["toxic"])) for r in sample], wanted)
+
+
+def cover(sample: list[tuple[list[int], bool]], names: list[str], z: float = Z, times: int = TIMES, support: int = SUPPORT) -> dict[str, float]:
+    """Sequential covering: the best feature, then the best among the documents not yet held by ``times`` rules, and so on."""
+    hits, all_ = np.zeros(len(names)), np.zeros(len(names))
+    holders: list[list[int]] = [[] for _ in names]
+    for i, (held, toxic) in enumerate(sample):
+        for f in held:
+            holders[f].append(i)
+        all_[held] += 1
+        hits[held] += toxic
+    left, rules = [times] * len(sample), {}
+    taken = np.zeros(len(names), dtype=bool)
+    while True:
+        bound = np.where((hits >= support) & ~taken, lower_bound(hits, np.maximum(all_, 1), z), 0.0)
+        best = int(np.argmax(bound))
+        if bound[best] < LEAST:
+            return rules
+        rules[names[best]] = float(bound[best])
+        taken[best] = True
+        for i in holders[best]:
+            left[i] -= 1
+            if left[i] == 0:
+                held, toxic = sample[i]
+                all_[held] -= 1
+                hits[held] -= toxic
 
 
 def fold(doc_id: str = "doc_id"):

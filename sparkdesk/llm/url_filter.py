@@ -29,7 +29,7 @@ SAMPLE = 50_000
 RULES = 2_000
 LONGEST_RULE = 3  # tokens in a rule
 SUPPORT = 0.002
-CONFIDENCE = 0.35
+CONFIDENCE = 0.5
 LABEL = "label:block"
 
 #: verdict, host and its subdomains, start of the path
