@@ -26,6 +26,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_alike(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys in which null equals null; the keys come from ``left``."""
+    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+    return left.join(renamed, same, how).drop(*[f"__r_{c}" for c in on])
+
+
 def offsets(parts: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """(order, out): the sum of ``value`` over all smaller ``order`` values.
 

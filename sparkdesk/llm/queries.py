@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.llm.binary_ids import round_trip
 from sparkdesk.llm.common import read
+from sparkdesk.llm import lm_scoring
+from sparkdesk.llm.mixing import mix, token_count
 from sparkdesk.llm.near_dup import near_duplicates
 from sparkdesk.llm.packing import pack
 from sparkdesk.llm.sharding import hilbert_shards
@@ -51,6 +53,30 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labels)
 
 
+DOMAINS = ["domain", "lang", "source"]
+
+
+def tree_levels(docs: DataFrame) -> DataFrame:
+    """Documents with their words counted and a domain, one of four that sources fall into."""
+    domain = F.concat(F.lit("domain"), F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(4)).cast("string"))
+    return docs.withColumn("domain", domain).withColumn("n_tokens", token_count())
+
+
+def tree_weights() -> list:
+    """Domain 0 is to give twice the share of another, English as much as all other languages of its domain."""
+    return [
+        F.when(F.col("domain") == "domain0", 2.0).otherwise(1.0), F.when(F.col("lang") == "en", 3.0).otherwise(1.0), F.lit(1.0),
+    ]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(tree_levels(read(spark, sf_dir, "documents")), DOMAINS, tree_weights())
+
+
+def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hilbert": op2_hilbert,
@@ -58,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_binary_ids": op5_binary_ids,
     "op6_toxicity": op6_toxicity,
     "op7_url_rules": op7_url_rules,
+    "op8_mixing": op8_mixing,
+    "op9_backoff": op9_backoff,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_backoff": lm_scoring.ORACLE}
