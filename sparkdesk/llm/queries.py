@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.llm.binary_ids import round_trip
 from sparkdesk.llm.common import read
-from sparkdesk.llm import lm_scoring
+from sparkdesk.llm import exact_search, graph_search, lm_scoring
 from sparkdesk.llm.mixing import mix, token_count
 from sparkdesk.llm.near_dup import near_duplicates
 from sparkdesk.llm.packing import pack
@@ -29,6 +29,10 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -77,14 +81,29 @@ def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hilbert": op2_hilbert,
+    "op3_dual_tree": op3_dual_tree,
     "op4_minhash": op4_minhash,
     "op5_binary_ids": op5_binary_ids,
     "op6_toxicity": op6_toxicity,
     "op7_url_rules": op7_url_rules,
     "op8_mixing": op8_mixing,
     "op9_backoff": op9_backoff,
+    "op10_graph": op10_graph,
 }
-ORACLES: dict[str, str] = {"op9_backoff": lm_scoring.ORACLE}
+OP3 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op3_dual_tree": OP3, "op9_backoff": lm_scoring.ORACLE}
