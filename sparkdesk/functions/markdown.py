@@ -7,15 +7,16 @@ from pyspark.sql import Column, functions as F
 from sparkdesk.functions.classes import J_WHITE
 from sparkdesk.functions.text import display_width, trimmed
 
-_CELL = rf"[{J_WHITE}]*[-:]*-[-:]*[{J_WHITE}]*"
-_DELIMITER = rf"^\|?{_CELL}(?:\|{_CELL})*\|?$"
+_RULED = rf"^[{J_WHITE}]*+[-:]++[{J_WHITE}]*+$"
 _CONTAINER = r"\G {0,3}(?:>[ \t]?|(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]+|$))"
 MAX_NESTING = 20
 MAX_DELIMITERS = 1000
 
 
 def is_delimiter_row(line: Column) -> Column:
-    return F.contains(line, F.lit("|")) & line.rlike(_DELIMITER)
+    """Whether every cell of a line with a pipe holds hyphens and colons only, a hyphen at least."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(line, r"^\|", ""), r"\|$", ""), r"\|")
+    return F.contains(line, F.lit("|")) & F.forall(parts, lambda p: F.contains(p, F.lit("-")) & p.rlike(_RULED))
 
 
 def plain_kind(line: Column) -> Column:

@@ -20,10 +20,17 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_CHARS))
 
 
+def upto_last(c: Column, mark: str, change) -> Column:
+    """``change`` applied to the text up to its last ``mark``; what follows stays."""
+    rest = F.substring_index(c, mark, -1)
+    return F.concat(change(F.left(c, F.length(c) - F.length(rest))), rest)
+
+
 def clean_reply(c: Column) -> Column:
     """Drop reasoning markup: closed blocks, an unclosed block to the end,
     everything from a tool call on, then orphan close tags."""
-    closed = F.regexp_replace(c, r"(?s)<think>.*?</think>", "")
+    # up to the last end mark every begin mark finds an end, so no tag is searched to the end in vain
+    closed = upto_last(c, "</think>", lambda head: F.regexp_replace(head, r"(?s)<think>.*?</think>", ""))
     cut = F.substring_index(F.substring_index(closed, "<think>", 1), "<tool_call>", 1)
     return F.replace(cut, F.lit("</think>"), F.lit(""))
 

@@ -8,6 +8,8 @@ equi-join on (conv_id, turn), and ordered totals go through the block scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.functions import text as X
@@ -156,25 +158,31 @@ def deduplicated_calls(calls: DataFrame, cap: int) -> DataFrame:
 
 
 def apply_edits(messages: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edit a user turn (conv_id, edit_turn, new_text, attachments): the turn
-    and everything after it go, the new text takes the turn's place. An edit
-    with nothing to send, or of another role's turn, changes nothing.
-    ``replaced`` counts the messages that were below the edited one."""
+    """Edit user turns (conv_id, edit_no, edit_turn, new_text, attachments) one after another.
+
+    The turn and everything after it go, the new text takes the turn's place,
+    and all else the turn had stays with it. An edit with nothing to send, of
+    another role's turn, or of a turn that an earlier edit removed changes
+    nothing. So the edit of the earliest turn stands, the last one of them if
+    there are several, and one row per chat is joined. ``replaced`` counts the
+    messages that were below the edited one at that time.
+    """
     sendable = edits.where((X.trimmed(F.col("new_text")) != "") | (F.col("attachments") > 0))
     target = messages.where("role = 'user'").select("conv_id", F.col("turn").alias("edit_turn"))
     valid = sendable.join(target, ["conv_id", "edit_turn"])
+    last = F.max(F.struct(-F.col("edit_turn"), "edit_no", "edit_turn", "new_text")).alias("e")
+    final = valid.groupBy("conv_id").agg(last).select("conv_id", "e.edit_no", "e.edit_turn", "e.new_text")
+    before = valid.select("conv_id", F.col("edit_no").alias("n"), F.col("edit_turn").alias("t")).join(final, "conv_id").where("n < edit_no")
+    final = final.join(before.groupBy("conv_id").agg(F.min("t").alias("earlier")), "conv_id", "left")
+    joined = messages.join(final, "conv_id", "left")
+    # messages between this turn and the one an earlier edit had left as the last
     below = (
-        messages.select("conv_id", "turn").join(valid.select("conv_id", "edit_turn"), "conv_id")
-        .where("turn > edit_turn").groupBy("conv_id").agg(F.count(F.lit(1)).alias("replaced"))
-    )
-    kept = (
-        messages.join(valid.select("conv_id", "edit_turn"), "conv_id", "left")
-        .where("edit_turn IS NULL OR turn < edit_turn")
-        .select("conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("replaced"))
+        joined.where("turn > edit_turn AND (earlier IS NULL OR turn <= earlier)").groupBy("conv_id")
+        .agg(F.count(F.lit(1)).alias("__below"))
     )
-    resent = valid.join(below, "conv_id", "left").select(
-        "conv_id", F.col("edit_turn").alias("turn"), F.lit("user").alias("role"), F.col("new_text").alias("text"),
-        F.coalesce("replaced", F.lit(0).cast("long")).alias("replaced"),
+    kept = joined.where("edit_turn IS NULL OR turn < edit_turn").select(*messages.columns, F.lit(None).cast("long").alias("replaced"))
+    resent = joined.where("turn = edit_turn").withColumn("text", F.col("new_text")).join(below, "conv_id", "left").select(
+        *messages.columns, F.coalesce("__below", F.lit(0).cast("long")).alias("replaced")
     )
     return kept.unionByName(resent)
 
@@ -195,15 +203,18 @@ def search(conversations: DataFrame, messages: DataFrame, needle: str, around: i
             lambda a: F.when(a["kind"] == "text", F.array(a["name"], a["content"])).otherwise(F.array(a["name"])),
         )),
     )
-    at = F.instr(F.lower(F.col("part")), q)
+    # found in the text as written: lower case may have another length
+    found_at = rf"(?isu)\A(.*?)({re.escape(needle)})"
+    at = F.length(F.regexp_extract("part", found_at, 1)) + 1
+    found = F.regexp_extract("part", found_at, 2)
     snippet = F.struct(
         F.substring(F.col("part"), F.greatest(F.lit(1), at - around), F.least(at - 1, F.lit(around))).alias("before"),
-        F.substring(F.col("part"), at, F.lit(len(needle))).alias("match"),
-        F.substring(F.col("part"), at + len(needle), F.lit(around)).alias("after"),
+        found.alias("match"),
+        F.substring(F.col("part"), at + F.length(found), F.lit(around)).alias("after"),
     )
     hit = (
         messages.select("conv_id", "turn", F.posexplode(parts).alias("pos", "part"))
-        .where(F.contains(F.lower("part"), F.lit(q)))
+        .where(F.col("part").rlike(rf"(?iu){re.escape(needle)}"))
         .select("conv_id", F.struct("turn", "pos", snippet.alias("snippet")).alias("hit"))
         .groupBy("conv_id").agg(F.min("hit").alias("hit"))
     )

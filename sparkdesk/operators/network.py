@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkdesk.plans.small import broadcast_if_small
 
 # fixed values: reverse names that explain an address no expected host resolves to
 REVERSE_NAMES = [
@@ -27,8 +26,8 @@ def explained(captures: DataFrame, expected: DataFrame, reverse: DataFrame) -> D
     names = reverse.groupBy("ip").agg(F.min("name").alias("reverse_name"))
     joined = (
         captures.withColumn("ip", ip)
-        .join(broadcast_if_small(hosts), "ip", "left")
-        .join(broadcast_if_small(names), "ip", "left")
+        .join(hosts, "ip", "left")
+        .join(names, "ip", "left")
     )
     cls, what = F.when(F.col("host").isNotNull(), "EXPECTED"), F.when(
         F.col("host").isNotNull(), F.concat_ws(" — ", F.col("host.host"), F.col("host.what"))
@@ -43,9 +42,10 @@ def explained(captures: DataFrame, expected: DataFrame, reverse: DataFrame) -> D
 
 def endpoint_report(captures: DataFrame, expected: DataFrame, reverse: DataFrame) -> DataFrame:
     """Each endpoint once per phase and source; contact while idle, or by the
-    webview at all, is a finding whoever answers."""
+    webview at all, is a finding whoever answers, and an endpoint may give both."""
     endpoints = captures.select("phase", "source", "remote").distinct()
-    finding = F.when(F.col("source") == "webview", "webview contact").when(F.col("phase") == "idle", "idle contact")
+    found = F.concat_ws(", ", F.when(F.col("source") == "webview", "webview contact"), F.when(F.col("phase") == "idle", "idle contact"))
+    finding = F.nullif(found, F.lit(""))
     return explained(endpoints, expected, reverse).select("phase", "source", "remote", "class", "what", finding.alias("finding"))
 
 
@@ -102,7 +102,7 @@ def vetted_addresses(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
         v6 = F.when(a.rlike(pattern), why).otherwise(v6)
     numbered = addresses.withColumns({"__n": number, "__octet": F.floor(number / 16777216).cast("long")})
     cond = (F.col("__octet") == F.col("octet")) & F.col("__n").between(F.col("lo"), F.col("hi"))
-    return numbered.join(broadcast_if_small(ranges), cond, "left").select(
+    return numbered.join(ranges, cond, "left").select(
         *addresses.columns,
         F.when(F.col("__n").isNotNull(), F.col("reason")).when(F.contains(a, F.lit(":")), v6).otherwise("not an address").alias("reason"),
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkdesk.plans.small import broadcast_if_small
 
 CONTENT_TYPES = "[Content_Types].xml"
 
@@ -82,7 +81,7 @@ def publication(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, status) by rules (rule, list): ``withheld`` wins over ``public``,
     a path on neither list is ``unclassified``."""
     lists = rules.select("rule", "list").distinct()
-    matched = path_rules(paths).join(broadcast_if_small(lists), "rule")
+    matched = path_rules(paths).join(lists, "rule")
     status = matched.groupBy("path").agg(
         F.when(F.bool_or(F.col("list") == "withheld"), "withheld").otherwise("public").alias("status")
     )
@@ -106,10 +105,9 @@ def payload_digests(files: DataFrame) -> DataFrame:
     entry = F.concat(
         F.encode("path", "utf-8"), nul, F.encode(mode, "utf-8"), nul, F.unhex(F.sha2("content", 256))
     )
-    listed = F.array_sort(F.collect_list(F.struct("path", entry.alias("entry"))))
-    return files.groupBy("set_id").agg(F.count(F.lit(1)).alias("files"), listed.alias("l")).select(
-        "set_id", "files",
-        F.sha2(F.aggregate("l", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["entry"])), 256).alias("digest"),
+    listed = F.expr("listagg(entry) WITHIN GROUP (ORDER BY path)")
+    return files.select("set_id", "path", entry.alias("entry")).groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sha2(listed, 256).alias("digest")
     )
 
 

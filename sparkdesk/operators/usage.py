@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkdesk.plans.small import broadcast_if_small, is_small
-
 CATEGORIES = ("ai", "image", "search")
 
 
@@ -24,16 +22,15 @@ def raw_cost(rate: str) -> Column:
 def with_rate(events: DataFrame, rates: DataFrame) -> DataFrame:
     """Add ``rate``: the row for the event's price key, else its kind's ``default``."""
     fields = F.struct("input_per_mtok", "output_per_mtok", "per_unit", "currency")
-    hint = F.broadcast if is_small(rates) else (lambda df: df)
     named = rates.select(F.col("kind").alias("r_kind"), F.col("name").alias("r_name"), fields.alias("r_rate"))
     default = rates.where("name = 'default'").select(F.col("kind").alias("d_kind"), fields.alias("d_rate"))
     return (
         events.join(
-            hint(named),
+            named,
             (F.col("kind") == F.col("r_kind")) & (F.col("price_key") == F.col("r_name")),
             "left",
         )
-        .join(hint(default), F.col("kind") == F.col("d_kind"), "left")
+        .join(default, F.col("kind") == F.col("d_kind"), "left")
         .withColumn("rate", F.coalesce("r_rate", "d_rate"))
         .drop("r_kind", "r_name", "r_rate", "d_kind", "d_rate")
     )
@@ -43,7 +40,7 @@ def to_display(df: DataFrame, fx: DataFrame, currency: str, display: str) -> Dat
     """Add ``mult`` into the display currency: 1 for the currency itself and for one not listed."""
     side = fx.select(F.col("currency").alias("fx_currency"), F.col("mult").alias("fx_mult"))
     return (
-        df.join(broadcast_if_small(side), F.col(currency) == F.col("fx_currency"), "left")
+        df.join(side, F.col(currency) == F.col("fx_currency"), "left")
         .withColumn("mult", F.when(F.col(currency) == display, F.lit(1.0)).otherwise(F.coalesce("fx_mult", F.lit(1.0))))
         .drop("fx_currency", "fx_mult")
     )
@@ -75,8 +72,7 @@ def priced_as_of(events: DataFrame, history: DataFrame, fx: DataFrame, display:
     """Price each event with the list collected last on or before its day.
 
     An event older than every list takes the first one and is flagged
-    ``before_first``. Named and default rates share one broadcast equi-join on
-    kind, with the period as the residual condition.
+    ``before_first``. Named and default rates are equi-joins on kind and name, with the period as the residual condition.
     """
     fields = F.struct("input_per_mtok", "output_per_mtok", "per_unit", "currency")
     spans = history.select(
@@ -84,7 +80,6 @@ def priced_as_of(events: DataFrame, history: DataFrame, fx: DataFrame, display:
         F.when(~F.col("first_version"), F.col("valid_from")).alias("h_from"),
         F.col("valid_from").alias("h_collected"), F.col("valid_to").alias("h_to"), fields.alias("h_rate"),
     )
-    hint = F.broadcast if is_small(history) else (lambda df: df)
     day = F.to_date("ts")
     inside = (F.col("h_from").isNull() | (day >= F.col("h_from"))) & (F.col("h_to").isNull() | (day < F.col("h_to")))
     named = spans.select(*[F.col(c).alias("n" + c) for c in spans.columns])
@@ -93,12 +88,12 @@ def priced_as_of(events: DataFrame, history: DataFrame, fx: DataFrame, display:
     )
     joined = (
         events.join(
-            hint(named),
+            named,
             (F.col("kind") == F.col("nh_kind")) & (F.col("price_key") == F.col("nh_name")) & n_inside,
             "left",
         )
         .join(
-            hint(spans.where("h_name = 'default'")),
+            spans.where("h_name = 'default'"),
             (F.col("kind") == F.col("h_kind")) & inside,
             "left",
         )
@@ -197,7 +192,7 @@ def breakdown(tally: DataFrame, names: DataFrame) -> DataFrame:
     without a display name is shown by its key, one without usage not at all."""
     return (
         tally.where("count > 0")
-        .join(broadcast_if_small(names), ["category", "provider"], "left")
+        .join(names, ["category", "provider"], "left")
         .withColumn("part", F.concat_ws(" ", F.coalesce("name", "provider"), F.col("count").cast("string")))
         .groupBy("month", "category")
         .agg(F.expr("listagg(part, ' · ') WITHIN GROUP (ORDER BY provider)").alias("line"))

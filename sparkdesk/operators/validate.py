@@ -38,6 +38,7 @@ def price_table_problems(tables: DataFrame, current_collected: str) -> DataFrame
     links = tables.select("table_id", F.explode("price.sources").alias("provider", "url"))
     problem = address_problem(F.trim("url"))
     reports = [
+        report(tables, F.when(F.col("oversized"), "file too large"), F.lit("file")),
         report(tables, F.when(~_known(F.col("price.display_currency")), "currency unknown"), F.lit("display_currency")),
         report(tables, F.when(F.col("price.collected") < current_collected, "older than current"), F.col("price.collected")),
         report(fx, F.when(~_known(F.col("currency")), "currency unknown"), F.col("currency")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkdesk.functions import text as X
 from sparkdesk.functions.text import trimmed
 
 # fixed values: what prose may carry
@@ -85,13 +86,30 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 def _markup_only(html: Column) -> Column:
     """Markup without comments and without what scripts and styles hold."""
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(bare, r"(?is)(<(?:script|style)\b[^>]*>).*?</(?:script|style)\s*>", "$1")
+    return _without(_without_comments(html), "script|style", "$1")
+
+
+# Every pattern below runs only up to the last mark that could end it, so each match it begins it also ends,
+# and a page of begun tags is read once.
+def _without_comments(html: Column) -> Column:
+    return X.upto_last(html, "-->", lambda head: F.regexp_replace(head, r"(?s)<!--.*?-->", ""))
+
+
+def _without(html: Column, names: str, put: str) -> Column:
+    """Markup without what the named elements hold."""
+    head = F.regexp_extract(html, rf"(?is)\A(.*</(?:{names})\s*+>)", 1)
+    clean = F.regexp_replace(head, rf"(?is)(<(?:{names})\b[^>]*>).*?</(?:{names})\s*+>", put)
+    return F.concat(clean, F.substr(html, F.length(head) + 1))
+
+
+def _tags(html: Column, pattern: str) -> Column:
+    head = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    return F.regexp_extract_all(head, F.lit(pattern), F.lit(0))
 
 
 def disallowed_markup(pages: DataFrame) -> DataFrame:
     """(page_id, kind, name, count) of tags and attributes outside the lists."""
-    opening = F.regexp_extract_all(_markup_only(F.col("html")), F.lit(r"<[a-zA-Z][^>]*>"), F.lit(0))
+    opening = _tags(_markup_only(F.col("html")), r"<[a-zA-Z][^>]*>")
     tags = pages.select("page_id", F.explode(opening).alias("tag"))
     bare = F.regexp_replace("tag", r"\"[^\"]*\"|'[^']*'", "")
     names = F.concat(
@@ -110,7 +128,7 @@ def disallowed_markup(pages: DataFrame) -> DataFrame:
 
 def nesting_depth(html: Column) -> Column:
     """The deepest nesting that counting opening and closing tags gives."""
-    tags = F.regexp_extract_all(_markup_only(html), F.lit(r"</?[a-zA-Z][a-zA-Z0-9]*[^>]*>"), F.lit(0))
+    tags = _tags(_markup_only(html), r"</?[a-zA-Z][^>]*>")
 
     def step(tag: Column) -> Column:
         name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z0-9]+)", 1))
@@ -134,10 +152,9 @@ _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 def page_text(html: Column) -> Column:
     """What a page reads as: blocks on their own lines, no markup, spaces collapsed."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    body = F.regexp_replace(body, r"(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>", "")
-    body = F.regexp_replace(body, r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|footer|section|header))\b[^>]*>", "\n")
-    body = F.regexp_replace(body, r"<[a-zA-Z/!][^>]*>", "")
+    body = _without(_without_comments(html), "script|style|head", "")
+    block = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|footer|section|header))\b[^>]*>"
+    body = X.upto_last(body, ">", lambda head: F.regexp_replace(F.regexp_replace(head, block, "\n"), r"<[a-zA-Z/!][^>]*>", ""))
     for entity, char in _ENTITIES:
         body = F.replace(body, F.lit(entity), F.lit(char))
     body = F.regexp_replace(body, r"[ \t\r]+", " ")

@@ -184,16 +184,20 @@ def deduplicated_calls(spark, sf_dir):
     return C.deduplicated_calls(run(spark, sf_dir, _CALLS, "events"), cap=8)
 
 
-_EDITS = """SELECT conv_id, turn AS edit_turn, CASE WHEN conv_id % 3 = 0 THEN '  ' ELSE concat('Again: ', text) END AS new_text,
- CASE WHEN conv_id % 6 = 0 THEN 1 ELSE 0 END AS attachments FROM conversations WHERE conv_id % 2 = 0 AND turn = 1 + conv_id % 4"""
+_EDITS = """SELECT conv_id, 1 AS edit_no, turn AS edit_turn, CASE WHEN conv_id % 3 = 0 THEN '  ' ELSE concat('Again: ', text) END AS new_text,
+ CASE WHEN conv_id % 6 = 0 THEN 1 ELSE 0 END AS attachments FROM conversations WHERE conv_id % 2 = 0 AND turn = 1 + conv_id % 4
+ UNION ALL SELECT conv_id, 2, turn, concat('Once more: ', text), 0 FROM conversations WHERE conv_id % 5 < 3 AND turn <= 2 AND turn % 3 = conv_id % 3"""
 
 
 @query(
     "edited_turns_w25",
     f"""WITH e AS (SELECT x.* FROM ({_EDITS}) x JOIN conversations c ON c.conv_id = x.conv_id AND c.turn = x.edit_turn AND c.role = 'user'
-  WHERE trim(new_text) <> '' OR attachments > 0)
-SELECT c.conv_id, turn, role, text, NULL::BIGINT AS replaced FROM conversations c LEFT JOIN e USING (conv_id) WHERE edit_turn IS NULL OR turn < edit_turn
-UNION ALL SELECT conv_id, edit_turn, 'user', new_text, (SELECT count(*) FROM conversations c WHERE c.conv_id = e.conv_id AND c.turn > e.edit_turn) FROM e""",
+  WHERE trim(new_text) <> '' OR attachments > 0),
+f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY edit_turn, edit_no DESC) = 1),
+g AS (SELECT f.*, (SELECT min(edit_turn) FROM e WHERE e.conv_id = f.conv_id AND e.edit_no < f.edit_no) AS earlier FROM f)
+SELECT c.conv_id, turn, role, text, NULL::BIGINT AS replaced FROM conversations c LEFT JOIN g USING (conv_id) WHERE edit_turn IS NULL OR turn < edit_turn
+UNION ALL SELECT conv_id, edit_turn, 'user', new_text,
+ (SELECT count(*) FROM conversations c WHERE c.conv_id = g.conv_id AND c.turn > g.edit_turn AND (g.earlier IS NULL OR c.turn <= g.earlier)) FROM g""",
 )
 def edited_turns(spark, sf_dir):
     return C.apply_edits(table(spark, sf_dir, "conversations"), run(spark, sf_dir, _EDITS, "conversations"))

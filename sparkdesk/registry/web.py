@@ -138,7 +138,7 @@ def explained_captures(spark, sf_dir):
 @query(
     "endpoint_report_k10",
     f"""WITH {_CLASSED} SELECT DISTINCT phase, source, remote, class, what,
- CASE WHEN source = 'webview' THEN 'webview contact' WHEN phase = 'idle' THEN 'idle contact' END AS finding FROM c""",
+ CASE WHEN source = 'webview' AND phase = 'idle' THEN 'webview contact, idle contact' WHEN source = 'webview' THEN 'webview contact' WHEN phase = 'idle' THEN 'idle contact' END AS finding FROM c""",
 )
 def endpoint_report(spark, sf_dir):
     return N.endpoint_report(_captures(spark, sf_dir), *_maps(spark, sf_dir))

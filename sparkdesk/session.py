@@ -32,9 +32,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` where the
-    session names one, else a fresh local folder (single-machine runs only)."""
+    session names one. Without it a session on one machine gets a fresh local
+    folder; on a cluster, whose hosts would not see each other's files, that is
+    an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_DIRS:
             _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -17,12 +17,25 @@ CURRENT_SCHEMA = 1
 
 
 def read_conversations(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """One row per conversation; a file written by a newer version is refused."""
-    schema = T._parse_datatype_string(CONVERSATION_SCHEMA)
-    return (
-        spark.read.schema(schema).option("multiLine", one_per_file).json(path)
-        .where(F.coalesce("schema", F.lit(CURRENT_SCHEMA)) <= CURRENT_SCHEMA)
+    """One row per conversation that can be read; ``refused_conversations`` has the others."""
+    return _parsed(spark, path, one_per_file).where("__refused IS NULL").drop("__refused", "__file")
+
+
+def refused_conversations(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """(file, reason, id, title) of conversations that cannot be parsed, or that a newer version wrote."""
+    return _parsed(spark, path, one_per_file).where("__refused IS NOT NULL").select(
+        F.col("__file").alias("file"), F.col("__refused").alias("reason"), "id", "title"
+    )
+
+
+def _parsed(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    schema = T._parse_datatype_string(CONVERSATION_SCHEMA).add("__broken", "string")
+    rows = (
+        spark.read.schema(schema).option("multiLine", one_per_file).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "__broken").json(path)
     )
+    reason = F.when(F.col("__broken").isNotNull(), "not readable").when(F.col("schema") > CURRENT_SCHEMA, "newer version")
+    return rows.select(*schema.names[:-1], reason.alias("__refused"), F.col("_metadata.file_path").alias("__file"))
 
 
 def messages(conversations: DataFrame) -> DataFrame:

@@ -36,7 +36,11 @@ def latest_results(spark: SparkSession, root: str) -> DataFrame:
     """The newest ``raw-*.jsonl`` under ``root`` (names carry their time stamp).
     Only the listing is read to choose it."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    newest = listing.agg(F.max(F.regexp_extract("path", r"/(raw-[^/]*\.jsonl)(?:/|$)", 1))).first()[0]
+    found = F.struct(
+        F.regexp_extract("path", r"/(raw-[^/]*\.jsonl)(?:/|$)", 1).alias("name"),
+        F.regexp_extract("path", r"^(.*/raw-[^/]*\.jsonl)(?:/|$)", 1).alias("place"),
+    )
+    newest = listing.select(found.alias("f")).where("f.name <> ''").agg(F.max("f")).first()[0]
     if not newest:
         raise FileNotFoundError(f"no raw-*.jsonl under {root}")
-    return spark.read.schema(RESULT_SCHEMA).json(f"{root}/{newest}")
+    return spark.read.schema(RESULT_SCHEMA).json(newest["place"])

@@ -17,20 +17,22 @@ PRICE_SCHEMA = (
 
 def read_price_tables(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: ``table_id`` is the file name, ``price`` the table.
-    Files above the size a price list may have are left out."""
+    A file above the size a price list may have gives a row without a table,
+    marked ``oversized``."""
     schema = T._parse_datatype_string(PRICE_SCHEMA)
+    oversized = F.col("_metadata.file_size") > MAX_PRICE_FILE_BYTES
     return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .json(path)
-        .where(F.col("_metadata.file_size") <= MAX_PRICE_FILE_BYTES)
-        .select(F.col("_metadata.file_name").alias("table_id"), F.struct(*schema.names).alias("price"))
+        spark.read.schema(schema).option("multiLine", True).json(path)
+        .select(F.col("_metadata.file_name").alias("table_id"), oversized.alias("oversized"), F.struct(*schema.names).alias("price"))
+        .select("table_id", F.when(~F.col("oversized"), F.col("price")).alias("price"), "oversized")
     )
 
 
 def parse_price_tables(df: DataFrame, table_id: str, json: str) -> DataFrame:
-    return df.where(F.octet_length(json) <= MAX_PRICE_FILE_BYTES).select(
-        F.col(table_id).alias("table_id"), F.from_json(json, PRICE_SCHEMA).alias("price")
+    oversized = F.octet_length(json) > MAX_PRICE_FILE_BYTES
+    return df.select(
+        F.col(table_id).alias("table_id"), F.when(~oversized, F.from_json(json, PRICE_SCHEMA)).alias("price"),
+        F.coalesce(oversized, F.lit(False)).alias("oversized"),
     )
 
 

@@ -1,5 +1,7 @@
 """Literal cases of the text functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +129,25 @@ def test_bounds(spark):
     assert list(got["nested"]) == []
     # thousands of markers are counted without recursion
     assert value(spark, M.nesting(F.repeat(F.lit(">"), 15000))) == 15000
+
+
+def test_hostile_texts_are_read_once(spark):
+    """Begun marks without ends, and one very wide table row, take time in proportion to their length."""
+
+
+    from sparkdesk.operators.web import disallowed_markup, readable_pages
+
+    tags = spark.createDataFrame([("<think>" * 300_000,), ("a</think>" + "<think>" * 300_000,)], "t string")
+    rows = spark.createDataFrame([("|" + "--|" * 20_000,), ("|" + "--|" * 20_000 + "x|",)], "t string")
+    pages = spark.createDataFrame([(i, m * 200_000) for i, m in enumerate(["<!--", "<script ", "<a ", "<script>"])], "page_id long, html string")
+    for df, want in (
+        (tags.select(X.clean_reply(F.col("t")).alias("x")), ["", "a"]),
+        (rows.select(M.is_delimiter_row(F.col("t")).alias("x")), [True, False]),
+    ):
+        started = time.perf_counter()
+        assert [r["x"] for r in df.collect()] == want
+        assert time.perf_counter() - started < 20
+    started = time.perf_counter()
+    disallowed_markup(pages).collect()
+    readable_pages(pages).collect()
+    assert time.perf_counter() - started < 40
