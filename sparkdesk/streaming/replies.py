@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkdesk.functions.text import trimmed
-from sparkdesk.operators.replies import _EVENT, MAX_LINE_BYTES, MAX_REPLY_BYTES, line_events
+from sparkdesk.operators.replies import _EVENT, MAX_LINE_BYTES, MAX_REPLY_BYTES, assemble, line_events
+
+MAX_WAITING = 100_000  # lines of one request held ahead of a missing one
 
 REPLY_COLUMNS = "request_id long, reply string, truncated boolean, failed boolean, prompt long, completion long"
 _STEP = "struct<seq:bigint,kind:string,token:string,prompt:bigint,completion:bigint>"
@@ -47,60 +49,84 @@ def parsed(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     )
 
 
-def _fold(max_bytes: int, keep_closed_ms: int | None):
+class _Reply:
+    """A request's state: what was assembled, and the lines ahead of their turn."""
+
+    def __init__(self, held: tuple | None):
+        first = (False, 0, "", 0, False, None, None, [])
+        self.closed, self.next, text, self.size, self.truncated, self.prompt, self.completion, ahead = held or first
+        self.parts, self.failed = [text], False
+        self.waiting = {a["seq"]: a["steps"] for a in ahead}
+
+    def take(self, steps: list, max_bytes: int) -> bool:
+        """Apply one line; True if it ends the request."""
+        for s in steps:
+            if s["kind"] == "token":
+                n = len(s["token"].encode())
+                if self.size + n > max_bytes:
+                    self.truncated = True
+                    return True
+                self.parts.append(s["token"])
+                self.size += n
+            elif s["kind"] == "usage":
+                self.prompt, self.completion = int(s["prompt"]), int(s["completion"])
+            elif s["kind"] == "truncated":
+                self.truncated = True
+            else:
+                self.failed = s["kind"] == "error"
+                return True
+        return False
+
+    def row(self, request) -> pd.DataFrame:
+        text = None if self.failed else "".join(self.parts)
+        self.closed, self.waiting, self.parts = True, {}, []
+        return pd.DataFrame(
+            [[request, text, self.truncated, self.failed, self.prompt, self.completion]],
+            columns=["request_id", "reply", "truncated", "failed", "prompt", "completion"],
+        ).astype({"prompt": "Int64", "completion": "Int64"})
+
+    def held(self) -> tuple:
+        rest = [
+            (q, [(q, s["kind"], s["token"], s["prompt"], s["completion"]) for s in steps]) for q, steps in sorted(self.waiting.items())
+        ]
+        return (self.closed, self.next, "".join(self.parts), self.size, self.truncated, self.prompt, self.completion, rest)
+
+
+def _plain(step) -> dict:
+    """The state takes plain values only."""
+    return {k: step[k] if k in ("kind", "token") or step[k] is None else int(step[k]) for k in ("kind", "token", "prompt", "completion")}
+
+
+def _fold(max_bytes: int, keep_closed_ms: int | None, quiet_ms: int | None, max_waiting: int):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (request,) = key
+        reply = _Reply(state.get if state.exists else None)
         if state.hasTimedOut:
-            state.remove()
-            return
-        closed, nxt, reply, size, truncated, prompt, completion, ahead = (
-            state.get if state.exists else (False, 0, "", 0, False, None, None, [])
-        )
-        waiting = {a["seq"]: a["steps"] for a in ahead}
-        parts, failed, ended = [reply], False, False
+            if reply.closed:
+                state.remove()
+                return
+            # nothing came for a while: what has arrived is the reply, over any gap
+            for _, steps in sorted(reply.waiting.items()):
+                if reply.take(steps, max_bytes):
+                    break
+            yield reply.row(request)
         for pdf in batches:
-            if closed:
+            if reply.closed:
                 continue
             for seq, steps in zip(pdf["seq"], pdf["steps"]):
-                # plain values: the state takes no others
-                waiting[int(seq)] = [
-                    {k: s[k] if k in ("kind", "token") or s[k] is None else int(s[k]) for k in ("kind", "token", "prompt", "completion")}
-                    for s in steps
-                ]
-            while nxt in waiting and not ended:
-                for s in waiting.pop(nxt):
-                    if s["kind"] == "token":
-                        n = len(s["token"].encode())
-                        if size + n > max_bytes:
-                            truncated = ended = True
-                            break
-                        parts.append(s["token"])
-                        size += n
-                    elif s["kind"] == "usage":
-                        prompt, completion = int(s["prompt"]), int(s["completion"])
-                    elif s["kind"] == "truncated":
-                        truncated = True
-                    elif s["kind"] == "error":
-                        failed = ended = True
-                        break
-                    else:
-                        ended = True
-                        break
-                nxt += 1
+                reply.waiting[int(seq)] = [_plain(s) for s in steps]
+            ended = False
+            while reply.next in reply.waiting and not ended:
+                ended = reply.take(reply.waiting.pop(reply.next), max_bytes)
+                reply.next += 1
+            if not ended and len(reply.waiting) > max_waiting:
+                reply.failed = ended = True
             if ended:
-                closed, waiting = True, {}
-                text = None if failed else "".join(parts)
-                parts = []
-                yield pd.DataFrame(
-                    [[request, text, truncated, failed, prompt, completion]],
-                    columns=["request_id", "reply", "truncated", "failed", "prompt", "completion"],
-                ).astype({"prompt": "Int64", "completion": "Int64"})
-        rest = [
-            (q, [(q, s["kind"], s["token"], s["prompt"], s["completion"]) for s in steps]) for q, steps in sorted(waiting.items())
-        ]
-        state.update((closed, nxt, "".join(parts), size, truncated, prompt, completion, rest))
-        if closed and keep_closed_ms is not None:
-            state.setTimeoutDuration(keep_closed_ms)
+                yield reply.row(request)
+        state.update(reply.held())
+        wait = keep_closed_ms if reply.closed else quiet_ms
+        if wait is not None:
+            state.setTimeoutDuration(wait)
 
     return advance
 
@@ -110,9 +136,24 @@ def assembled(
     max_bytes: int = MAX_REPLY_BYTES,
     max_line_bytes: int = MAX_LINE_BYTES,
     keep_closed_ms: int | None = None,
+    quiet_ms: int | None = None,
+    max_waiting: int = MAX_WAITING,
 ) -> DataFrame:
-    timeout = GroupStateTimeout.NoTimeout if keep_closed_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    """One row per request, when it ends.
+
+    A request that hears nothing for ``quiet_ms`` ends with what has arrived; one
+    with more than ``max_waiting`` lines ahead of a missing line fails. Where
+    input is bounded, ``open_requests`` has those that no line or time ended.
+    """
+    untimed = keep_closed_ms is None and quiet_ms is None
+    timeout = GroupStateTimeout.NoTimeout if untimed else GroupStateTimeout.ProcessingTimeTimeout
     return (
         parsed(lines, max_line_bytes).groupBy("request_id")
-        .applyInPandasWithState(_fold(max_bytes, keep_closed_ms), REPLY_COLUMNS, _STATE, "append", timeout)
+        .applyInPandasWithState(_fold(max_bytes, keep_closed_ms, quiet_ms, max_waiting), REPLY_COLUMNS, _STATE, "append", timeout)
     )
+
+
+def open_requests(lines: DataFrame, emitted: DataFrame, max_bytes: int = MAX_REPLY_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """The replies of bounded input that the stream has not emitted, as far as they arrived."""
+    rest = lines.join(emitted.select("request_id").distinct(), "request_id", "left_anti")
+    return assemble(rest, max_bytes, max_line_bytes)
