@@ -133,8 +133,6 @@ def test_bounds(spark):
 
 def test_hostile_texts_are_read_once(spark):
     """Begun marks without ends, and one very wide table row, take time in proportion to their length."""
-
-
     from sparkdesk.operators.web import disallowed_markup, readable_pages
 
     tags = spark.createDataFrame([("<think>" * 300_000,), ("a</think>" + "<think>" * 300_000,)], "t string")
