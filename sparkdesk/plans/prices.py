@@ -6,6 +6,15 @@ Fixed values: rates per million tokens (ai) or per unit (image, search).
 PRICE_LIST = """{
   "version": "2026-10-19", "collected": "2026-10-19", "display_currency": "EUR",
   "fx": {"EUR": 1.0, "USD": 0.92},
+  "sources": {
+    "scaleway": "https://www.scaleway.com/en/pricing/model-as-a-service/",
+    "bfl": "https://bfl.ai/pricing",
+    "ovh": "https://www.ovhcloud.com/en/public-cloud/ai-endpoints/",
+    "linkup": "https://www.linkup.so/",
+    "staan": "https://staan.ai/",
+    "fx": "https://www.ecb.europa.eu/stats/policy_and_exchange_rates/euro_reference_exchange_rates/html/index.en.html"
+  },
+  "free": {"bfl": "none", "staan": "1,000 searches/month", "searxng": "free (self-hosted)"},
   "ai": {
     "default": {"input_per_mtok": 1.80, "output_per_mtok": 5.50, "currency": "EUR"},
     "glm-5.3": {"input_per_mtok": 1.80, "output_per_mtok": 5.50, "currency": "EUR"},
@@ -15,6 +24,15 @@ PRICE_LIST = """{
   "image": {
     "default": {"per_unit": 0.04, "currency": "USD"},
     "flux-pro-1.1": {"per_unit": 0.04, "currency": "USD"},
+    "flux-pro-1.1-ultra": {"per_unit": 0.06, "currency": "USD"},
+    "flux-pro": {"per_unit": 0.05, "currency": "USD"},
+    "flux-kontext-pro": {"per_unit": 0.04, "currency": "USD"},
+    "flux-kontext-max": {"per_unit": 0.08, "currency": "USD"},
+    "flux-2-pro": {"per_unit": 0.03, "currency": "USD"},
+    "flux-2-max": {"per_unit": 0.07, "currency": "USD"},
+    "flux-2-flex": {"per_unit": 0.05, "currency": "USD"},
+    "flux-2-klein-9b": {"per_unit": 0.015, "currency": "USD"},
+    "flux-2-klein-4b": {"per_unit": 0.014, "currency": "USD"},
     "ovh-sdxl": {"per_unit": 0.004, "currency": "EUR"},
     "custom": {"per_unit": 0.0, "currency": "EUR"}
   },

@@ -181,3 +181,27 @@ def test_failed_write_is_retried_and_counted_once(spark, tmp_path):
     assert calls[:2] == [0, 0]
     rows = SL.read_ledger(spark, out).collect()
     assert [(r["count"], r["cost"]) for r in rows] == [(12, 9.0)]
+
+
+def test_edits_follow_each_other(spark):
+    """Two edits of one chat leave one; what the turn carried stays; a removed turn cannot be edited."""
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"t{t}", f"file{t}") for t in range(8)] + [(2, 0, "user", "x", None)]
+    messages = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, attachments string")
+    edits = spark.createDataFrame(
+        [(1, 1, 4, "four", 0), (1, 2, 6, "six", 0), (1, 3, 2, "two", 0), (1, 4, 2, "two again", 0), (1, 5, 3, "no", 0), (2, 1, 0, " ", 0)],
+        "conv_id long, edit_no int, edit_turn long, new_text string, attachments int",
+    )
+    rows = sorted(C.apply_edits(messages, edits).collect(), key=lambda r: (r.conv_id, r.turn))
+    assert [(r.conv_id, r.turn, r.text, r.attachments, r.replaced) for r in rows] == [
+        (1, 0, "t0", "file0", None), (1, 1, "t1", "file1", None), (1, 2, "two again", "file2", 0), (2, 0, "x", None, None),
+    ]
+    first = C.apply_edits(messages, edits.where("edit_no = 3 OR edit_no = 1")).where("replaced IS NOT NULL").first()
+    assert (first.turn, first.replaced) == (2, 2)
+
+
+def test_snippet_is_cut_from_the_text_as_written(spark):
+    chats = spark.createDataFrame([(1, "t", "2026", True)], "conv_id long, title string, updated_at string, readable boolean")
+    text = chr(0x130) * 4 + " NEEDLE here"
+    messages = spark.createDataFrame([(1, 0, text, [])], "conv_id long, turn long, text string, attachments array<struct<kind:string,name:string,content:string>>")
+    row = C.search(chats, messages, "needle").first()
+    assert (row.snippet_before, row.snippet_match, row.snippet_after) == (text[:5], "NEEDLE", " here")

@@ -6,7 +6,9 @@ import pytest
 
 from sparkdesk.operators.corpus import comparison_classes, record_states
 from sparkdesk.sources import captures, conversations, corpus, evaluation, ledger, prices
+from sparkdesk.operators.validate import price_table_problems
 from sparkdesk.plans.prices import PRICE_LIST
+from sparkdesk.session import shared_dir
 
 
 def test_conversations(spark, tmp_path):
@@ -16,10 +18,41 @@ def test_conversations(spark, tmp_path):
     assert [(r["conv_id"], r["turn"], r["role"], r["text"], r["has_image"]) for r in got] == [("a", 0, "user", "hi", False), ("a", 1, "assistant", "", True)]
 
 
+def test_refused_conversations_are_rows(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"id": "a", "messages": [{"role": "user", "text": "hi"}]}))
+    (tmp_path / "b.json").write_text('{"id": "b", "messages": [')
+    (tmp_path / "c.json").write_text(json.dumps({"schema": 9, "id": "c"}))
+    assert [r["id"] for r in conversations.read_conversations(spark, str(tmp_path)).collect()] == ["a"]
+    refused = conversations.refused_conversations(spark, str(tmp_path)).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["reason"]) for r in refused) == [("b.json", "not readable"), ("c.json", "newer version")]
+
+
+def test_oversized_price_files_are_rows(spark, tmp_path):
+    (tmp_path / "big.json").write_text(PRICE_LIST + " " * 300_000)
+    row = prices.read_price_tables(spark, str(tmp_path / "big.json")).first()
+    assert row["oversized"] and row["price"] is None
+    big = spark.createDataFrame([("x", PRICE_LIST + " " * 300_000)], "id string, json string")
+    assert [tuple(r) for r in price_table_problems(prices.parse_price_tables(big, "id", "json"), "2026-10-19").collect()] == [("x", "file too large", "file")]
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster())
+
+
 def test_prices_and_ledger(spark, tmp_path):
     (tmp_path / "p.json").write_text(PRICE_LIST)
     tables = prices.read_price_tables(spark, str(tmp_path / "p.json"))
-    assert prices.rates(tables).count() == 12 and prices.exchange(tables).count() == 2
+    assert prices.rates(tables).count() == 21 and prices.exchange(tables).count() == 2
     (tmp_path / "l.json").write_text(json.dumps({"months": {
         "2026-07": {"ai": {"input_tokens": 5, "cost": 1.5}, "image_by_provider": {"ovh": {"count": 3, "cost": 0.5}}},
         "2026-08": {"ai": {"output_tokens": 2, "cost": 2.0}, "image_by_provider": {"ovh": {"count": 4}, "bfl": {"count": 1}}}}}))
