@@ -43,8 +43,7 @@ def record_states(parsed: DataFrame) -> DataFrame:
     """
     r = F.col("r")
     valid = (
-        r["reader"].isin(READERS) & (F.coalesce(r["elapsedMs"], F.lit(-1.0)) >= 0)
-        & (r["result"]["Ok"].isNotNull() != r["result"]["Err"].isNotNull())
+        r["reader"].isin(READERS) & (F.coalesce(r["elapsedMs"], F.lit(-1.0)) >= 0) & r["result"].isNotNull()
     )
     typed = parsed.withColumn(
         "type",
@@ -60,21 +59,20 @@ def record_states(parsed: DataFrame) -> DataFrame:
     ended = placed.where(ends).groupBy("run_id").agg(F.min("seq").alias("end_seq"))
     own_first = F.when(r["reader"] == "current", F.col("first_current")).otherwise(F.col("first_pdfkit"))
     error = (
-        F.when(F.col("problem") == "malformed", "Malformed JSON record")
-        .when(F.col("problem") == "not an object", "Record must be an object")
-        .when(F.col("seq") > F.col("end_seq"), "Record after end")
-        .when((F.col("type") == "end") & ~F.coalesce(ends, F.lit(False)), "Invalid or premature end record")
-        .when(F.col("type") == "invalid", "Invalid reader record")
-        .when((F.col("type") == "reader") & (F.col("seq") > own_first), "Duplicate reader record")
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("seq") > F.col("end_seq"), "after the end")
+        .when((F.col("type") == "end") & ~F.coalesce(ends, F.lit(False)), "end too early")
+        .when(F.col("type") == "invalid", "invalid reader")
+        .when((F.col("type") == "reader") & (F.col("seq") > own_first), "reader repeated")
         .when(
             (F.col("type") == "reader") & (r["reader"] == "pdfkit")
             & (F.col("first_current").isNull() | (F.col("first_current") > F.col("seq"))),
-            "Optional reader arrived before current reader",
+            "optional reader first",
         )
-        .when(F.col("type") == "unknown", "Unknown record type")
+        .when(F.col("type") == "unknown", "unknown record")
     )
     return placed.join(ended, "run_id", "left").select(
-        "run_id", "seq", "type", r["reader"].alias("reader"), r["result"].alias("result"), error.alias("error"),
+        "run_id", "seq", "type", r["reader"].alias("reader"), r["result"]["pages"].alias("pages"), error.alias("error"),
         (F.col("seq") == F.col("end_seq")).alias("is_end"),
         ((F.col("type") == "reader") & (F.col("seq") == own_first)
          & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))).alias("accepted"),
@@ -84,7 +82,7 @@ def record_states(parsed: DataFrame) -> DataFrame:
 def comparison_classes(states: DataFrame, processes: DataFrame) -> DataFrame:
     """(run_id, class, readers): ``success`` needs a clean process and protocol
     and both readers; otherwise some readable text makes it ``partial``."""
-    readable = F.exists(F.coalesce("result.Ok", F.array().cast("array<string>")), is_readable)
+    readable = F.exists(F.coalesce("pages", F.array().cast("array<string>")), is_readable)
     ok = F.coalesce("accepted", F.lit(False))
     runs = states.groupBy("run_id").agg(
         F.count_if(ok).alias("readers"),

@@ -147,25 +147,15 @@ def review_sheet(spark, sf_dir):
 
 # --- reader records ---------------------------------------------------------------
 
-_CURRENT = '{"record":"reader","reader":"current","elapsedMs":5.0,"result":{"Ok":["page text"]}}'
-_PDFKIT = '{"record":"reader","reader":"pdfkit","elapsedMs":2.5,"result":{"Ok":["page text"]}}'
-_EMPTY = '{"record":"reader","reader":"current","elapsedMs":5.0,"result":{"Ok":["  "]}}'
-_END = '{"record":"end","readers":2}'
-_BAD = '{"record":'
-# what the runs send, by run number modulo ten
-_SEQUENCES = [
-    [_CURRENT, _PDFKIT, _END], [_CURRENT, _CURRENT, _PDFKIT, _END], [_PDFKIT, _CURRENT, _END], [_CURRENT, _END, _PDFKIT],
-    [_CURRENT, _PDFKIT, _END, _CURRENT], [_CURRENT, _BAD, _PDFKIT, _END], ['[1]', _EMPTY, '{"record":"note"}'],
-    [_EMPTY, '{"record":"reader","reader":"other","elapsedMs":1.0,"result":{"Ok":[]}}'], [_CURRENT, _PDFKIT],
-    [_CURRENT, '{"record":"reader","reader":"pdfkit","elapsedMs":-1.0,"result":{"Ok":[]}}', _END],
-]
+# what the runs send, by document number modulo ten: c, p readers (C, P with nothing readable), e the end, b a broken line,
+# l a list, n a note, o another reader, s a body of plain strings, t a negative time
+_SEQUENCES = ["cpe", "ccpe", "pce", "cep", "cpec", "cbpe", "lCn", "Cos", "cp", "cte"]
 _ERRORS = [
-    [None] * 3, [None, "Duplicate reader record", None, None], ["Optional reader arrived before current reader", None, None],
-    [None, "Invalid or premature end record", None], [None, None, None, "Record after end"], [None, "Malformed JSON record", None, None],
-    ["Record must be an object", None, "Unknown record type"], [None, "Invalid reader record"], [None, None],
-    [None, "Invalid reader record", "Invalid or premature end record"],
+    [None] * 3, [None, "reader repeated", None, None], ["optional reader first", None, None],
+    [None, "end too early", None], [None, None, None, "after the end"], [None, "malformed", None, None],
+    ["not an object", None, "unknown record"], [None, "invalid reader", "invalid reader"], [None, None],
+    [None, "invalid reader", "end too early"],
 ]
-_CLASSES = ["success", "partial", "partial", "partial", "partial", "partial", "failed", "failed", "partial", "partial"]
 
 
 def _values(rows):
@@ -174,41 +164,80 @@ def _values(rows):
 
 
 def record_lines(spark, sf_dir):
-    """Every event is a run of readers; what it sends depends on its number."""
-    kinds = F.array(*[F.array(*[F.lit(x) for x in seq]) for seq in _SEQUENCES])
-    sent = F.element_at(kinds, (F.col("event_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.posexplode(sent).alias("seq", "line"))
+    """Every document is a run of two readers over its lines as pages; every 11th page fails, in every 8th document
+    all do, and the second reader misses the last page of every third document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    d, n = F.col("doc_id"), F.size("lines")
+
+    def page(x, i):
+        failed = (d % 8 == 0) | ((d + i) % 11 == 0)
+        return F.when(failed, F.to_json(F.struct(F.lit("no text").alias("Err")))).otherwise(F.to_json(F.struct(x.alias("Ok"))))
+
+    def blank(x, i):
+        return F.lit('{"Ok":"  "}')
+
+    def body(name, ms, ok):
+        return F.concat(F.lit(f'{{"record":"reader","reader":"{name}","elapsedMs":{ms},"result":{{"Ok":'), ok, F.lit("}}"))
+
+    def current(of):
+        pairs = F.transform("lines", lambda x, i: F.concat(F.lit("["), i + 1, F.lit(","), of(x, i + 1), F.lit("]")))
+        return body("current", 5.0, F.concat(F.lit("[["), F.array_join(pairs, ","), F.lit("],true]")))
+
+    def optional(of, ms=2.5):
+        seen = F.slice("lines", F.lit(1), F.when(d % 3 == 0, n - 1).otherwise(n))
+        return body("pdfkit", ms, F.concat(F.lit("["), F.array_join(F.transform(seen, lambda x, i: of(x, i + 1)), ","), F.lit("]")))
+
+    sent = {
+        "c": current(page), "C": current(blank), "p": optional(page), "P": optional(blank), "e": F.lit('{"record":"end","readers":2}'),
+        "b": F.lit('{"record":'), "l": F.lit("[1]"), "n": F.lit('{"record":"note"}'), "o": body("other", 1.0, F.lit("[]")),
+        "s": body("current", 5.0, F.to_json("lines")), "t": optional(page, -1.0),
+    }
+    kind = F.element_at(F.array(*[F.lit(x) for x in _SEQUENCES]), (d % 10 + 1).cast("int"))
+    each = docs.select("doc_id", "lines", F.posexplode(F.regexp_extract_all(kind, F.lit("."), F.lit(0))).alias("seq", "kind"))
+    line = F.lit(None).cast("string")
+    for k, v in sent.items():
+        line = F.when(F.col("kind") == k, v).otherwise(line)
+    return each.select(F.col("doc_id").alias("run_id"), "seq", line.alias("line"))
+
+
+_RUNS = f"""k AS (SELECT doc_id, text, unnest(string_split(s, '')) AS kind, unnest(range(0, len(s))) AS seq FROM documents
+  JOIN (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_SEQUENCES))}) AS v(m, s) ON doc_id % 10 = m),
+pages AS (SELECT doc_id, page_no, element, doc_id % 8 = 0 OR (doc_id + page_no) % 11 = 0 AS failed, count(*) OVER (PARTITION BY doc_id) AS n FROM ({DUCK_LINES})),
+seen AS (SELECT doc_id, bool_or(regexp_matches(element, '[^\\s]')) AS c, bool_or(regexp_matches(element, '[^\\s]') AND NOT (doc_id % 3 = 0 AND page_no = n)) AS p
+  FROM pages WHERE NOT failed GROUP BY doc_id)"""
 
 
 @query(
     "parsed_records_s8",
-    f"""SELECT event_id AS run_id, seq, CASE WHEN line = '{_BAD}' THEN 'malformed' WHEN line = '[1]' THEN 'not an object' END AS problem,
- CASE WHEN line LIKE '%current%' THEN 'current' WHEN line LIKE '%pdfkit%' THEN 'pdfkit' WHEN line LIKE '%other%' THEN 'other' END AS reader
-FROM events JOIN (VALUES {_values(_SEQUENCES)}) AS v(k, seq, line) ON event_id % 10 = k""",
+    f"""WITH {_RUNS} SELECT doc_id AS run_id, seq, CASE kind WHEN 'b' THEN 'malformed' WHEN 'l' THEN 'not an object' END AS problem,
+ CASE WHEN kind IN ('c', 'C', 's') THEN 'current' WHEN kind IN ('p', 't') THEN 'pdfkit' WHEN kind = 'o' THEN 'other' END AS reader,
+ CASE WHEN kind IN ('c', 'C') THEN len(string_split(text, chr(10))) WHEN kind IN ('p', 't') THEN len(string_split(text, chr(10))) - CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END END AS pages
+FROM k""",
 )
 def parsed_records(spark, sf_dir):
-    return S.parse_records(record_lines(spark, sf_dir)).select("run_id", "seq", "problem", F.col("r.reader").alias("reader"))
+    return S.parse_records(record_lines(spark, sf_dir)).select(
+        "run_id", "seq", "problem", F.col("r.reader").alias("reader"), F.size("r.result.pages").cast("long").alias("pages")
+    )
 
 
 @query(
     "record_errors_w24",
-    f"SELECT event_id AS run_id, seq, error FROM events JOIN (VALUES {_values(_ERRORS)}) AS v(k, seq, error) ON event_id % 10 = k",
+    f"SELECT doc_id AS run_id, seq, error FROM documents JOIN (VALUES {_values(_ERRORS)}) AS v(k, seq, error) ON doc_id % 10 = k",
 )
 def record_errors(spark, sf_dir):
     return K.record_states(S.parse_records(record_lines(spark, sf_dir))).select("run_id", "seq", "error")
 
 
-_CLASS = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES)) + " END"
-
-
 @query(
     "comparison_classes_k5",
-    f"SELECT event_id AS run_id, CASE WHEN event_id % 7 = 0 AND event_id % 10 = 0 THEN 'partial' ELSE {_CLASS} END AS class FROM events",
+    f"""WITH {_RUNS} SELECT d.doc_id AS run_id, CASE WHEN d.doc_id % 10 = 0 AND d.doc_id % 7 <> 0 THEN 'success'
+ WHEN d.doc_id % 10 IN (6, 7) THEN 'failed' WHEN coalesce(seen.c, false) OR (d.doc_id % 10 <> 9 AND coalesce(seen.p, false)) THEN 'partial' ELSE 'failed' END AS class
+ FROM documents d LEFT JOIN seen USING (doc_id)""",
 )
 def comparison_classes(spark, sf_dir):
     states = K.record_states(S.parse_records(record_lines(spark, sf_dir)))
-    processes = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("run_id"), F.lit(0).alias("status"), F.when(F.col("event_id") % 7 == 0, "SIGKILL").alias("signal"),
+    processes = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("run_id"), F.lit(0).alias("status"), F.when(F.col("doc_id") % 7 == 0, "SIGKILL").alias("signal"),
         F.lit(None).cast("string").alias("reason"), F.lit(True).alias("exit_confirmed"),
     )
     return K.comparison_classes(states, processes).select("run_id", "class")

@@ -21,30 +21,71 @@ def parse_manifests(df: DataFrame, manifest_id: str, json: str) -> DataFrame:
     )
 
 
-RECORD_SCHEMA = (
-    "struct<record:string,reader:string,readers:int,elapsedMs:double,"
-    "result:struct<Ok:array<string>,Err:string>,_corrupt:string>"
-)
+RECORD_SCHEMA = "struct<record:string,reader:string,readers:int,elapsedMs:double,_corrupt:string>"
+PAGE_SHAPES = ["OBJECT<Ok: STRING>", "OBJECT<Err: STRING>"]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Reader records, a file being a run: (run_id, seq, line). Lines stay text
-    until parsed, so a malformed one does not take earlier ones with it."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("run_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line")
+    """Reader records, a file being a run: (run_id, seq, line, broken). Lines stay
+    text until parsed, so a malformed one does not take earlier ones with it;
+    ``broken`` marks bytes that are not UTF-8, and a last line without an end."""
+    text = F.col("content").cast("string")
+    lines = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("run_id"), F.size(F.split(text, "\n")).alias("n"),
+        F.is_valid_utf8(text).alias("valid"), F.posexplode(F.split(text, "\n")).alias("seq", "line"),
+    )
+    broken = F.when(F.col("seq") == F.col("n") - 1, "unterminated").when(
+        # splitting has put the replacement character for bytes that are none
+        ~F.col("valid") & F.contains("line", F.lit("\ufffd")), "not UTF-8"
+    )
+    return lines.withColumn("broken", broken).where((F.trim("line") != "") | (F.col("broken") == "not UTF-8")).select(
+        "run_id", F.col("seq").cast("long").alias("seq"), "line", "broken"
+    )
+
+
+def _pages(v: Column, reader: Column) -> Column:
+    """The pages of a reader's result (``ok`` text or null), null where the body is not that reader's.
+
+    One reader numbers its pages from 1 and adds whether it saw graphics:
+    ``[[[1, {Ok|Err}], ...], flag]``; the other lists them: ``[{Ok|Err}, ...]``.
+    """
+    items = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>"))
+    page = lambda p: F.coalesce(F.schema_of_variant(p).isin(PAGE_SHAPES), F.lit(False))
+    text = lambda p: F.try_variant_get(p, "$.Ok", "string")
+    ok = F.try_variant_get(v, "$.result.Ok", "variant")
+    both = items(ok)
+    numbered = items(F.get(both, F.lit(0)))
+    pairs = F.transform(numbered, items)
+    placed = F.transform(pairs, lambda p, i: F.coalesce(
+        (F.size(p) == 2) & (F.try_variant_get(F.get(p, F.lit(0)), "$", "bigint") == i + 1) & page(F.get(p, F.lit(1))), F.lit(False)))
+    current = (F.size(both) == 2) & (F.schema_of_variant(F.get(both, F.lit(1))) == "BOOLEAN") & F.forall(placed, lambda x: x)
+    listed = F.forall(both, page)
+    return F.when((reader == "current") & current, F.transform(pairs, lambda p: text(F.get(p, F.lit(1))))).when(
+        (reader == "pdfkit") & listed, F.transform(both, text)
     )
-    return lines.where(F.trim("line") != "").withColumn("seq", F.col("seq").cast("long"))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """Add ``r`` (the record, all null when malformed) and ``problem`` with the line itself."""
+    """Add ``r`` (the record, all null when malformed) with its ``result`` and
+    ``problem`` with the line itself. ``result`` has the pages, or null pages
+    where the whole document failed; it is null unless it has the reader's form."""
+    held = lines if "broken" in lines.columns else lines.withColumn("broken", F.lit(None).cast("string"))
     r = F.from_json("line", RECORD_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    v = F.try_parse_json(F.col("line"))
     # a line that does not open an object is no record; what it is instead matters only then
-    other = F.when(F.try_parse_json(F.col("line")).isNull(), "malformed").otherwise("not an object")
+    other = F.when(v.isNull(), "malformed").otherwise("not an object")
     opens = F.ltrim("line").startswith("{")
-    return lines.withColumn("r", r).withColumn(
-        "problem", F.when(F.col("r._corrupt").isNotNull() & opens, "malformed").when(~opens, other)
+    parsed = held.withColumn("v", v).withColumn("r", r)
+    result = F.try_variant_get("v", "$.result", "variant")
+    shape = F.schema_of_variant(result)
+    one_key = F.size(F.json_object_keys(F.to_json(result))) == 1
+    pages = F.when(one_key & shape.startswith("OBJECT<Ok: "), _pages(F.col("v"), F.col("r.reader")))
+    body = F.when(shape == "OBJECT<Err: STRING>", F.struct(F.lit(None).cast("array<string>").alias("pages"))).when(
+        pages.isNotNull(), F.struct(pages.alias("pages"))
     )
+    return parsed.withColumn("r", F.struct("r.*", body.alias("result"))).withColumn(
+        "problem", F.coalesce("broken", F.when(F.col("r._corrupt").isNotNull() & opens, "malformed").when(~opens, other))
+    ).drop("v", "broken")
 
 
 MAX_LISTED = 400

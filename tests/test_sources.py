@@ -81,14 +81,28 @@ def test_captures(spark, tmp_path):
 
 
 def test_records_survive_a_malformed_line(spark, tmp_path):
-    reader = '{"record":"reader","reader":"%s","elapsedMs":1,"result":{"Ok":["text"]}}'
-    (tmp_path / "run-1").write_text("\n".join([reader % "current", '{"record":', reader % "pdfkit", '{"record":"end","readers":2}']) + "\n")
-    (tmp_path / "run-2").write_text("\n".join([reader % "current", reader % "pdfkit", '{"record":"end","readers":2}']) + "\n")
+    page = json.dumps({"Ok": "text"})
+    current = '{"record":"reader","reader":"current","elapsedMs":1,"result":{"Ok":[[[1,%s]],false]}}' % page
+    native = '{"record":"reader","reader":"pdfkit","elapsedMs":1,"result":{"Ok":[%s]}}' % page
+    end, failed = '{"record":"end","readers":2}', current.replace("Ok\": \"text", "Err\": \"none")
+    runs = {
+        "run-1": [current, '{"record":', native, end, ""], "run-2": [current, native, end, ""],
+        "run-3": [failed, native.replace("Ok\": \"text", "Err\": \"none"), ""], "run-4": [current.replace("[1,", "[2,"), native, ""],
+        "run-5": [current, native, end], "run-6": [current, native.replace('[{"Ok": "text"}]', '["text"]'), ""],
+    }
+    for name, lines in runs.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    (tmp_path / "run-7").write_bytes(current.encode() + b"\n\xff\xfe\n" + native.encode() + b"\n" + end.encode() + b"\n")
     states = record_states(corpus.parse_records(corpus.read_records(spark, str(tmp_path))))
-    assert {(r["run_id"], r["error"]) for r in states.collect() if r["error"]} == {("run-1", "Malformed JSON record")}
-    processes = spark.createDataFrame([("run-1", 0, None, None, True), ("run-2", 0, None, None, True)],
+    assert {(r["run_id"], r["error"]) for r in states.collect() if r["error"]} == {
+        ("run-1", "malformed"), ("run-4", "invalid reader"), ("run-4", "optional reader first"), ("run-5", "unterminated"),
+        ("run-6", "invalid reader"), ("run-7", "not UTF-8"),
+    }
+    processes = spark.createDataFrame([(f"run-{i}", 0, None, None, True) for i in range(1, 8)],
                                       "run_id string, status int, signal string, reason string, exit_confirmed boolean")
-    assert {r["run_id"]: r["class"] for r in comparison_classes(states, processes).collect()} == {"run-1": "partial", "run-2": "success"}
+    assert {r["run_id"]: r["class"] for r in comparison_classes(states, processes).collect()} == {
+        "run-1": "partial", "run-2": "success", "run-3": "failed", "run-4": "partial", "run-5": "partial", "run-6": "partial", "run-7": "partial",
+    }
 
 
 def test_manifest_and_inventory(spark, tmp_path):
