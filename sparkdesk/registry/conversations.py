@@ -255,7 +255,26 @@ def model_payload(spark, sf_dir):
     return C.payload(_with_attachments(spark, sf_dir))
 
 
-@query("admitted_attachments_w8")
+_FULL = "a.n >= 20"
+_BIG = f"(NOT {_FULL} AND x.bytes > 0 AND a.image_bytes + x.bytes > 50331648)"
+_LONG = f"(NOT {_FULL} AND NOT {_BIG} AND x.chars > 0 AND a.text_chars + x.chars > 300000)"
+_TAKE = f"NOT ({_FULL} OR {_BIG} OR {_LONG})"
+
+
+@query(
+    "admitted_attachments_w8",
+    f"""WITH c AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s, i: {{'pos': (i - 1)::BIGINT,
+  'bytes': CASE WHEN (i - 1) % 3 = 1 THEN ((i - 1) * 7 + 1) % 6 * 2097152 ELSE 0 END::BIGINT,
+  'chars': CASE WHEN (i - 1) % 3 = 1 THEN 0 ELSE length(s) * 40 END::BIGINT}}) AS l FROM documents),
+f AS (SELECT doc_id, list_reduce(l, lambda a, x: {{
+  'n': a.n + CASE WHEN {_TAKE} THEN 1 ELSE 0 END, 'image_bytes': a.image_bytes + CASE WHEN {_TAKE} THEN x.bytes ELSE 0 END,
+  'text_chars': a.text_chars + CASE WHEN {_TAKE} THEN x.chars ELSE 0 END,
+  'taken': CASE WHEN {_TAKE} THEN concat(a.taken, CASE WHEN a.n > 0 THEN ',' ELSE '' END, x.pos) ELSE a.taken END,
+  'too_many': a.too_many + CASE WHEN {_FULL} THEN 1 ELSE 0 END, 'images_too_big': a.images_too_big + CASE WHEN {_BIG} THEN 1 ELSE 0 END,
+  'text_too_long': a.text_too_long + CASE WHEN {_LONG} THEN 1 ELSE 0 END}},
+  {{'n': 0::BIGINT, 'image_bytes': 0::BIGINT, 'text_chars': 0::BIGINT, 'taken': '', 'too_many': 0::BIGINT, 'images_too_big': 0::BIGINT, 'text_too_long': 0::BIGINT}}) AS r FROM c)
+SELECT doc_id, r.image_bytes, r.text_chars, r.taken, r.too_many, r.images_too_big, r.text_too_long FROM f""",
+)
 def admitted_attachments(spark, sf_dir):
     """Every document's lines as a message's candidates."""
     lines = F.split("text", "\n")
