@@ -112,31 +112,48 @@ def broken_tables(documents: DataFrame) -> DataFrame:
     )
 
 
-def marker_patterns(references: list[str], withheld: list[str]) -> list[tuple[str, str]]:
-    """(rule, pattern) pairs: notes to the author, draft banners, headings for
-    maintainers, references that must not ship, links to withheld names."""
-    quote = lambda s: "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
-    patterns = [
-        ("placeholder", r"\[(?!\s*[xX ]?\s*\])(?!(?:GAP|FAQ|PLACEHOLDER)\])[A-Z][^\]\n]{4,}\](?!\()"),
-        ("draft banner", r"(?i)^#\s.*\boutline\b|^\*\*Status:.*\b(?:outline|draft|not yet (?:a )?publish)"),
-        ("maintainer heading", r"(?i)^#{1,6}\s.*\b(?:reviewer|checklist|for review|internal|todo)\b"),
-    ]
-    patterns += [("reference", quote(r)) for r in references]
-    if withheld:
-        names = "|".join(quote(n) for n in withheld)
-        patterns.append(("withheld link", rf"\[[^\]]+\]\((?:[^)]*/)?(?:{names})(?:#[^)]*)?\)"))
-    return patterns
+# fixed values: the mark that ends the public part, words that give a draft or a maintainer's heading away, brackets that are meant
+PUBLIC_END = "<!-- public:end -->"
+DRAFT_STATUS = ["outline", "draft", "not yet publish", "not yet a publish"]
+MAINTAINER_WORDS = ["reviewer", "checklist", "for review", "internal", "todo"]
+MEANT_BRACKETS = ["[GAP]", "[FAQ]", "[PLACEHOLDER]"]
+
 
+def _has_word(line: Column, words: list[str], whole: bool = True) -> Column:
+    """Whether a lower-case line holds one of the words, not as part of another."""
+    end = r"\b" if whole else ""
+    return line.rlike(r"\b(?:" + "|".join(w.replace(" ", r"\s") for w in words) + ")" + end)
 
-def _marked(rule: str):
-    return lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("found"))
 
+def text_markers(documents: DataFrame, references: list[str], withheld: list[str]) -> DataFrame:
+    """(doc_id, line_no, rule, found) for what must not be published, in one pass over the public lines.
 
-def text_markers(documents: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, line_no, rule, found) for every match of every pattern, in one pass over the lines."""
-    raw = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    found = F.concat(*[
-        F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), _marked(rule))
-        for rule, p in patterns
-    ])
+    Notes to the author in brackets, draft banners, headings for maintainers,
+    references that must not ship, and links to withheld names. What stands
+    after the end of the public part never ships and is not looked at.
+    """
+    public = F.substring_index("text", PUBLIC_END, 1)
+    raw = documents.select("doc_id", F.posexplode(F.split(public, "\n")).alias("pos", "line"))
+    line, low = F.col("line"), F.lower("line")
+    quote = lambda s: "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
+
+    def every(rule: str, items: Column) -> Column:
+        return F.transform(items, lambda m: F.struct(F.lit(rule).alias("rule"), m.alias("found")))
+
+    def once(rule: str, holds: Column) -> Column:
+        return every(rule, F.when(holds, F.array(line)).otherwise(F.array().cast("array<string>")))
+
+    # a bracket of five characters or more that opens with a capital, and is no link
+    brackets = F.regexp_extract_all("line", F.lit(r"\[[^\]]*\]\(?"), F.lit(0))
+    notes = F.filter(brackets, lambda b: b.rlike(r"\A\[[A-Z]") & (F.length(b) >= 7) & ~b.endswith("(") & ~b.isin(MEANT_BRACKETS))
+    # links are cut at their brackets; the last part of the address without its anchor is the name
+    links = F.regexp_extract_all("line", F.lit(r"\[[^\]]+\]\([^)]*\)"), F.lit(0))
+    name = lambda m: F.regexp_extract(m, r"([^/(#]*)(?:#[^)]*)?\)\z", 1)
+    banner = (low.startswith("# ") & _has_word(low, ["outline"])) | (low.startswith("**status:") & _has_word(low, DRAFT_STATUS, whole=False))
+    found = F.concat(
+        every("placeholder", notes), once("draft banner", banner),
+        once("maintainer heading", low.rlike(r"\A#{1,6}\s") & _has_word(low, MAINTAINER_WORDS)),
+        *[every("reference", F.regexp_extract_all("line", F.lit(quote(r)), F.lit(0))) for r in references],
+        every("withheld link", F.filter(links, lambda m: name(m).isin(withheld) if withheld else F.lit(False))),
+    )
     return raw.select("doc_id", (F.col("pos") + 1).alias("line_no"), F.inline(found))

@@ -353,7 +353,7 @@ def unlisted_dependencies(spark, sf_dir):
  SELECT doc_id, 1 AS line_no, CASE doc_id % 9 WHEN 0 THEN 'draft banner' WHEN 1 THEN 'maintainer heading' WHEN 2 THEN 'reference' END AS rule,
   CASE doc_id % 9 WHEN 0 THEN concat('# ', source, ' outline') WHEN 1 THEN concat('# ', source, ' reviewer checklist') WHEN 2 THEN 'private/repo' END AS found FROM documents
  UNION ALL SELECT doc_id, 2, CASE doc_id % 7 WHEN 0 THEN 'placeholder' WHEN 1 THEN 'draft banner' WHEN 2 THEN 'withheld link' END,
-  CASE doc_id % 7 WHEN 0 THEN '[Confirm this date]' WHEN 1 THEN '**Status: draft' WHEN 2 THEN '[notes](../docs/NOTES.md#a)' END FROM documents) WHERE rule IS NOT NULL""",
+  CASE doc_id % 7 WHEN 0 THEN '[Confirm this date]' WHEN 1 THEN '**Status: draft**' WHEN 2 THEN '[notes](../docs/NOTES.md#a)' END FROM documents) WHERE rule IS NOT NULL""",
 )
 def text_markers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
@@ -364,10 +364,12 @@ def text_markers(spark, sf_dir):
             .when(F.col("doc_id") % 9 == 2, " see private/repo").otherwise(""), F.lit("\n"),
             F.when(F.col("doc_id") % 7 == 0, "[Confirm this date] and [GAP] and [x] and [Link text](a.md)")
             .when(F.col("doc_id") % 7 == 1, "**Status: draft**").when(F.col("doc_id") % 7 == 2, "see [notes](../docs/NOTES.md#a) now").otherwise("plain"),
-            F.lit("\n"), F.translate("text", "[]#*", "____"),
+            F.lit(f"\n{V.PUBLIC_END}\n# internal todo\n"), "text",
         ).alias("text"),
     )
-    return V.text_markers(docs, V.marker_patterns(["private/repo"], ["NOTES.md", "PLAN.md"]))
+    # the given text as it is, before and after the end of the public part
+    given = table(spark, sf_dir, "documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    return V.text_markers(docs.unionByName(given), ["private/repo"], ["NOTES.md", "PLAN.md"])
 
 
 @query(
