@@ -225,15 +225,14 @@ _LABEL = r"(?m)^\[Page ([0-9]+)(?:, read from a picture)?\]"
 
 def unaccounted_pages(pages: DataFrame, assembled: DataFrame) -> DataFrame:
     """Pages of labelled documents that the text does not name exactly once: (doc_id, page_no, named)."""
-    shown = assembled.where("partial")
-    labels = shown.select(
-        "doc_id", F.explode(F.regexp_extract_all("text", F.lit(_LABEL), F.lit(1)).cast("array<bigint>")).alias("page_no")
-    ).groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("named"))
+    numbers = F.regexp_extract_all("text", F.lit(_LABEL), F.lit(1)).cast("array<bigint>")
+    # names and pages meet in one aggregate: a page has ``here``, a label in the text counts
+    labels = assembled.where("partial").select("doc_id", F.explode(numbers).alias("page_no"), F.lit(1).alias("one"), F.lit(False).alias("here"))
+    shown = assembled.where("partial").select("doc_id")
+    own = pages.join(shown, "doc_id", "left_semi").select("doc_id", "page_no", F.lit(0).alias("one"), F.lit(True).alias("here"))
     return (
-        pages.join(shown.select("doc_id"), "doc_id", "left_semi").select("doc_id", "page_no")
-        .join(labels, ["doc_id", "page_no"], "left")
-        .withColumn("named", F.coalesce("named", F.lit(0).cast("long")))
-        .where("named <> 1")
+        own.unionByName(labels).groupBy("doc_id", "page_no").agg(F.sum("one").alias("named"), F.bool_or("here").alias("here"))
+        .where("here AND named <> 1").select("doc_id", "page_no", "named")
     )
 
 

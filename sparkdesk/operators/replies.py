@@ -16,7 +16,7 @@ MAX_REPLY_BYTES = 8 * 1024 * 1024
 
 _EVENT = (
     "struct<usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>,"
-    "choices:array<struct<finish_reason:string,delta:struct<content:string,reasoning_content:string>>>>"
+    "choices:array<struct<finish_reason:string,delta:struct<content:variant,reasoning_content:variant>>>>"
 )
 
 
@@ -46,7 +46,7 @@ def line_events(v: Column, oversized: Column, first_thinking: Column) -> Column:
     prompt, completion, total = (F.when(u[n] >= 0, u[n]) for n in ("prompt_tokens", "completion_tokens", "total_tokens"))
     both = prompt.isNotNull() & completion.isNotNull()
     rest = F.greatest(zero, total - F.coalesce(prompt, zero))
-    token = first["delta"]["content"]
+    token = _delta(v, "content")
     return F.array_compact(F.array(
         F.when(oversized, event("error")),
         F.when(both | total.isNotNull(), event("usage", None, F.coalesce(prompt, zero), F.when(both, completion).otherwise(rest))),
@@ -99,7 +99,9 @@ def decode(
 
 
 def _delta(v: Column, field: str) -> Column:
-    return F.get(v["choices"], F.lit(0))["delta"][field]
+    """A field of the first choice, if it is a string; anything else says nothing."""
+    value = F.get(v["choices"], F.lit(0))["delta"][field]
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def assemble(

@@ -205,3 +205,11 @@ def test_snippet_is_cut_from_the_text_as_written(spark):
     messages = spark.createDataFrame([(1, 0, text, [])], "conv_id long, turn long, text string, attachments array<struct<kind:string,name:string,content:string>>")
     row = C.search(chats, messages, "needle").first()
     assert (row.snippet_before, row.snippet_match, row.snippet_after) == (text[:5], "NEEDLE", " here")
+
+
+def test_only_strings_are_tokens(spark):
+    said = ['"a"', '{"x": 1}', "5", "null", '"b"']
+    lines = [(1, i, 'data: {"choices":[{"delta":{"content":%s}}]}' % x) for i, x in enumerate(said)]
+    df = spark.createDataFrame(lines, "request_id long, seq long, line string")
+    assert R.assemble(df).first().reply == "ab"
+    assert [r.token for r in R.decode(df).orderBy("seq").collect()] == ["a", "b"]
