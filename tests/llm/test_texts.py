@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -169,6 +170,32 @@ def test_chains_and_large_groups_meet(spark):
     assert {r.doc_id: r.component_id for r in rows} == components_of(docs)
 
 
+def test_groups_without_a_centre(spark):
+    """Near copies that are mostly too far from each other: buckets stay mixed, and the few links are all found."""
+    hub = [f"h{i}" for i in range(120)]
+    cut = lambda k, n: " ".join(x if not (k * 7) % 110 <= j < (k * 7) % 110 + n else f"s{k}_{j}" for j, x in enumerate(hub))
+    docs = [(k, cut(k, 9 if k % 4 else 5)) for k in range(40)]
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = components_of(docs)
+    assert {r.doc_id: r.component_id for r in rows} == want and 1 < len(set(want.values())) < 40
+
+
+def test_links_between_components():
+    texts = ["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q", "a b c d e f g h i j k l m n o r", "z b c d e f g h i j k l m n o p"]
+    items = [near_dup.shingles(t).view(np.int64) for t in texts]
+    sketches = [near_dup.sketch(x.view(np.uint64)) for x in items]
+    sigs, keys = [(s & np.uint64(255)).astype(np.uint8) for s in sketches], [near_dup.band_keys(s) for s in sketches]
+    band = int(np.flatnonzero(keys[1] == keys[2])[0])
+    rows = [(True, 7, band, i, c, 0, sigs[i].tobytes(), keys[i], items[i]) for i, c in ((2, 2), (0, 0), (1, 0), (2, 2), (3, 3))]
+    f = pd.DataFrame(rows, columns=["minor", "bucket", "band", "id", "component", "leader", "sig", "bands", "items"])
+    f.loc[1:, "minor"] = False
+    found = near_dup._links_between(f)
+    assert found.values.tolist()[:1] == [[1, 2]] and len(found) <= 2 and all(found.dtypes == "int64")
+    for a, b in found.itertuples(index=False):
+        n = len(np.intersect1d(items[a], items[b]))
+        assert 100 * n >= 75 * (len(items[a]) + len(items[b]) - n)
+
+
 def test_sketches_estimate_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(250, 1250, dtype=np.uint64)
     mixed = [near_dup.sketch(near_dup._mix(x + np.uint64(7))) for x in (a, b)]
