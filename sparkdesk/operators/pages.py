@@ -158,8 +158,7 @@ def reader_timing(runs: DataFrame, bucket_ms: float = 64.0) -> DataFrame:
         F.struct(F.lit("current").alias("reader"), F.col("current_ms").alias("ms")),
         F.struct(F.lit("extra").alias("reader"), F.col("extra_ms").alias("ms")),
     )))
-    median = order_statistic(long, ["reader"], "ms", F.floor(F.col("n") / 2), bucket_ms, "median_ms")
-    return median.join(long.groupBy("reader").agg(F.max("ms").alias("max_ms")), "reader")
+    return order_statistic(long, ["reader"], "ms", F.floor(F.col("n") / 2), bucket_ms, "median_ms").withColumnRenamed("largest", "max_ms")
 
 
 def overlay_recognised(pages: DataFrame, recognised: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def order_statistic(
     bucket_width: float,
     out: str,
 ) -> DataFrame:
-    """The value at 0-based ``rank`` of each key's sorted values, exactly.
+    """The value at 0-based ``rank`` of each key's sorted values, exactly, and the ``largest``.
 
     ``rank`` may use ``n``, the key's row count. Equal values are counted
     before anything is ordered; totals per bucket of values are then walked to
@@ -136,17 +136,18 @@ def order_statistic(
     w = Window.partitionBy(*by).orderBy("__b")
     buckets = (
         counts.groupBy(*by, "__b")
-        .agg(F.sum("__n").alias("__bn"))
+        .agg(F.sum("__n").alias("__bn"), F.max("__x").alias("__bm"))
+        .withColumn("largest", F.max("__bm").over(Window.partitionBy(*by)))
         .withColumn("n", F.sum("__bn").over(Window.partitionBy(*by)))
         .withColumn("__before", F.sum("__bn").over(w) - F.col("__bn"))
         .withColumn("__rank", rank)
         .where((F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__bn")))
-        .select(*by, "__b", "n", "__before", "__rank")
+        .select(*by, "__b", "n", "largest", "__before", "__rank")
     )
     inner = Window.partitionBy(*by, "__b").orderBy("__x")
     return (
         counts.join(buckets, by + ["__b"])
         .withColumn("__upto", F.col("__before") + F.sum("__n").over(inner))
         .where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
-        .select(*by, "n", F.col("__x").alias(out))
+        .select(*by, "n", F.col("__x").alias(out), "largest")
     )
