@@ -29,7 +29,8 @@ from sparkdesk.llm.vectors import finite
 
 SHARD = 4096  # points of a shard, nearly
 DEGREE = 32
-BEAM = 48
+BEAM = 48  # while a graph is built
+SEARCH_BEAM = 128
 ALPHA = 1.2
 PASSES = 2
 SIDE_BY_SIDE = 256
@@ -188,7 +189,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
             for i in range(0, len(queries), SIDE_BY_SIDE):
                 some = queries.iloc[i : i + SIDE_BY_SIDE]
                 q = _filled(some["v"], width)
-                ids, _ = beam_search(light, graph, int(r["start"]), q.astype(np.float32), min(max(BEAM, 2 * k), len(x)), zero)
+                ids, _ = beam_search(light, graph, int(r["start"]), q.astype(np.float32), min(max(SEARCH_BEAM, 2 * k), len(x)), zero)
                 scores = np.where(ids >= 0, np.einsum("qbd,qd->qb", x[np.maximum(ids, 0)], q), -np.inf)
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
                 scores, ids = np.take_along_axis(scores, best, axis=1), np.take_along_axis(ids, best, axis=1)
