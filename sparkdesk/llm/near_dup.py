@@ -9,9 +9,10 @@ Equal sets are one class, found by a hash of the set, and only its smallest id
 goes on. In a band bucket every member is paired with one leader; each band
 draws another leader. Pairs are verified on full sets, and components follow.
 Where a bucket still spans several components, its members outside the leader's
-component are compared with all members by sketch, in blocks, and pairs of
-different components that look near are verified too. So no pair within a
-component is formed, and no link between components that the bands show is lost.
+component meet all members, in blocks that carry the full sets: a pair that the
+bucket is the first to show, of different components and with like sketches, is
+verified on the spot, and two components need one link. So no pair is ever a
+row, and no link between components that the bands show is lost.
 
 Defined results: a null or empty text has an empty set and is its own component;
 rows that share an id are one document, with the links of any of them; a row
@@ -132,9 +133,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, "id long, items array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are near enough."""
-    sets = stage(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b"
     )
@@ -149,8 +149,42 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _unresolved(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches look near."""
+def _links_between(f: pd.DataFrame) -> pd.DataFrame:
+    """Links of the ``minor`` rows with the others, enough to join their components."""
+    x, y = f[f["minor"]], f[~f["minor"]].reset_index(drop=True)
+    sigs = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(len(y), -1)
+    keys = np.stack(y["bands"])
+    ids, sizes, items = y["id"].to_numpy(), y["items"].map(len).to_numpy(), y["items"].to_numpy()
+    codes, labels = pd.factorize(pd.concat([y["component"], x["component"]]))
+    root = np.arange(len(labels))  # of each component, as links join them
+    comp, own = codes[: len(y)], codes[len(y) :]
+    band, leader, a, b = int(f["band"].iloc[0]), f["leader"].iloc[0], [], []
+    for i, c, s, held, mine in zip(x["id"], own, x["sig"], x["bands"], x["items"]):
+        if i == leader:
+            continue
+        same = sigs == np.frombuffer(s, dtype=np.uint8)
+        shared = keys[:, : band + 1] == np.asarray(held)[: band + 1]
+        mine, n = np.sort(mine), len(mine)  # in the order of signed integers
+        look = (
+            shared[:, band] & ~shared[:, :band].any(axis=1) & (same.sum(axis=1) >= ALIKE) & (root[comp] != root[c])
+            & (ids != leader) & (sizes * 100 >= n * PERCENT) & (n * 100 >= sizes * PERCENT)
+        )
+        at = np.flatnonzero(look)
+        if not len(at):
+            continue
+        flat = np.concatenate([items[j] for j in at])
+        place = np.minimum(np.searchsorted(mine, flat), n - 1)
+        common = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+        for j in at[common * 100 >= (sizes[at] + n - common) * PERCENT]:
+            if root[comp[j]] != root[c]:
+                root[root == root[comp[j]]] = root[c]
+                a.append(min(i, ids[j]))
+                b.append(max(i, ids[j]))
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, beyond those with its leader."""
     labelled = (
         members.where("n > 2").join(comps.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("component", F.coalesce("component", "id"))
@@ -161,15 +195,15 @@ def _unresolved(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFr
             main.alias("main"), F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
         ).where("lo <> hi").select("bucket", "main", "size")
     )
-    rows = stage(labelled.drop("n").join(mixed, "bucket").join(sigs, "id"), "near-mixed")
+    rows = stage(labelled.drop("n").join(mixed, "bucket"), "near-mixed")
     minors = rows.where("component <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("minors"))
     spread = F.xxhash64("id", F.lit(7))
     rows = (
-        rows.join(minors, "bucket")
+        rows.join(minors, "bucket").join(sigs, "id").join(sets, "id")
         .withColumn("bi", F.ceil(F.col("minors") / MINOR_BLOCK).cast("int"))
         .withColumn("bj", F.ceil(F.col("size") / MAJOR_BLOCK).cast("int"))
     )
-    keep = ["bucket", "id", "component", "leader", "sig"]
+    keep = ["bucket", "band", "id", "component", "leader", "sig", "bands", "items"]
     small = rows.where("component <> main").select(
         *keep, F.lit(True).alias("minor"), F.pmod(spread, F.col("bi")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"),
@@ -178,22 +212,7 @@ def _unresolved(members: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFr
         *keep, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"),
         F.pmod(spread, F.col("bj")).cast("int").alias("j"),
     )
-
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f[f["minor"]], f[~f["minor"]]
-        other = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(len(y), -1)
-        ids, comp = y["id"].to_numpy(), y["component"].to_numpy()
-        leader, a, b = f["leader"].iloc[0], [], []
-        for i, c, s in zip(x["id"], x["component"], x["sig"]):
-            near = (other == np.frombuffer(s, dtype=np.uint8)).sum(axis=1) >= ALIKE
-            hit = ids[near & (comp != c) & (ids != leader)]
-            if i != leader:
-                a.append(np.minimum(hit, i))
-                b.append(np.maximum(hit, i))
-        return pd.DataFrame({"a": np.concatenate([*a, []]).astype(np.int64), "b": np.concatenate([*b, []]).astype(np.int64)})
-
-    found = small.unionByName(every).groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-    return found.distinct()
+    return small.unionByName(every).groupBy("bucket", "i", "j").applyInPandas(_links_between, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
     classes = stage(classes, "near-classes")
-    entries = classes.select("id", F.explode("bands").alias("bucket"))
+    entries = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = (
         entries.groupBy("bucket")
         .agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("l"), F.count(F.lit(1)).alias("n"))
@@ -212,7 +231,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     members = stage(entries.join(leaders, "bucket"), "near-members")
     pairs = stage(members.where("id <> leader").select(*_ordered("id", "leader")).distinct(), "near-pairs")
-    links = stage(verified(docs, pairs), "near-links")
+    sets = stage(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "near-sets")
+    links = verified(pairs, sets)
     # rows of one id may stand in several classes: they meet in that id
     known = sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key")
     several = known.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x <> y")
@@ -222,9 +242,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     links = stage(links.unionAll(repeated.distinct()), "near-links")
     comps = components(links)
-    later = stage(_unresolved(members, comps, classes.select("id", "sig").dropDuplicates(["id"])), "near-later")
+    later = stage(_missing_links(members, comps, classes.select("id", "sig", "bands"), sets), "near-later")
     if not later.isEmpty():
-        comps = components(links.unionAll(verified(docs, later)), "near-final")
+        comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(later), "near-final")
     own = classes.select("set_key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("of_class")
     )
