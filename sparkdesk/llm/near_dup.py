@@ -129,7 +129,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [batch.column("id"), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"]
             )
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    # always by shuffle: a plan that broadcasts the ids of a small table says nothing about a large one
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return wanted.mapInArrow(run, "id long, items array<long>")
 
 
