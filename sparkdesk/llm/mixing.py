@@ -9,8 +9,9 @@ branches. With children ordered by capacity over weight this is one running sum.
 
 A leaf reads its documents epoch after epoch, each in an order seeded by the
 epoch, until its budget of tokens is full; the last document is cut there. The
-running sum is taken over buckets of that order first, and inside the one bucket
-that holds the cut, so a leaf with a third of all rows never meets in one task.
+running sum is taken over buckets of that order first, then inside each bucket.
+A leaf has as many buckets as a bucket has rows, so that of a leaf with a third
+of all rows no task meets more than the square root.
 
 Defined results: null domains, languages and sources are values of their own;
 null weights count as 1, weights of 0 or less give nothing; a null or empty text
@@ -28,7 +29,6 @@ from sparkdesk.llm.common import join_alike, stage
 
 EPOCHS = 4
 SEED = 17
-BUCKET_ROWS = 4096
 
 
 def token_count(text: str = "text") -> Column:
@@ -109,7 +109,7 @@ def mix(
     plan = stage(
         given.where("budget > 0").select(
             *levels, "budget", "tokens", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"),
-            F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets"),
+            F.ceil(F.sqrt("rows")).cast("long").alias("buckets"),
         ), "mix-plan",
     )
     taken = join_alike(rows, plan, levels)
