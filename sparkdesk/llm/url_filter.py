@@ -8,8 +8,9 @@ through an inverted index: each rule is filed under its rarest token, a URL's
 tokens look up their rules, and a rule holds if all of its tokens are there.
 
 Rules are mined from ``SAMPLE`` labelled rows at most (those of the smallest
-hashed ids); every page is judged. The index holds ``RULES`` rules at most, the
-most confident ones, which bounds what is sent to the executors.
+hashed ids); every page is judged. Pruning runs on Spark before anything is
+chosen, and every rule it leaves is kept: the index is a table of its own, whose
+written size tells Spark whether it may be broadcast.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and is allowed; repeated rows are judged each; an empty table gives
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkdesk.llm.common import stage
 
 SAMPLE = 50_000
-RULES = 2_000
 LONGEST_RULE = 3  # tokens in a rule
 SUPPORT = 0.002
 CONFIDENCE = 0.5
@@ -79,45 +79,44 @@ def tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mine_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, limit: int = RULES) -> list[tuple[list[str], float, int]]:
-    """(tokens, confidence, support) of rules for ``block``; ``baskets`` has items and blocked."""
+_RULES = "token string, needed array<string>, confidence double, blocked long"
+
+
+def mine_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """token (the rarest one needed), needed, confidence, blocked of each rule; ``baskets`` has items and blocked."""
     rows = baskets.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items"))
     if rows.isEmpty():
-        return []
+        return baskets.sparkSession.createDataFrame([], _RULES)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows)
-    sets = model.freqItemsets.where(F.size("items") <= LONGEST_RULE + 1).withColumn("key", F.array_sort(F.array_remove("items", LABEL)))
-    labelled = F.array_contains("items", LABEL)
-    with_label = sets.where(labelled & (F.size("key") > 0)).select("key", F.col("freq").alias("blocked"))
-    alone = sets.where(~labelled).select("key", "freq")
+    short = model.freqItemsets.where(F.size("items") <= LONGEST_RULE + 1)
+    sets = stage(
+        short.select(F.array_sort(F.array_remove("items", LABEL)).alias("key"), F.array_contains("items", LABEL).alias("labelled"), "freq"),
+        "url-itemsets",
+    )
+    with_label = sets.where(F.col("labelled") & (F.size("key") > 0)).select("key", F.col("freq").alias("blocked"))
+    alone = sets.where(~F.col("labelled")).select("key", "freq")
     found = (
         with_label.join(alone, "key").withColumn("confidence", F.col("blocked") / F.col("freq"))
-        .where(F.col("confidence") >= confidence)
-        .orderBy(F.desc("confidence"), F.desc("blocked"), F.size("key"), "key").limit(limit).collect()
+        .where(F.col("confidence") >= confidence).select("key", "confidence", "blocked")
     )
-    best = {tuple(r["key"]): r["confidence"] for r in found}
-    kept = []
-    for r in found:
-        key = r["key"]
-        parts = [tuple(x for i, x in enumerate(key) if mask >> i & 1) for mask in range(1, 2 ** len(key) - 1)]
-        if not any(best.get(p, -1.0) >= r["confidence"] for p in parts):
-            kept.append((list(key), float(r["confidence"]), int(r["blocked"])))
-    return kept
-
-
-def match_rules(pages: DataFrame, rules: list[tuple[list[str], float, int]]) -> DataFrame:
+    # a shorter rule that a frequent one contains is frequent too, so each is met by its key
+    inside = F.expr("transform(sequence(1, (1 << size(key)) - 2), m -> filter(key, (x, i) -> shiftright(m, i) % 2 = 1))")
+    parts = found.where(F.size("key") > 1).select("key", "confidence", F.explode(inside).alias("part"))
+    shorter = found.select(F.col("key").alias("part"), F.col("confidence").alias("own"))
+    implied = parts.join(shorter, "part").where("own >= confidence").select("key")
+    kept = found.join(implied, "key", "left_anti")
+    single = alone.where(F.size("key") == 1).select(F.col("key")[0].alias("token"), "freq")
+    filed = kept.select("*", F.explode("key").alias("token")).join(single, "token").groupBy("key", "confidence", "blocked")
+    filed = filed.agg(F.min(F.struct("freq", "token")).alias("rarest"))
+    return stage(filed.select("rarest.token", F.col("key").alias("needed"), "confidence", "blocked"), "url-rules")
+
+
+def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, confidence, matched): the most confident rule of each row that has one; ``pages`` has row and items."""
-    spark = pages.sparkSession
-    schema = "token string, needed array<string>, confidence double"
-    uses: dict[str, int] = {}
-    for key, _, _ in rules:
-        for t in key:
-            uses[t] = uses.get(t, 0) + 1
-    index = spark.createDataFrame([(min(k, key=lambda t: (uses[t], t)), k, c) for k, c, _ in rules], schema)
-    entries = F.broadcast(index.groupBy("token").agg(F.collect_list(F.struct("confidence", "needed")).alias("filed")))
-    looked = pages.select("row", "items", F.explode("items").alias("token")).join(entries, "token")
-    held = F.array_max(F.filter("filed", lambda r: F.size(F.array_except(r["needed"], F.col("items"))) == 0))
+    looked = pages.select("row", "items", F.explode("items").alias("token"))
+    holds = (looked["token"] == rules["token"]) & (F.size(F.array_except(rules["needed"], looked["items"])) == 0)
     return (
-        looked.select("row", held.alias("m")).where("m IS NOT NULL").groupBy("row").agg(F.max("m").alias("m"))
+        looked.join(rules, holds).groupBy("row").agg(F.max(F.struct("confidence", "needed")).alias("m"))
         .select("row", F.col("m.confidence").alias("confidence"), F.col("m.needed").alias("matched"))
     )
 
@@ -135,12 +134,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     rules = mine_rules(baskets)
     # judged once per distinct URL, so rows need no key of their own
     urls = parsed.where(F.size("items") > 0).select(F.struct("host", "path").alias("row"), "items").dropDuplicates(["row"])
+    matched = match_rules(urls, rules).select(F.col("row.host").alias("host"), F.col("row.path").alias("path"), "confidence", "matched")
     rule, verdict = listed(F.col("host"), F.col("path"))
-    out = parsed.withColumn("rule", rule).withColumn("listed", verdict)
-    if rules:
-        matched = match_rules(urls, rules).select(F.col("row.host").alias("host"), F.col("row.path").alias("path"), "confidence", "matched")
-        out = out.join(matched, ["host", "path"], "left")
-    else:
-        out = out.withColumn("confidence", F.lit(None).cast("double")).withColumn("matched", F.lit(None).cast("array<string>"))
+    out = parsed.withColumn("rule", rule).withColumn("listed", verdict).join(matched, ["host", "path"], "left")
     method = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "confidence", "matched")

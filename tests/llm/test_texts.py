@@ -273,6 +273,17 @@ def test_mined_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def test_every_bad_host_keeps_a_rule(spark):
+    """Hosts of different support, whose combinations of tokens are far more than the rules that pruning leaves."""
+    urls = [(f"http://www.casino{h}.net/win/a", True) for h in range(40) for _ in range(10 + h)]
+    urls += [(f"http://www.fine{h}.net/win/a", False) for h in range(60) for _ in range(50)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(urls)], "page_id long, blocked boolean")
+    for r in url_filter.judge_urls(pages, labels).collect():
+        assert r.verdict == ("block" if urls[r.page_id][1] else "allow")
+        assert len(r.matched or []) == int(urls[r.page_id][1])
+
+
 def test_backoff_scores(spark, odd_docs, no_docs):
     rows = [(1, "a b a b"), (2, "a b c"), (3, None), (4, ""), (None, "c c"), (5, "a b a b")]
     got = {r.doc_id: r for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
