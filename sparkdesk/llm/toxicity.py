@@ -5,7 +5,10 @@ by every task and added up; its alphabet is fixed, so it has the same size at
 any input. Channel: a written character may stand for itself, for letters it
 looks like, for nothing (a separator between letters, or a repetition). Each
 suspicious token is a lattice of such readings, and Viterbi decoding finds the
-likeliest word. Runs of single characters parted by spaces are joined first.
+likeliest word. A run of single characters parted by spaces is one lattice, in
+which each gap may end a word, at the price of an end and a beginning in the
+character model. Every word on a way through it within ``SLACK`` of the cheapest
+is scored, as letters alone leave boundaries open, and the run joined as a whole.
 Tokens of plain letters have one reading and are left alone.
 
 Classifier over the restored words: a word's features are itself and its
@@ -47,7 +50,8 @@ TIMES = 4  # rules that hold a document before it is set aside
 LEAST = 0.2  # bound below which a feature is no rule
 THRESHOLD = 0.3
 MEMORY = 400_000  # words whose score one Python worker remembers
-LONGEST = 64  # longer tokens are not remembered
+LONGEST = 64  # longer tokens are not remembered, and no word written apart is longer
+SLACK = 4.0  # nats between the cheapest way through letters written apart and the dearest whose words count
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 _AT = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0 is the edge of a word
@@ -66,6 +70,8 @@ COST_SAME, COST_LOOK, COST_DROP, COST_REPEAT = 0.02, 1.0, 0.4, 0.9
 _EDGE = "\"'()[]{}<>.,;:!?…«»“”‘’-_*~#|/\\"
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _PLAIN = re.compile(rf"[{LETTERS}]+\Z")
+_ODD = re.escape("".join(sorted({*LOOKS, *SEPARATORS})))
+_MIXED = re.compile(rf"[{LETTERS}][{_ODD}]|[{_ODD}][{LETTERS}]")
 _REPEATED = re.compile(r"(.)\1\1")
 
 
@@ -94,30 +100,81 @@ class Characters:
 
     def restore(self, token: str) -> str:
         """The likeliest reading of a token, by Viterbi over (last two letters, last character written)."""
-        cost = self.cost
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ch in token:
-            readings = []
-            if ch in _AT:
-                readings.append((_AT[ch], COST_SAME))
-            for letter in LOOKS.get(ch, ""):
-                readings.append((_AT[letter], COST_LOOK))
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
-            drops = ch in SEPARATORS or not readings
-            for (a, b), (total, path) in best.items():
-                if drops:
-                    _relax(after, (a, b), total + COST_DROP, path)
-                for c, price in readings:
-                    _relax(after, (b, c), total + price + cost[a][b][c], (c, path))
-                    if c == b:  # the character again, or another that looks like it
-                        _relax(after, (a, b), total + COST_REPEAT, path)
-            best = after
-        end, path = min(((t + cost[a][b][0], p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
-        out = []
-        while path:
-            out.append(LETTERS[path[0] - 1])
-            path = path[1]
-        return "".join(reversed(out))
+            best = self._step(best, ch)
+        return _spelled(self._ended(best)[1])
+
+    def _step(self, best: dict, ch: str) -> dict:
+        cost, read = self.cost, _read(ch)
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        drops = _drops(ch)
+        for (a, b), (total, path) in best.items():
+            if drops:
+                _relax(after, (a, b), total + COST_DROP, path)
+            for c, price in read:
+                _relax(after, (b, c), total + price + cost[a][b][c], (c, path))
+                if c == b:  # the character again, or another that looks like it
+                    _relax(after, (a, b), total + COST_REPEAT, path)
+        return after
+
+    def _ended(self, best: dict) -> tuple[float, tuple]:
+        return min(((t + self.cost[a][b][0], p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
+
+    def apart(self, run: str, slack: float) -> list[str]:
+        """The words of letters written apart, as written and as restored: those on a way through the run
+        at most ``slack`` dearer than the cheapest.
+
+        A word may end at each gap; it pays for its end and the next one for its
+        beginning. A word takes ``LONGEST`` characters of the run at most.
+        """
+        n = len(run)
+        price = np.full((n, LONGEST), np.inf)  # by beginning and length; memory grows with the run alone
+        skip = np.array([COST_DROP if _drops(c) else np.inf for c in run])
+        before, after = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+        before[0] = after[n] = 0.0
+        same: dict[str, int] = {}  # where the same characters follow, so that repeats are walked once
+        for i in range(n):
+            first = same.setdefault(run[i : i + LONGEST], i)
+            best = {(0, 0): (0.0, ())}
+            for k, ch in enumerate(run[i : i + LONGEST] if first == i else ""):
+                best = self._step(best, ch)
+                cost, path = self._ended(best)
+                if path:
+                    price[i, k] = cost
+            price[i] = price[first]
+            ends = slice(i + 1, min(n, i + LONGEST) + 1)
+            before[ends] = np.minimum(before[ends], before[i] + price[i, : ends.stop - ends.start])
+            before[i + 1] = min(before[i + 1], before[i] + skip[i])
+        for i in range(n - 1, -1, -1):
+            ends = slice(i + 1, min(n, i + LONGEST) + 1)
+            after[i] = min((price[i, : ends.stop - ends.start] + after[ends]).min(), skip[i] + after[i + 1])
+        most, on = before[n] + slack + 1e-9, {}
+        for i in range(n if most < np.inf else 0):
+            ends = slice(i + 1, min(n, i + LONGEST) + 1)
+            for k in np.flatnonzero(before[i] + price[i, : ends.stop - ends.start] + after[ends] <= most).tolist():
+                written = run[i : i + k + 1]
+                if written not in on:
+                    on[written] = self.restore(written)
+        return list(dict.fromkeys(x for written, w in on.items() for x in (written.strip(_EDGE), w) if x))
+
+
+def _read(ch: str) -> list[tuple[int, float]]:
+    """The letters a character may stand for, and the price of each."""
+    own = [(_AT[ch], COST_SAME)] if ch in _AT else []
+    return own + [(_AT[letter], COST_LOOK) for letter in LOOKS.get(ch, "")]
+
+
+def _drops(ch: str) -> bool:
+    return ch in SEPARATORS or not (ch in _AT or ch in LOOKS)
+
+
+def _spelled(path: tuple) -> str:
+    out = []
+    while path:
+        out.append(LETTERS[path[0] - 1])
+        path = path[1]
+    return "".join(reversed(out))
 
 
 def _relax(states: dict, key: tuple[int, int], cost: float, path: tuple) -> None:
@@ -127,17 +184,21 @@ def _relax(states: dict, key: tuple[int, int], cost: float, path: tuple) -> None
 
 
 def suspicious(token: str) -> bool:
-    """Whether a lower-case token may be a disguised word: letters mixed with look-alikes or separators, or repeated."""
+    """Whether a lower-case token may be a disguised word: a look-alike or separator next to a letter, or letters repeated."""
     if _PLAIN.match(token):
         return bool(_REPEATED.search(token))
-    letters = sum(c in _AT for c in token)
-    odd = sum(c in LOOKS or c in SEPARATORS for c in token)
-    return letters > 0 and odd > 0 and letters + odd >= 3 and letters * 3 >= len(token)
+    return bool(_MIXED.search(token))
 
 
 def readings(token: str, model: Characters) -> list[str]:
-    """The words a raw token may hold: itself without edges, and what it was disguised from."""
+    """The words a raw token, or a run of single characters, may hold: itself without edges, and what it was disguised from."""
     low = token.lower()
+    if " " in low:  # letters written apart
+        run = low.replace(" ", "")
+        out = readings(run, model)
+        for r in dict.fromkeys((run.strip(_EDGE), run)):  # a look-alike may stand at the edge
+            out += model.apart(r, SLACK)
+        return list(dict.fromkeys(out))
     bare = low.strip(_EDGE)
     out = [bare] if bare else []
     if suspicious(bare):
@@ -148,16 +209,16 @@ def readings(token: str, model: Characters) -> list[str]:
 
 
 def split(text: str | None) -> list[str]:
-    """Tokens of a whole text; letters written apart are joined and stand behind the others."""
+    """Tokens of a whole text; runs of letters written apart, with one space in each gap, stand behind the others."""
     if not text:
         return []
-    apart = [re.sub(r"\s+", "", m) for m in _SPACED.findall(text)]
+    apart = [" ".join(m.split()) for m in _SPACED.findall(text)]
     return text.split() + apart
 
 
 def restored_text(text: str, model: Characters) -> str:
     """A text with every disguised word in its likeliest reading."""
-    joined = _SPACED.sub(lambda m: re.sub(r"\s+", "", m[0]), text)
+    joined = _SPACED.sub(lambda m: " ".join(model.apart(re.sub(r"\s+", "", m[0].lower()), 0.0)) or m[0], text)
     return re.sub(r"\S+", lambda m: (readings(m[0], model) or [m[0]])[-1] if suspicious(m[0].lower().strip(_EDGE)) else m[0], joined)
 
 

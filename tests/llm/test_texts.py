@@ -212,6 +212,19 @@ def test_disguised_words_are_restored():
     assert toxicity.restored_text("you m o r o n !", model).split()[1].startswith("moron")
 
 
+def test_words_written_apart_keep_their_boundaries():
+    words = {"you": 200, "are": 150, "a": 300, "idiot": 50, "moron": 50, "worthless": 40, "the": 200, "shit": 50, "asshole": 50}
+    model = toxicity.Characters(toxicity.Characters.count(words).reshape((toxicity._SIZE,) * 3))
+    for text, want in (("a m o r o n", "moron"), ("so y o u i d i o t !", "idiot"), ("y o u a r e a m 0 r o n", "moron"), ("a w o r t h l e s s", "worthless")):
+        assert want in [w for t in toxicity.split(text) for w in toxicity.readings(t, model)]
+    for token, want in (("5h17", "shit"), ("$h1+", "shit"), ("!d!0+", "idiot"), ("m...o...r...o...n", "moron")):
+        assert want in toxicity.readings(token, model)
+    for token in ("1995", "there,", "$5.00"):
+        assert len(toxicity.readings(token, model)) == 1
+    # a run is walked once for each beginning, however long, and may hold nothing but separators
+    assert toxicity.readings(" ".join("-" * 200), model) == [] and "moron" in toxicity.readings(" ".join("moron" + "-" * 200), model)
+
+
 def test_trigram_counts():
     got = toxicity.Characters.count({"ab": 3, "b": 2}).reshape((toxicity._SIZE,) * 3)
     assert got[0, 0, 1] == 3 and got[0, 1, 2] == 3 and got[1, 2, 0] == 3 and got[0, 0, 2] == 2 and got[0, 2, 0] == 2
