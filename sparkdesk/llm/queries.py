@@ -81,6 +81,11 @@ def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores with a context of two words, so that backing off has two steps."""
+    return lm_scoring.score_documents(read(spark, sf_dir, "documents"), order=3)
+
+
 def op10_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_rules": op7_url_rules,
     "op8_mixing": op8_mixing,
     "op9_backoff": op9_backoff,
+    "op9_trigrams": op9_trigrams,
     "op10_graph": op10_graph,
 }
 OP3 = """

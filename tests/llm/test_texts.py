@@ -320,3 +320,31 @@ def test_backoff_scores(spark, odd_docs, no_docs):
     assert got[3].score is None and got[4].n_words == 0
     assert lm_scoring.score_documents(odd_docs, order=3).count() == odd_docs.count()
     assert lm_scoring.score_documents(no_docs).count() == 0
+
+
+def test_trigram_scores(spark):
+    """The registered query against a walk over all documents, with both steps of backing off."""
+    docs = [(r.doc_id, re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    c = {}
+    for _, w in docs:
+        for i in range(len(w)):
+            for k in range(1, min(3, i + 1) + 1):
+                g = tuple(w[i + 1 - k : i + 1])
+                c[g] = c.get(g, 0) + 1
+    n, want = sum(len(w) for _, w in docs), {}
+    for d, w in docs:
+        total = back = 0
+        for i in range(len(w)):
+            most = k = min(3, i + 1)
+            while k > 1 and c[tuple(w[i + 1 - k : i + 1])] < 2:
+                k -= 1
+            g = tuple(w[i + 1 - k : i + 1])
+            total += np.log10(c[g] / (c[g[:-1]] if k > 1 else n)) + (most - k) * np.log10(0.4)
+            back += k < most
+        want[d] = (len(w), back, total / len(w) if w else None)
+    rows = QUERIES["op9_trigrams"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        words, back, score = want[r.doc_id]
+        assert (r.n_words, r.backed_off) == (words, back)
+        assert r.score is None if score is None else abs(r.score - score) < 1e-5
