@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.llm.binary_ids import round_trip
 from sparkdesk.llm.common import read
-from sparkdesk.llm import exact_search, graph_search, lm_scoring
+from sparkdesk.llm import exact_search, graph_search, lm_scoring, repair, runs
 from sparkdesk.llm.mixing import mix, token_count
 from sparkdesk.llm.near_dup import near_duplicates
 from sparkdesk.llm.packing import pack
 from sparkdesk.llm.sharding import hilbert_shards
+from sparkdesk.llm.token_counts import count_tokens
 from sparkdesk.llm.tokens import vocabulary
 from sparkdesk.llm.toxicity import score_documents
 from sparkdesk.llm.url_filter import judge_urls
@@ -90,6 +91,22 @@ def op10_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.search(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    summary, pieces = repair.repair(repair.damaged(rows))
+    return repair.with_all(rows, summary, repair.text_digests(pieces))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    return runs.run_digests(runs.find_runs(docs.select(doc_id, runs.repeat_passage(doc_id, F.col("text")).alias("text"))))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_hilbert": op2_hilbert,
@@ -102,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff": op9_backoff,
     "op9_trigrams": op9_trigrams,
     "op10_graph": op10_graph,
+    "op11_repair": op11_repair,
+    "op12_runs": op12_runs,
+    "op13_token_counts": op13_token_counts,
 }
 OP3 = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
