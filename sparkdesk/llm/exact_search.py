@@ -14,8 +14,10 @@ bound that prunes but never decides: results come from the search alone.
 Defined results: vectors that are null, empty or not finite take no part, as
 queries or candidates; a shorter vector counts as filled with zeros; a
 candidate of the query's own id is left out, rows that repeat an id are
-candidates of their own for other queries; ties go to the smaller id; without
-candidates, or on an empty table, there are no rows; other columns are ignored.
+candidates of their own for other queries; a query row that repeats id and vector
+is asked once, and an id with several vectors gets the best of all their products;
+ties go to the smaller id; without candidates, or on an empty table, there are no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.llm.common import stage
-from sparkdesk.llm.vectors import finite, pivots_of, spread_sample, with_cells
+from sparkdesk.llm.vectors import filled, finite, pivots_of, spread_sample, with_cells
 
 BLOCK = 4096  # rows of a block, and queries of a group, at most twice this
 LEAF = 64
@@ -70,6 +72,11 @@ def cover_tree(x: np.ndarray, rows: np.ndarray | None = None, at: int = 0) -> No
     return node
 
 
+def above(bound: float | np.ndarray) -> float | np.ndarray:
+    """A bound with room for the rounding of doubles, whatever its sign."""
+    return bound + np.abs(bound) * 1e-12 + 1e-6
+
+
 def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
     """Integer inner products; doubles hold them exactly while they stay below 2**53."""
     return np.rint(a @ b.T).astype(np.int64) if exact else a.astype(np.int64) @ b.astype(np.int64).T
@@ -86,7 +93,7 @@ def search_pair(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
         a, b = stack.pop()
         mine = a.rows
         bound = float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
-        if bound * (1 + 1e-12) + 1e-6 < worst[mine].min():
+        if above(bound) < worst[mine].min():
             continue
         if a.children and (not b.children or a.radius >= b.radius):
             stack += [(c, b) for c in a.children]
@@ -127,17 +134,17 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     cells = lambda n: pivots_of(sx.copy(), max(1, min(CENTRES, n // BLOCK)))
     blocks = with_cells(rows.select("id", "v"), "v", "id", cells(sizes["n"]), BLOCK)
-    groups = with_cells(rows.where("q").select("id", "v"), "v", "id", cells(sizes["q"]), BLOCK)
+    groups = with_cells(rows.where("q").select("id", "v").distinct(), "v", "id", cells(sizes["q"]), BLOCK)
 
     def ball(f: pd.DataFrame) -> pd.DataFrame:
-        x = _filled(f["v"], width)
+        x = filled(f["v"], width)
         middle = x.mean(axis=0)
         return pd.DataFrame({
             "cell": [int(f["cell"].iloc[0])], "middle": [middle], "radius": [float(np.sqrt(((x - middle) ** 2).sum(axis=1)).max())],
         })
 
     def first_scores(f: pd.DataFrame) -> np.ndarray:
-        q = _filled(f["v"], width)
+        q = filled(f["v"], width)
         s = np.where(f["id"].to_numpy()[:, None] == s_ids[None, :], -np.inf, q @ sx.T)
         return np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
 
@@ -164,7 +171,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
             for number, middle, radius, least in zip(gs["cell"], gs["middle"], gs["radius"], gs["least"]):
                 m = np.asarray(middle)
                 bound = centre @ m + np.sqrt((m**2).sum()) * radii + norms * radius + radii * radius
-                near = numbers[bound * (1 + 1e-12) + 1e-6 >= least]
+                near = numbers[above(bound) >= least]
                 grp += [number] * len(near)
                 block += near.tolist()
         return pd.DataFrame({"grp": np.array(grp, dtype=np.int64), "block": np.array(block, dtype=np.int64)})
@@ -177,7 +184,7 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids = q["id"].to_numpy()
-        scores, found = search_pair(ids, _filled(q["v"], width), x["id"].to_numpy(), _filled(x["v"], width), k, first_scores(q))
+        scores, found = search_pair(ids, filled(q["v"], width), x["id"].to_numpy(), filled(x["v"], width), k, first_scores(q))
         there = scores != NONE
         return pd.DataFrame({"query_id": np.repeat(ids, there.sum(axis=1)), "vec_id": found[there], "score": scores[there]})
 
@@ -189,9 +196,3 @@ def ranked(found: DataFrame, best: Column, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(best, "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-
-def _filled(lists: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width))
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
-    return out

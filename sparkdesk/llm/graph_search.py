@@ -14,7 +14,9 @@ one point with its smallest ids, at most as many as a result can hold.
 Defined results: vectors that are null, empty, zero or not finite take no part,
 as queries or candidates; a query's own id is left out; ties go to the smaller
 id; without candidates, or on an empty table, there are no rows; a repeated id
-counts once for each different vector; other columns are ignored.
+counts once for each different vector; a query row that repeats id and vector is
+asked once, and an id with several vectors gets the best of all their products;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.llm.common import stage
 from sparkdesk.llm.exact_search import ranked
-from sparkdesk.llm.vectors import finite
+from sparkdesk.llm.vectors import filled, finite
 
 SHARD = 4096  # points of a shard, nearly
 DEGREE = 32
@@ -136,29 +138,33 @@ def _reverse(x: np.ndarray, graph: np.ndarray, ends: np.ndarray, new: np.ndarray
 
 
 def distinct_vectors(vectors: DataFrame, vec_id: str, vector: str, k: int) -> DataFrame:
-    """(rep, members, v): each different vector with its smallest ids, ``k + 1`` at most."""
+    """(rep, code, members, v): each different vector with its smallest ids, ``k + 1`` at most.
+
+    Vectors may share their smallest id ``rep``; with the hash ``code`` they are told apart.
+    """
     usable = finite(vector) & F.col(vec_id).isNotNull() & F.exists(F.col(vector), lambda x: x != 0)
     rows = vectors.where(usable).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     order = Window.partitionBy("v").orderBy("id")
     few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     grouped = few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("members"))
-    return grouped.select(F.element_at("members", 1).alias("rep"), "members", "v")
+    return grouped.select(F.element_at("members", 1).alias("rep"), F.xxhash64("v").alias("code"), "members", "v")
 
 
 def index(points: DataFrame, width: int, longest: float, shards: int) -> DataFrame:
-    """(shard, reps, data, graph, start): one row per shard, of bounded size."""
+    """(shard, reps, codes, data, graph, start): one row per shard, of bounded size."""
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep")
-        x = _filled(f["v"], width)
+        f = f.sort_values(["rep", "code"])
+        x = filled(f["v"], width)
         rest = np.sqrt(np.maximum(longest - (x**2).sum(axis=1), 0))
         graph, start = build_graph(np.concatenate([x, rest[:, None]], axis=1).astype(np.float32))
         return pd.DataFrame({
-            "shard": [f["shard"].iloc[0]], "reps": [f["rep"].to_numpy(dtype="<i8").tobytes()], "data": [x.tobytes()],
+            "shard": [f["shard"].iloc[0]], "reps": [f["rep"].to_numpy(dtype="<i8").tobytes()],
+            "codes": [f["code"].to_numpy(dtype="<i8").tobytes()], "data": [x.tobytes()],
             "graph": [graph.astype("<i4").tobytes()], "start": [start],
         })
 
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(build, "shard long, reps binary, data binary, graph binary, start long")
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("rep", "code"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(build, "shard long, reps binary, codes binary, data binary, graph binary, start long")
 
 
 def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 20) -> DataFrame:
@@ -173,22 +179,23 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
     built = stage(index(points, width, facts["longest"] * (1 + 1e-9), shards), "graph-index")
     asked = vectors.where(is_query & finite(vector) & F.exists(F.col(vector), lambda x: x != 0)).select(
         F.col(vec_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")
-    )
+    ).distinct()
     chunks = max(1, -(-asked.count() // QUERIES))
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left, right = built.withColumn("chunk", every(chunks)), asked.withColumn("shard", every(shards))
 
     def find(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "rep": [], "score": []}
+        out = {"query_id": [], "rep": [], "code": [], "score": []}
         if len(own) and len(queries):
             r = own.iloc[0]
-            reps, x = np.frombuffer(r["reps"], dtype="<i8"), np.frombuffer(r["data"], dtype=np.float64).reshape(-1, width)
+            reps, codes = np.frombuffer(r["reps"], dtype="<i8"), np.frombuffer(r["codes"], dtype="<i8")
+            x = np.frombuffer(r["data"], dtype=np.float64).reshape(-1, width)
             graph, light = np.frombuffer(r["graph"], dtype="<i4").reshape(-1, DEGREE), x.astype(np.float32)
             zero = np.zeros(len(x), dtype=np.float32)
             for i in range(0, len(queries), SIDE_BY_SIDE):
                 some = queries.iloc[i : i + SIDE_BY_SIDE]
-                q = _filled(some["v"], width)
+                q = filled(some["v"], width)
                 ids, _ = beam_search(light, graph, int(r["start"]), q.astype(np.float32), min(max(SEARCH_BEAM, 2 * k), len(x)), zero)
                 scores = np.where(ids >= 0, np.einsum("qbd,qd->qb", x[np.maximum(ids, 0)], q), -np.inf)
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
@@ -196,20 +203,15 @@ def search(vectors: DataFrame, vec_id: str, vector: str, is_query: Column, k: in
                 there = ids >= 0
                 out["query_id"].append(np.repeat(some["query_id"].to_numpy(), there.sum(axis=1)))
                 out["rep"].append(reps[ids[there]])
+                out["code"].append(codes[ids[there]])
                 out["score"].append(scores[there])
-        types = {"query_id": np.int64, "rep": np.int64, "score": np.float64}
-        return pd.DataFrame({c: np.concatenate([*v, []]).astype(types[c]) for c, v in out.items()})
+        none = {c: np.zeros(0, dtype=np.float64 if c == "score" else np.int64) for c in out}
+        return pd.DataFrame({c: np.concatenate([none[c], *v]) for c, v in out.items()})
 
-    schema = "query_id long, rep long, score double"
+    schema = "query_id long, rep long, code long, score double"
     found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(find, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep", "code")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    members = best.join(points.select("rep", "members"), "rep").select("query_id", F.explode("members").alias("vec_id"), "score")
+    members = best.join(points.select("rep", "code", "members"), ["rep", "code"]).select("query_id", F.explode("members").alias("vec_id"), "score")
     return ranked(members.where("vec_id <> query_id"), F.desc("score"), k)
 
-
-def _filled(lists: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width))
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
-    return out

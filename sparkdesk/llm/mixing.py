@@ -11,12 +11,15 @@ A leaf reads its documents epoch after epoch, each in an order seeded by the
 epoch, until its budget of tokens is full; the last document is cut there. The
 running sum is taken over buckets of that order first, then inside each bucket.
 A leaf has as many buckets as a bucket has rows, so that of a leaf with a third
-of all rows no task meets more than the square root.
+of all rows no task meets more than the square root. An id on a third of all rows
+is spread by the rest of its row, and rows alike are one row with a count.
 
 Defined results: null domains, languages and sources are values of their own;
 null weights count as 1, weights of 0 or less give nothing; a null or empty text
-has no tokens and is taken with every whole epoch; repeated rows are rows of
-their own; an empty table gives no rows; other columns are kept only if named.
+has no tokens and costs nothing: where no weight is 0 or less it is taken with the
+first epoch whatever the budget, and again with every whole epoch; rows alike in
+all columns named are counted first and stand side by side in the order, each a
+row of its own; an empty table gives no rows; other columns are kept only if named.
 """
 
 from __future__ import annotations
@@ -72,22 +75,27 @@ def share(children: DataFrame, parents: Sequence[str], child: Sequence[str], bud
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[str], target: Column, epochs: int = EPOCHS) -> DataFrame:
-    """``leaves`` (the levels, ``tokens``, one weight column per level) with ``budget`` added.
+    """``leaves`` (the levels, ``tokens``, one weight column per level) with ``budget`` added, and ``open``: no weight on its way is 0.
 
     A weight column is read as the weight of the node at its level (its largest
     value among the node's leaves). ``target`` is an aggregate over the leaves.
     """
     tree = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    nodes = tree.groupBy().agg(F.least(target.cast("long"), F.sum("capacity")).alias("__b0")).withColumn("__root", F.lit(0))
+    nodes = tree.groupBy().agg(F.least(target.cast("long"), F.sum("capacity")).alias("__b0")).withColumns(
+        {"__root": F.lit(0), "__open0": F.lit(True)}
+    )
     parents: list[str] = ["__root"]
     tree = tree.withColumn("__root", F.lit(0))
     for i, (level, weight) in enumerate(zip(levels, weights)):
         own = [*parents, level]
         children = tree.groupBy(*own).agg(F.sum("capacity").alias("capacity"), F.max(weight).alias("weight"))
         children = join_alike(children, nodes, parents, "left")
-        nodes = share(children, parents, [level], f"__b{i}", f"__b{i + 1}").select(*own, f"__b{i + 1}")
+        given = share(children, parents, [level], f"__b{i}", f"__b{i + 1}")
+        nodes = given.select(*own, f"__b{i + 1}", (F.col(f"__open{i}") & (F.col("weight") > 0)).alias(f"__open{i + 1}"))
         parents = own
-    return join_alike(tree, nodes, parents, "left").select(*leaves.columns, F.col(f"__b{len(levels)}").alias("budget"))
+    return join_alike(tree, nodes, parents, "left").select(
+        *leaves.columns, F.col(f"__b{len(levels)}").alias("budget"), F.col(f"__open{len(levels)}").alias("open")
+    )
 
 
 def mix(
@@ -102,31 +110,37 @@ def mix(
     """
     levels = list(levels)
     names = [f"__w{i}" for i in range(len(levels))]
-    rows = docs.select(*levels, "doc_id", "n_tokens", *keep)
-    leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    named = [*levels, "doc_id", "n_tokens", *keep]
+    rows = docs.select(*named).groupBy(*named).agg(F.count(F.lit(1)).alias("__m"))
+    leaves = rows.groupBy(*levels).agg(F.sum(F.col("n_tokens") * F.col("__m")).alias("tokens"), F.count(F.lit(1)).alias("rows"))
     leaves = leaves.withColumns(dict(zip(names, weights)))
     given = budgets(leaves, levels, names, F.sum("tokens") if target is None else target, epochs)
     plan = stage(
-        given.where("budget > 0").select(
-            *levels, "budget", "tokens", F.floor(F.col("budget") / F.col("tokens")).cast("int").alias("whole"),
+        given.where("budget > 0 OR open").select(
+            *levels, "budget", "tokens", "open",
+            F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int").alias("whole"),
             F.ceil(F.sqrt("rows")).cast("long").alias("buckets"),
         ), "mix-plan",
     )
     taken = join_alike(rows, plan, levels)
     # epoch numbers 0 .. whole; the last is the one that is cut
     each = taken.select("*", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("epoch"))
-    each = each.where((F.col("epoch") < F.col("whole")) | (F.col("budget") > F.col("whole") * F.col("tokens")))
-    order = F.xxhash64("doc_id", "epoch", F.lit(seed))
+    first = F.col("open") & (F.col("n_tokens") == 0) & (F.col("epoch") == 0)
+    each = each.where((F.col("epoch") < F.col("whole")) | (F.col("budget") > F.col("whole") * F.col("tokens")) | first)
+    order = F.xxhash64("doc_id", "epoch", "n_tokens", *keep, F.lit(seed))
     each = each.withColumn("__h", order).withColumn("__k", F.pmod(F.shiftright("__h", 20), F.col("buckets")))
     leaf = [*levels, "epoch"]
-    sums = each.groupBy(*leaf, "__k").agg(F.sum("n_tokens").alias("__s"))
+    sums = each.groupBy(*leaf, "__k").agg(F.sum(F.col("n_tokens") * F.col("__m")).alias("__s"))
     ahead = Window.partitionBy(*leaf).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__ahead", F.coalesce(F.sum("__s").over(ahead), F.lit(0))).drop("__s")
-    inside = Window.partitionBy(*leaf, "__k").orderBy("__h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("__in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    inside = Window.partitionBy(*leaf, "__k").orderBy("__h", "doc_id", "n_tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("__in", F.coalesce(F.sum(F.col("n_tokens") * F.col("__m")).over(inside), F.lit(0)))
     placed = join_alike(each, sums, [*leaf, "__k"])
-    placed = placed.withColumn("start", F.col("epoch") * F.col("tokens") + F.col("__ahead") + F.col("__in"))
-    fits = (F.col("start") < F.col("budget")) & ((F.col("epoch") < F.col("whole")) | (F.col("n_tokens") > 0))
+    placed = placed.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
+    start = F.col("epoch") * F.col("tokens") + F.col("__ahead") + F.col("__in") + F.col("__nth") * F.col("n_tokens")
+    # a text without tokens that the budget does not reach stands at the end of what is taken
+    placed = placed.withColumn("start", F.when(F.col("n_tokens") > 0, start).otherwise(F.least(start, F.col("budget"))))
+    fits = F.when(F.col("n_tokens") > 0, F.col("start") < F.col("budget")).otherwise((F.col("epoch") < F.col("whole")) | first)
     return placed.where(fits).select(
         *levels, "doc_id", *keep, "epoch", "start", "n_tokens",
         F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("taken"),

@@ -3,7 +3,8 @@
 Both tokenizers cut a text into pieces (words, digits, runs of signs) before any
 merge is made, and merge inside a piece only. A text of common characters is cut
 by the same rules here, and a new piece goes to the tokenizer's own model; most
-pieces are found in memory. Any other text is given to the tokenizer whole.
+pieces are found in memory. Any other text, and one that holds the name of an
+added token, is given to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -43,9 +44,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.model = self.tokenizer.model
         self.pieces, self.lower, self.letters = _PIECES[kind].findall, kind == "words", _byte_letters()
+        # as the library has it, the name of an added token in a text is that token
+        self.names = [t.content.lower() if self.lower else t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -56,13 +58,17 @@ class Encoder:
             self.known[piece] = ids
         return ids
 
+    def _named(self, text: str) -> bool:
+        plain = text.lower() if self.lower else text
+        return any(name in plain for name in self.names)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out, known, piece = [], self.known, self._piece
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _OTHER.search(text):
+            elif _OTHER.search(text) or self._named(text):
                 whole = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
                 out.append(np.array(whole, dtype="<u4").tobytes())
             else:

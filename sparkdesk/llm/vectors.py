@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +29,18 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def filled(lists: pd.Series, width: int) -> np.ndarray:
+    """Rows of arrays as doubles; shorter vectors are filled with zeros."""
+    sizes = lists.map(len).to_numpy()
+    flat = np.concatenate([*lists, []]).astype(np.float64)
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out = np.zeros((len(sizes), width))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), at] = flat
+    return out
+
+
 def spread_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
     """The ``limit`` rows of the smallest hashed keys: a bounded sample that is the same in every run."""
     return df.orderBy(F.xxhash64(key), key).limit(limit)

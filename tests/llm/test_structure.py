@@ -176,8 +176,7 @@ def brute_runs(words):
             while j + q < n and words[j] == words[j + q]:
                 j += 1
             own = words[i : j + q]
-            whole = any(own[d:] == own[: len(own) - d] for d in range(1, q))
-            if j > i and len(own) >= max(6, 4 * q) and not whole:
+            if j > i and len(own) >= max(6, 4 * q) and not any(own[d:] == own[: len(own) - d] for d in range(1, q)):
                 found.add((i, len(own), q))
             i = j + 1
     return sorted(found, key=lambda r: (r[0], r[2]))

@@ -19,13 +19,12 @@ WORDS, BYTES = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 
 def ids_of(path, texts, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, end], dtype="<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("path, kind", [(WORDS, "words"), (BYTES, "bytes")])
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'stremd.,!09aAéÉœß$  "), st.characters(exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=4))
+@given(st.lists(st.lists(st.one_of(st.sampled_from([*" \n\t'stremd.,!09aAéÉœß$  ", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>"]), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join), min_size=1, max_size=4))
 def test_pieces_give_the_ids_of_the_whole(path, kind, texts):
     assert encoder(path, kind).ids(texts) == [x[:-4] for x in ids_of(path, texts, 0)]
 

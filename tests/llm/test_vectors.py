@@ -100,6 +100,37 @@ def test_odd_vectors(spark):
         assert search(alone, "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
 
 
+def by_pairs(rows, queries, k, same_vector_once):
+    """The best over all pairs of a query's different vectors and candidate rows of other ids."""
+    rows = sorted(set(rows)) if same_vector_once else rows
+    out = {}
+    for q in queries:
+        mine = {v for i, v in rows if i == q}
+        pairs = sorted((-float(np.dot(v, w)), i) for v in mine for i, w in rows if i != q)[:k]
+        out[q] = [(i, -s) for s, i in pairs]
+    return out
+
+
+@pytest.mark.parametrize("scale", [1, 100])
+def test_scores_below_zero(spark, scale):
+    rows = [(0, (-20.0 * scale, -10.0 * scale))] + [(i, (20.0, 10.0)) for i in range(1, 197)]
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows], "id long, v array<double>")
+    got = found(exact_search.search(df, "id", "v", F.col("id") == 0, k=5, scale=1))
+    assert got == {0: [(i, -500 * scale) for i in range(1, 6)]}
+    assert found(graph_search.search(df, "id", "v", F.col("id") == 0, k=5)) == {0: [(i, -500.0 * scale) for i in range(1, 6)]}
+
+
+def test_ids_that_share_or_repeat_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(7, (1.0, 2.0)), (7, (5.0, 1.0)), (9, (5.0, 1.0)), (100, (1.0, 0.0)), (100, (1.0, 0.0)), (200, (0.0, 1.0)), (200, (-1.0, 3.0))]
+    rows += [(int(i), tuple(map(float, v))) for i, v in zip(rng.integers(0, 40, 150), rng.integers(-4, 5, (150, 2))) if v.any()]
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows], "id long, v array<double>")
+    asked = F.col("id") % 100 == 0
+    queries = sorted({i for i, _ in rows if i % 100 == 0})
+    assert found(exact_search.search(df, "id", "v", asked, k=9, scale=1)) == by_pairs(rows, queries, 9, False)
+    assert found(graph_search.search(df, "id", "v", asked, k=9)) == by_pairs(rows, queries, 9, True)
+
+
 def test_a_repeated_vector_is_cut_into_cells(spark):
     rows = [(i, [1.0, 1.0]) for i in range(900)] + [(1000 + i, [float(i), -1.0]) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
