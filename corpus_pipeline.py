@@ -8,7 +8,7 @@ beyond those of ``documents`` are dropped by the first stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkdesk.llm.common import join_alike, read, stage
 from sparkdesk.llm.mixing import first_tokens, mix
@@ -31,13 +31,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id.
 
-    Of rows that share an id the one of the smallest hashed text stays; rows
-    without an id stay all.
+    Rows that share this id stay with each of their different texts, one row of
+    each; rows without an id stay all.
     """
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    return chosen.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    texts = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("__text"))
+    chosen = texts.agg(F.min_by(F.struct(*COLUMNS), F.xxhash64(*COLUMNS)).alias("__row"))
+    return chosen.select("__row.*").unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
