@@ -62,7 +62,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = 0) -> bytes
         docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = (
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row of an id that repeats
+    )
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int = 0) -> bytes
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = texts.mapInArrow(run, "doc_id long, ids binary").collect()
-    samples = [bytes(r["ids"]) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["ids"])))][: 2 * SAMPLE]
+    samples = [bytes(r["ids"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples

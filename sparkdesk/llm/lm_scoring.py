@@ -160,10 +160,10 @@ def requests(packed: DataFrame, order: int, buckets: int) -> DataFrame:
 def _answer(f: pd.DataFrame) -> pd.DataFrame:
     asked = [_unpack_request(r) for r in f["request"]]
     found, place = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([n for _, n in asked])).astype("<u4")[place]
+    total = np.bincount(place, weights=np.concatenate([n for _, n in asked])).astype("<u8")[place]  # a word may occur more often than 32 bits can tell
     ends = np.cumsum([len(h) for h, _ in asked])
     compress = zstandard.ZstdCompressor(level=1).compress
-    replies = [compress(total[b - len(h) : b].view(np.uint8).reshape(-1, 4).T.tobytes()) for (h, _), b in zip(asked, ends)]
+    replies = [compress(total[b - len(h) : b].view(np.uint8).reshape(-1, 8).T.tobytes()) for (h, _), b in zip(asked, ends)]
     return pd.DataFrame({"batch": f["batch"], "bucket": f["bucket"], "reply": replies})
 
 
@@ -183,8 +183,8 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         rows, lengths, grams = _grams(own["ids"].iloc[0], own["body"].iloc[0], order)
         _, _, _, place = _distinct(grams, buckets)
         expand = zstandard.ZstdDecompressor().decompress
-        parts = [np.frombuffer(expand(r), dtype=np.uint8).reshape(4, -1).T for r in answered.sort_values("bucket")["reply"]]
-        counts = np.ascontiguousarray(np.concatenate(parts)).view("<u4").ravel()[place] if parts else np.zeros(0)
+        parts = [np.frombuffer(expand(r), dtype=np.uint8).reshape(8, -1).T for r in answered.sort_values("bucket")["reply"]]
+        counts = np.ascontiguousarray(np.concatenate(parts)).view("<u8").ravel()[place] if parts else np.zeros(0)
         n = int(lengths.sum())
         c = [np.where(g != 0, counts[k * n : (k + 1) * n], 0).astype(float) for k, g in enumerate(grams)]
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -20,8 +20,9 @@ word already known. A document scores the bound of its strongest rule, raised a
 little by the next word's.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents (those of the
-smallest hashed ids) and considers ``FEATURES`` features at most; both bound what
-goes through the driver. The character model covers all words of all documents.
+smallest hashed ids, one text of an id), which bounds what goes through the
+driver: features are those that ``SUPPORT`` toxic documents of the sample hold.
+The character model covers all words of all documents.
 
 Defined results: a null or empty text scores as a text without a telling word;
 an empty table gives no rows, and without labels every score is 0; repeated rows
@@ -43,7 +44,6 @@ from pyspark.sql import DataFrame, functions as F
 from sparkdesk.llm.common import stage
 
 SAMPLE = 20_000
-FEATURES = 20_000
 SUPPORT = 3  # toxic documents that a feature needs
 Z = 2.5  # deviations of the confidence bound
 TIMES = 4  # rules that hold a document before it is set aside
@@ -311,7 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, flo
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Characters(counts.reshape(_SIZE, _SIZE, _SIZE)), {}
@@ -336,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray) -> dict[str, flo
     found = (
         each.groupBy("feature").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
         .where(F.col("hits") >= SUPPORT).select("feature", _bound(F.col("hits"), F.col("n")).alias("v"))
-        .where(F.col("v") >= LEAST / 2).orderBy(F.desc("v"), "feature").limit(FEATURES)
+        .where(F.col("v") >= LEAST / 2).orderBy(F.desc("v"), "feature")
     )
     wanted = [r["feature"] for r in found.collect()]
     if not wanted:
