@@ -46,14 +46,23 @@ def _listed(prefix: str, items: Column) -> Column:
     return F.concat(F.lit(prefix + " ["), F.array_join(items, ", "), F.lit("]"))
 
 
-def checks(a: Column, text: Column) -> Column:
-    """One entry per assertion: array of struct(name, ok, detail, heuristic)."""
+def compiles(pattern: Column) -> Column:
+    """Whether a stored pattern is one; never an error."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def checks(a: Column, text: Column, broken: Column) -> Column:
+    """One entry per assertion: array of struct(name, ok, detail, heuristic).
+
+    ``broken`` says that the case's pattern does not compile, which is a failed
+    check of that case alone.
+    """
     lower = F.lower(text)
     got = lambda n: F.concat(F.lit("got "), n.cast("string"))
     absent = F.filter(a["containsAll"], lambda s: ~F.contains(text, s))
     present = F.filter(a["notContains"], lambda s: F.contains(text, s))
     any_hit = F.exists(a["containsAny"], lambda s: F.contains(text, s))
-    regex_ok = F.rlike(text, a["regex"])
+    regex_ok = F.rlike(text, F.when(~broken, a["regex"]))
     lines, words, numbered = line_count(text), word_count(text), numbered_items(text)
     lo, hi = a["words"]["min"], a["words"]["max"]
 
@@ -88,7 +97,7 @@ def checks(a: Column, text: Column) -> Column:
         F.when(a["notContains"].isNotNull(), _check(
             _listed("absent", a["notContains"]), F.size(present) == 0, detail("present: ", present))),
         F.when(F.coalesce(a["regex"], F.lit("")) != "", _check(
-            F.concat(F.lit("matches /"), a["regex"], F.lit("/")), regex_ok, F.when(regex_ok, "").otherwise("no match"))),
+            F.concat(F.lit("matches /"), a["regex"], F.lit("/")), regex_ok, F.when(broken, "the pattern does not compile").when(regex_ok, "").otherwise("no match"))),
         F.when(a["lines"].isNotNull(), _check(
             F.concat(F.lit("exactly "), a["lines"].cast("string"), F.lit(" lines")), lines == a["lines"], got(lines))),
         F.when(a["words"].isNotNull(), _check(

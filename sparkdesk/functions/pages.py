@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from sparkdesk.functions.classes import J_NOT_WHITE
 from sparkdesk.functions.text import PARTIAL_MARK, SCAN_MARK, trimmed
@@ -66,9 +67,24 @@ def extraction_outcome(status: Column, signal: Column, error: Column, stdout: Co
     )
 
 
+def folded(c: Column) -> Column:
+    """Text in compatibility form without case, so that a ligature is its letters and ``ß`` is ``ss``.
+
+    Spark has no such function; only texts beyond ASCII go to Python, in Arrow batches.
+    """
+
+    def fold(texts):
+        from unicodedata import normalize
+
+        return texts.map(lambda t: normalize("NFKC", t).casefold(), na_action="ignore")
+
+    beyond = F.pandas_udf(fold, StringType())(F.when(c.rlike(r"[^\x{0}-\x{7F}]"), c))
+    return F.coalesce(beyond, F.lower(c))
+
+
 def token_set(c: Column) -> Column:
-    """Case-folded distinct words."""
-    return F.array_distinct(words(F.lower(F.coalesce(c, F.lit("")))))
+    """Distinct words of a folded text."""
+    return F.array_distinct(words(F.coalesce(c, F.lit(""))))
 
 
 def joined(c: Column, sep: str = ", ") -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sparkdesk.functions.grading import checks, verdict
+from sparkdesk.functions.grading import checks, compiles, verdict
 from sparkdesk.plans.blocked import order_statistic
 
 VERDICTS = ["PASS", "FAIL", "REVIEW", "ERROR"]
@@ -16,18 +16,23 @@ VERDICTS = ["PASS", "FAIL", "REVIEW", "ERROR"]
 
 def graded(results: DataFrame, cases: DataFrame) -> DataFrame:
     """Results with their case, ``checks`` and ``verdict``; a result without a
-    case is kept, with nothing to check."""
+    case is kept, with nothing to check. Each different pattern is compiled once,
+    apart from the texts; one that is broken fails its own cases."""
+    patterns = cases.select(F.col("assert.regex").alias("pattern")).where("pattern <> ''").distinct()
+    broken = patterns.where(~compiles(F.col("pattern"))).withColumn("broken", F.lit(True))
     spec = cases.select("id", F.col("assert").alias("asserts"), "review", F.coalesce("appLevel", F.lit(False)).alias("app_level"))
+    spec = spec.join(broken, F.col("asserts.regex") == F.col("pattern"), "left").drop("pattern")
     joined = results.join(spec, "id", "left")
     none = F.array().cast("array<struct<name:string,ok:boolean,detail:string,heuristic:boolean>>")
     run = F.when(
         (F.coalesce("error", F.lit("")) == "") & F.col("asserts").isNotNull(),
-        checks(F.col("asserts"), F.coalesce("text", F.lit(""))),
+        checks(F.col("asserts"), F.coalesce("text", F.lit("")), F.coalesce("broken", F.lit(False))),
     )
     return (
         joined.withColumn("checks", F.coalesce(run, none))
         .withColumn("verdict", verdict(F.col("error"), F.col("asserts"), F.col("checks")))
         .withColumn("app_level", F.coalesce("app_level", F.lit(False)))
+        .drop("broken")
     )
 
 

@@ -298,10 +298,10 @@ def warning_kinds(pages: DataFrame, graphics: DataFrame) -> DataFrame:
 
 
 def word_set_differences(aligned: DataFrame) -> DataFrame:
-    """Pages whose case-folded word sets differ, with the words either side lacks."""
-    a, b = P.token_set(F.col("a_text")), P.token_set(F.col("b_text"))
+    """Pages whose word sets differ, in compatibility form and without case, with the words either side lacks."""
+    a, b = P.token_set(F.col("__a")), P.token_set(F.col("__b"))
     return (
-        aligned.select(
+        aligned.withColumns({"__a": P.folded(F.col("a_text")), "__b": P.folded(F.col("b_text"))}).select(
             "doc_id", "page_no",
             F.array_join(F.array_sort(F.array_except(a, b)), " ").alias("only_a"),
             F.array_join(F.array_sort(F.array_except(b, a)), " ").alias("only_b"),

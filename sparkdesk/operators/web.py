@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkdesk.functions import text as X
@@ -84,9 +86,18 @@ def anchors(pages: DataFrame) -> DataFrame:
     )
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it.
+
+    The optimizer puts an expression in place of every name for it, so texts made
+    of texts would be computed many times over; a lambda's variable stays one.
+    """
+    return F.transform(F.array(value), then)[0]
+
+
 def _markup_only(html: Column) -> Column:
     """Markup without comments and without what scripts and styles hold."""
-    return _without(_without_comments(html), "script|style", "$1")
+    return bound(_without_comments(html), lambda h: _without(h, "script|style", "$1"))
 
 
 # Every pattern below runs only up to the last mark that could end it, so each match it begins it also ends,
@@ -97,9 +108,11 @@ def _without_comments(html: Column) -> Column:
 
 def _without(html: Column, names: str, put: str) -> Column:
     """Markup without what the named elements hold."""
-    head = F.regexp_extract(html, rf"(?is)\A(.*</(?:{names})\s*+>)", 1)
-    clean = F.regexp_replace(head, rf"(?is)(<(?:{names})\b[^>]*>).*?</(?:{names})\s*+>", put)
-    return F.concat(clean, F.substr(html, F.length(head) + 1))
+    def cleaned(head: Column) -> Column:
+        clean = F.regexp_replace(head, rf"(?is)(<(?:{names})\b[^>]*>).*?</(?:{names})\s*+>", put)
+        return F.concat(clean, F.substr(html, F.length(head) + 1))
+
+    return bound(F.regexp_extract(html, rf"(?is)\A(.*</(?:{names})\s*+>)", 1), cleaned)
 
 
 def _tags(html: Column, pattern: str) -> Column:
@@ -109,7 +122,7 @@ def _tags(html: Column, pattern: str) -> Column:
 
 def disallowed_markup(pages: DataFrame) -> DataFrame:
     """(page_id, kind, name, count) of tags and attributes outside the lists."""
-    opening = _tags(_markup_only(F.col("html")), r"<[a-zA-Z][^>]*>")
+    opening = bound(_markup_only(F.col("html")), lambda h: _tags(h, r"<[a-zA-Z][^>]*>"))
     tags = pages.select("page_id", F.explode(opening).alias("tag"))
     bare = F.regexp_replace("tag", r"\"[^\"]*\"|'[^']*'", "")
     names = F.concat(
@@ -128,7 +141,7 @@ def disallowed_markup(pages: DataFrame) -> DataFrame:
 
 def nesting_depth(html: Column) -> Column:
     """The deepest nesting that counting opening and closing tags gives."""
-    tags = _tags(_markup_only(html), r"</?[a-zA-Z][^>]*>")
+    tags = bound(_markup_only(html), lambda h: _tags(h, r"</?[a-zA-Z][^>]*>"))
 
     def step(tag: Column) -> Column:
         name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z0-9]+)", 1))
@@ -152,9 +165,10 @@ _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 def page_text(html: Column) -> Column:
     """What a page reads as: blocks on their own lines, no markup, spaces collapsed."""
-    body = _without(_without_comments(html), "script|style|head", "")
+    body = bound(_without_comments(html), lambda h: _without(h, "script|style|head", ""))
     block = r"(?i)<(?:br|/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|nav|footer|section|header))\b[^>]*>"
-    body = X.upto_last(body, ">", lambda head: F.regexp_replace(F.regexp_replace(head, block, "\n"), r"<[a-zA-Z/!][^>]*>", ""))
+    plain = lambda head: F.regexp_replace(F.regexp_replace(head, block, "\n"), r"<[a-zA-Z/!][^>]*>", "")
+    body = bound(body, lambda h: X.upto_last(h, ">", plain))
     for entity, char in _ENTITIES:
         body = F.replace(body, F.lit(entity), F.lit(char))
     body = F.regexp_replace(body, r"[ \t\r]+", " ")

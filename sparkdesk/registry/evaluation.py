@@ -28,6 +28,7 @@ _ASSERTS = [
     '{"json":{"type":"array","length":2,"fields":["id","name"]}}',
     '{"refuses":true,"asksClarification":false,"numberedItems":2}',
 ]
+_BROKEN = '{"regex":"([","notTruncated":true}'  # does not compile
 
 
 def results(spark, sf_dir):
@@ -43,6 +44,7 @@ def cases(spark, sf_dir):
     spec = F.lit(None).cast("string")
     for i, a in enumerate(_ASSERTS):
         spec = F.when(k == i, F.lit(a)).otherwise(spec)
+    spec = F.when((k == 2) & (F.col("turn") % 4 == 3), F.lit(_BROKEN)).otherwise(spec)
     return (
         run(spark, sf_dir, "SELECT conv_id, turn FROM conversations WHERE role = 'assistant'", "conversations")
         .where("conv_id % 6 <> 5 OR turn % 4 = 1")
@@ -78,7 +80,8 @@ c AS (
  UNION ALL SELECT id, 'contains any [tion, ung]', contains(text, 'tion') OR contains(text, 'ung'), CASE WHEN contains(text, 'tion') OR contains(text, 'ung') THEN '' ELSE 'none present' END, false FROM m WHERE k = 1
  UNION ALL SELECT id, 'exactly 2 lines', lines = 2, concat('got ', lines), false FROM m WHERE k = 1
  UNION ALL SELECT id, 'non-empty reply', length({_T}) > 0, concat(length({_T}), ' chars'), false FROM m WHERE k = 1
- UNION ALL SELECT id, 'matches /[A-Z][a-z]+ (de|the|der)/', regexp_matches(text, '[A-Z][a-z]+ (de|the|der)'), CASE WHEN regexp_matches(text, '[A-Z][a-z]+ (de|the|der)') THEN '' ELSE 'no match' END, false FROM m WHERE k = 2
+ UNION ALL SELECT id, 'matches /[A-Z][a-z]+ (de|the|der)/', regexp_matches(text, '[A-Z][a-z]+ (de|the|der)'), CASE WHEN regexp_matches(text, '[A-Z][a-z]+ (de|the|der)') THEN '' ELSE 'no match' END, false FROM m WHERE k = 2 AND turn % 4 <> 3
+ UNION ALL SELECT id, 'matches /([/', false, 'the pattern does not compile', false FROM m WHERE k = 2 AND turn % 4 = 3
  UNION ALL SELECT id, 'ends on a complete sentence', tail IN ({_list(SENTENCE_ENDS)}), concat('ends with "', tail, '"'), false FROM m WHERE k = 2
  UNION ALL SELECT id, 'valid JSON', is_json, CASE WHEN NOT is_json THEN 'cannot be parsed' WHEN turn % 4 = 1 THEN 'was wrapped in a code fence' ELSE '' END, false FROM m WHERE k = 3
  UNION ALL SELECT id, 'is an array', true, '', false FROM m WHERE is_json

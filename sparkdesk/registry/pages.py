@@ -124,7 +124,7 @@ def category_counts(spark, sf_dir):
     _ALIGNED + f"""SELECT * FROM (SELECT doc_id, page_no,
  array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' ') AS only_a,
  array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS only_b
- FROM (SELECT doc_id, page_no, list_distinct({_duck_words("lower(coalesce(a_text, ''))")}) AS a, list_distinct({_duck_words("lower(coalesce(b_text, ''))")}) AS b FROM j))
+ FROM (SELECT doc_id, page_no, list_distinct({_duck_words("replace(lower(coalesce(a_text, '')), 'ß', 'ss')")}) AS a, list_distinct({_duck_words("replace(lower(coalesce(b_text, '')), 'ß', 'ss')")}) AS b FROM j))
 WHERE only_a <> '' OR only_b <> ''""",
 )
 def word_set_triage(spark, sf_dir):

@@ -97,9 +97,11 @@ _NETS = ["10.0.0.", "100.64.0.", "192.168.1.", "203.0.113.", "51.15.0.", "140.82
 _IP = "concat(CASE user_id % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NETS)) + " END, CAST(user_id % 250 AS VARCHAR(4)))"
 _CAPTURES = f"""SELECT CASE event_type WHEN 'view' THEN 'idle' WHEN 'click' THEN 'chat' WHEN 'error' THEN 'document' WHEN 'signup' THEN 'pricing' ELSE 'web-search' END AS phase,
  CASE WHEN user_id % 50 = 0 THEN 'webview' ELSE 'rust' END AS source, concat({_IP}, ':443') AS remote, user_id, {_IP} AS ip FROM events"""
-_EXPECTED = f"SELECT DISTINCT {_IP} AS ip, 'chat.example.com' AS host, 'chat' AS what FROM events WHERE user_id % 6 = 4 AND user_id % 250 % 4 = 0"
-_REVERSE = f"""SELECT DISTINCT {_IP} AS ip, CASE WHEN user_id % 6 = 5 THEN 'lb-140.github.com' WHEN user_id % 6 = 4 THEN 'x.scw.cloud' WHEN user_id % 6 = 1 THEN 'e1.icloud.example' ELSE 'host.example.net' END AS name
- FROM events WHERE user_id % 5 > 0"""
+# of an address's hosts and reverse names the first listed counts, which is not the first by alphabet
+_EXPECTED = f"""SELECT DISTINCT {_IP} AS ip, CASE l WHEN 1 THEN 'chat.example.com' WHEN 2 THEN 'api.example.com' ELSE 'zone.example.com' END AS host,
+ CASE l WHEN 1 THEN 'chat' ELSE 'other' END AS what, l AS listed FROM events CROSS JOIN (SELECT 1 AS l UNION ALL SELECT 2 UNION ALL SELECT 3) AS n WHERE user_id % 6 = 4 AND user_id % 250 % 4 = 0"""
+_REVERSE = f"""SELECT DISTINCT {_IP} AS ip, l AS listed, CASE WHEN l = 2 THEN 'a.icloud.example' WHEN user_id % 6 = 5 THEN 'lb-140.github.com' WHEN user_id % 6 = 4 THEN 'x.scw.cloud' WHEN user_id % 6 = 1 THEN 'e1.icloud.example' ELSE 'host.example.net' END AS name
+ FROM events CROSS JOIN (SELECT 1 AS l UNION ALL SELECT 2) AS n WHERE user_id % 5 > 0"""
 _CLASSED = f"""c AS (SELECT *, CASE WHEN user_id % 6 = 4 AND user_id % 250 % 4 = 0 THEN 'EXPECTED' WHEN user_id % 5 = 0 THEN 'UNEXPLAINED' WHEN user_id % 6 IN (4, 5) THEN 'EXPECTED' WHEN user_id % 6 = 1 THEN 'OS' ELSE 'UNEXPLAINED' END AS class,
  CASE WHEN user_id % 6 = 4 AND user_id % 250 % 4 = 0 THEN 'chat.example.com — chat' WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 6 = 5 THEN 'GitHub (by reverse name)' WHEN user_id % 6 = 4 THEN 'Scaleway (by reverse name)'
   WHEN user_id % 6 = 1 THEN 'Apple — certificate checks, not the app' END AS what FROM ({_CAPTURES}))"""
@@ -153,28 +155,47 @@ def capture_verdict(spark, sf_dir):
     return N.capture_verdict(_captures(spark, sf_dir), *_maps(spark, sf_dir))
 
 
-_FIRST = "CASE event_id % 12 WHEN 0 THEN '10' WHEN 1 THEN '172' WHEN 2 THEN '192' WHEN 3 THEN '100' WHEN 4 THEN '8' WHEN 5 THEN '198' WHEN 6 THEN '230' WHEN 7 THEN '255' ELSE '51' END"
-_ADDRESSES = f"""SELECT event_id, CASE WHEN event_id % 12 = 8 THEN concat('::ffff:10.0.0.', CAST(user_id % 256 AS VARCHAR(4)))
- WHEN event_id % 12 = 9 THEN CASE event_id % 7 WHEN 0 THEN '::1' WHEN 1 THEN 'FE80::1' WHEN 2 THEN 'fd00::2' WHEN 3 THEN 'fec0::1' WHEN 4 THEN '2001:db8::1' WHEN 5 THEN '2002:a00::1' ELSE '2606:4700::1111' END
- WHEN event_id % 12 = 10 THEN CASE WHEN event_id % 7 < 3 THEN '64:ff9b::a00:1' WHEN event_id % 7 < 5 THEN '2001:0:4136::1' ELSE 'ff02::1' END
- WHEN event_id % 12 = 11 THEN '300.1.2.3'
- ELSE concat({_FIRST}, '.', CAST(event_id % 256 AS VARCHAR(4)), '.', CAST(event_id % 5 AS VARCHAR(4)), '.', CAST(user_id % 256 AS VARCHAR(4))) END AS address FROM events"""
+_FIRST = "CASE event_id % 16 WHEN 0 THEN '10' WHEN 1 THEN '172' WHEN 2 THEN '192' WHEN 3 THEN '100' WHEN 4 THEN '8' WHEN 5 THEN '198' WHEN 6 THEN '230' WHEN 7 THEN '255' ELSE '127' END"
+_QUAD = f"concat({_FIRST}, '.', CAST(event_id % 256 AS VARCHAR(4)), '.', CAST(event_id % 5 AS VARCHAR(4)), '.', CAST(user_id % 256 AS VARCHAR(4)))"
+_V6 = ["::1", "0:0:0:0:0:0:0:1", "FE80::1", "fe80:0:0::1%eth0", "fd00::2", "fec0::1", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "2002:a00::1", "2606:4700::1111", "2001:0:4136::1",
+       "2001:0000:0000:0000:1:2:3:4", "ff02::1", "64:ff9b::a00:1", "64:ff9b::10.0.0.1", "[::1]", "[2606:4700:4700::64]", "2a00:1450:4001:81b::200e", "1:2:3:4:5:6:7::", "::"]
+_NO = ["300.1.2.3", "1.2.3", "01.2.3.4", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::1", "::1.2.3.256", "[::1", "host", "", "::1%", "1:2:3:4:5:6:7::8"]
+_CASES = " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_V6 + _NO))
+# v4 addresses, plain and carried by v6 in two spellings, and v6 spellings and mistakes
+_ADDRESSES = f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE event_id % 35 {_CASES} END WHEN event_id % 3 = 1 THEN quad ELSE CASE event_id % 6
+ WHEN 2 THEN concat('::ffff:', quad) ELSE concat('0:0:0:0:0:FFFF:', quad) END END AS address FROM (SELECT event_id, {_QUAD} AS quad FROM events) AS e"""
 _RANGES = ", ".join(f"('{n}', {b}, '{w}')" for n, b, w in N.PRIVATE_V4)
+_SIX = ", ".join(f"('{n}', '{1 << (128 - b)}'::UHUGEINT, '{w}')" for n, b, w in N.PRIVATE_V6)
 
 
 def _num(c):
     return " + ".join(f"CAST(string_split({c}, '.')[{i + 1}] AS BIGINT) * {256 ** (3 - i)}" for i in range(4))
 
 
+# groups of an IPv6 address as a number of 128 bits, with a dotted quad at its end made two groups
+_GROUPS = rf"""g0 AS (SELECT *, regexp_replace(regexp_replace(lower(address), '^\[(.*:.*)\]$', '\1'), '%[^%]+$', '') AS bare FROM a),
+q AS (SELECT *, regexp_matches(bare, '^(\d+\.){{3}}\d+$') AS plain, regexp_extract(bare, '^(.*:)((\d+\.){{3}}\d+)$', 2) AS tail FROM g0),
+o AS (SELECT *, CASE WHEN plain THEN bare WHEN tail <> '' THEN tail END AS dotted FROM q),
+d AS (SELECT *, CASE WHEN dotted IS NULL THEN true ELSE len(list_filter(string_split(dotted, '.'), lambda x: TRY_CAST(x AS INT) BETWEEN 0 AND 255 AND (x = '0' OR x[1] <> '0'))) = 4 END AS quad_ok FROM o),
+n4 AS (SELECT *, CASE WHEN dotted IS NOT NULL AND quad_ok THEN {_num('dotted')} END AS v4 FROM d),
+t AS (SELECT *, CASE WHEN plain THEN NULL WHEN tail <> '' THEN concat(left(bare, length(bare) - length(tail)), lower(to_hex(v4 // 65536)), ':', lower(to_hex(v4 % 65536))) ELSE bare END AS six FROM n4),
+s AS (SELECT *, string_split(six, '::') AS sides FROM t),
+e AS (SELECT *, CASE WHEN sides[1] = '' THEN [] ELSE string_split(sides[1], ':') END AS l, CASE WHEN len(sides) < 2 OR sides[2] = '' THEN [] ELSE string_split(sides[2], ':') END AS r FROM s),
+f AS (SELECT *, CASE WHEN len(sides) = 1 AND len(l) = 8 OR len(sides) = 2 AND len(l) + len(r) < 8 THEN list_concat(l, list_transform(range(0, 8 - len(l) - len(r)), lambda x: '0'), r) END AS gs FROM e),
+h AS (SELECT *, quad_ok AND gs IS NOT NULL AND len(list_filter(gs, lambda x: regexp_full_match(x, '[0-9a-f]{{1,4}}'))) = 8 AS is6 FROM f),
+m AS (SELECT *, CASE WHEN is6 THEN list_reduce(list_prepend(0::UHUGEINT, list_transform(gs, lambda x: CAST(concat('0x', x) AS BIGINT)::UHUGEINT)), lambda acc, x: acc * 65536 + x) END AS v6 FROM h),
+v AS (SELECT event_id, address, CASE WHEN plain AND quad_ok THEN v4 WHEN v6 // 4294967296 = 65535 OR (v6 < 4294967296 AND v6 > 1) THEN CAST(v6 % 4294967296 AS BIGINT) END AS n4, v6 FROM m)"""
+_NETS6 = rf"""x6 AS (SELECT size, why, list_reduce(list_prepend(0::UHUGEINT, list_transform(list_concat(l, list_transform(range(0, 8 - len(l)), lambda x: '0')), lambda x: CAST(concat('0x', x) AS BIGINT)::UHUGEINT)), lambda acc, x: acc * 65536 + x) AS lo
+ FROM (SELECT *, list_filter(string_split(replace(net, '::', ''), ':'), lambda x: x <> '') AS l FROM (VALUES {_SIX}) AS x(net, size, why)))"""
+
+
 @query(
     "vetted_addresses_j11",
-    f"""WITH a AS (SELECT *, event_id % 12 AS k, replace(address, '::ffff:', '') AS v4 FROM ({_ADDRESSES})),
-n AS (SELECT *, CASE WHEN k < 9 THEN {_num('v4')} END AS n FROM a),
+    f"""WITH a AS ({_ADDRESSES}), {_GROUPS}, {_NETS6},
 r AS (SELECT {_num('net')} AS lo, {_num('net')} + CAST(2 ** (32 - bits) AS BIGINT) - 1 AS hi, why FROM (VALUES {_RANGES}) AS x(net, bits, why))
-SELECT event_id, address, CASE WHEN k < 9 THEN why WHEN k = 11 THEN 'not an address'
- WHEN k = 9 THEN CASE event_id % 7 WHEN 0 THEN 'loopback or unspecified' WHEN 1 THEN 'link-local' WHEN 2 THEN 'unique local' WHEN 3 THEN 'site-local' WHEN 4 THEN 'documentation' WHEN 5 THEN '6to4' END
- ELSE CASE WHEN event_id % 7 < 3 THEN 'NAT64' WHEN event_id % 7 < 5 THEN 'Teredo' ELSE 'multicast' END END AS reason
-FROM n LEFT JOIN r ON n.n BETWEEN r.lo AND r.hi""",
+SELECT event_id, address, CASE WHEN n4 IS NULL AND v6 IS NULL THEN 'not an address' WHEN n4 IS NOT NULL THEN r.why ELSE x6.why END AS reason
+FROM v LEFT JOIN r ON n4 BETWEEN r.lo AND r.hi
+ LEFT JOIN x6 ON n4 IS NULL AND v6 >= x6.lo AND v6 - x6.lo < x6.size""",
 )
 def vetted_addresses(spark, sf_dir):
-    return N.vetted_addresses(run(spark, sf_dir, _ADDRESSES, "events"), N.v4_ranges(spark))
+    return N.vetted_addresses(run(spark, sf_dir, _ADDRESSES, "events"), N.private_ranges(spark))

@@ -1,11 +1,14 @@
 """Operators against brute force and literal cases, with blocks small enough to matter."""
 
+import ipaddress
 import random
+import unicodedata
 
 from pyspark.sql import Window, functions as F
 
-from sparkdesk.operators import conversations as C, layout as Y, markdown as M, packages as G, replies as R, usage as U
+from sparkdesk.operators import conversations as C, evaluation as E, layout as Y, markdown as M, network as N, packages as G, pages as PG, replies as R, usage as U
 from sparkdesk.plans.blocked import Scan, block_of, order_statistic, scan
+from sparkdesk.sources.evaluation import ASSERT_SCHEMA
 from sparkdesk.streaming import ledger as SL
 
 
@@ -213,3 +216,64 @@ def test_only_strings_are_tokens(spark):
     df = spark.createDataFrame(lines, "request_id long, seq long, line string")
     assert R.assemble(df).first().reply == "ab"
     assert [r.token for r in R.decode(df).orderBy("seq").collect()] == ["a", "b"]
+
+
+def test_addresses_equal_the_library(spark):
+    """Every spelling of an address, and what is none, against Python's own parser and prefixes."""
+    rng = random.Random(5)
+    heads = ["::", "::1", "::ffff:127.0.0.1", "::ffff:7f00:1", "::7f00:1", "::8.8.8.8", "0:0:0:0:0:ffff:127.0.0.1", "2001:0:1::", "2001:1::", "2001:db8::5",
+             "2002:7f00:1::", "64:ff9b::1.2.3.4", "64:ff9b:1::", "fe80::1%eth0", "febf::", "fec0::1", "feff::", "fbff::", "fc00::", "fdff::", "ff02::1", "2606:4700::1111",
+             "100::1", "1::2::3", ":::", ":1", "1:", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::8", "1:2:3:4:5:6:7:8:9", "12345::",
+             "g::", "::1.2.3.256", "::01.2.3.4", "1.2.3.4::", "127.0.0.1", "010.0.0.1", "1.2.3", "", "%", "::%", "300.0.0.1", "100.64.0.1", "100.128.0.1", "198.20.0.1"]
+    for _ in range(400):
+        n = rng.choice([rng.getrandbits(128), rng.getrandbits(32), rng.getrandbits(16), rng.getrandbits(32) | 0xFFFF << 32, rng.getrandbits(64) << 64])
+        full = ipaddress.IPv6Address(n)
+        heads += [str(full), full.exploded, full.exploded.upper(), "[" + str(full) + "]", str(ipaddress.IPv4Address(n & 0xFFFFFFFF))]
+        heads.append(":".join(f"{int(g, 16):x}" for g in full.exploded.split(":")[:6]) + f":{ipaddress.IPv4Address(n & 0xFFFFFFFF)}")
+    nets = [(ipaddress.ip_network(f"{net}/{bits}"), why) for net, bits, why in N.PRIVATE_V4 + N.PRIVATE_V6]
+
+    def reason(text):
+        try:
+            a = ipaddress.ip_address(text[1:-1] if text.startswith("[") and text.endswith("]") and ":" in text else text)
+        except ValueError:
+            return "not an address"
+        if a.version == 6:
+            a = ipaddress.IPv6Address(int(a))  # without its zone
+            if int(a) >> 32 == 0xFFFF or 1 < int(a) < 1 << 32:
+                a = ipaddress.IPv4Address(int(a) & 0xFFFFFFFF)
+        return next((why for net, why in nets if net.version == a.version and a in net), None)
+
+    df = spark.createDataFrame([(h,) for h in heads], "address string")
+    got = {r.address: r.reason for r in N.vetted_addresses(df, N.private_ranges(spark)).collect()}
+    assert {h: (got[h], reason(h)) for h in heads if got[h] != reason(h)} == {}
+
+
+def test_first_listed_host_explains(spark):
+    captures = spark.createDataFrame([("idle", "rust", "1.1.1.1:443"), ("idle", "rust", "2.2.2.2:443")], "phase string, source string, remote string")
+    expected = spark.createDataFrame([("1.1.1.1", "zeta.example", "z", 1), ("1.1.1.1", "alpha.example", "a", 2)], "ip string, host string, what string, listed int")
+    reverse = spark.createDataFrame([("2.2.2.2", "x.scw.cloud", 1), ("2.2.2.2", "a.apple.com", 2)], "ip string, name string, listed int")
+    got = {r.ip: (r["class"], r.what) for r in N.explained(captures, expected, reverse).collect()}
+    assert got == {"1.1.1.1": ("EXPECTED", "zeta.example — z"), "2.2.2.2": ("EXPECTED", "Scaleway (by reverse name)")}
+
+
+def test_a_broken_pattern_fails_its_own_case(spark):
+    schema = "id string, text string, error string"
+    results = spark.createDataFrame([("a", "abc", None), ("b", "abc", None), ("c", "abc", None), ("d", "abc", None)], schema)
+    specs = [("a", '{"regex":"(["}'), ("b", '{"regex":"a.c"}'), ("c", '{"regex":"^b","nonEmpty":true}'), ("d", '{"nonEmpty":true}')]
+    cases = spark.createDataFrame(specs, "id string, spec string").select(
+        "id", F.from_json("spec", ASSERT_SCHEMA).alias("assert"), F.lit(None).cast("string").alias("review"), F.lit(False).alias("appLevel"))
+    rows = {r.id: r for r in E.graded(results, cases).collect()}
+    assert {i: r.verdict for i, r in rows.items()} == {"a": "FAIL", "b": "PASS", "c": "FAIL", "d": "PASS"}
+    assert [(c.name, c.detail) for c in rows["a"].checks] == [("matches /([/", "the pattern does not compile")]
+
+
+def test_word_sets_are_compatibility_folded(spark):
+    texts = [("ﬁn Straße", "fin STRASSE"), ("Ａ１ ②", "a1 2"), ("x\u00a0y", "Y X"), ("½ İ", "1⁄2 i̇"), ("é", "e\u0301"), ("one", "two"), (None, "ﬀ"), ("K", "k"), ("plain Words", "words PLAIN")]
+    df = spark.createDataFrame([(i, 1, a, b) for i, (a, b) in enumerate(texts)], "doc_id long, page_no long, a_text string, b_text string")
+    got = {r.doc_id: (r.only_a, r.only_b) for r in PG.word_set_differences(df).collect()}
+    want = {}
+    for i, pair in enumerate(texts):
+        a, b = (set(unicodedata.normalize("NFKC", t or "").casefold().split()) for t in pair)
+        if a != b:
+            want[i] = (" ".join(sorted(a - b)), " ".join(sorted(b - a)))
+    assert got == want and 0 not in got and 1 not in got
