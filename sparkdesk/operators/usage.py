@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkdesk.plans.blocked import Scan, scan
+
 CATEGORIES = ("ai", "image", "search")
 
 
@@ -68,38 +70,51 @@ def price_history(rates: DataFrame, versions: DataFrame) -> DataFrame:
     return rates.join(periods.withColumnRenamed("collected", "valid_from"), "version")
 
 
+def list_of_day(days: DataFrame, lists: DataFrame) -> DataFrame:
+    """(day, list_version, before_first): the list in force on each day, carried forward along days and lists in one order.
+
+    ``lists`` has (version, valid_from, valid_to). A day before every list takes
+    the first one. Rows are days and lists, not events; they are scanned in
+    blocks of a year or so.
+    """
+    held = F.struct("valid_from", "version", "valid_to")
+    marks = lists.select(F.col("valid_from").cast("date").alias("day"), F.lit(0).alias("asked"), held.alias("list"))
+    asked = days.select("day", F.lit(1).alias("asked"), F.lit(None).cast(marks.schema["list"].dataType).alias("list"))
+    ordered = marks.unionByName(asked).withColumn("all", F.lit(0))
+    found = scan(ordered, ["all"], ["day", "asked"], F.floor(F.unix_date("day") / 366), [
+        Scan("last", "max", F.col("list")), Scan("first", "min", F.col("list"), "total"),
+    ])
+    early = F.col("last").isNull()
+    chosen = F.when(early, F.col("first")).otherwise(F.col("last"))
+    over = ~early & F.coalesce(F.col("day") >= chosen["valid_to"], F.lit(False))
+    return found.where("asked = 1").select("day", F.when(~over, chosen["version"]).alias("list_version"), early.alias("before_first"))
+
+
 def priced_as_of(events: DataFrame, history: DataFrame, fx: DataFrame, display: str = "EUR") -> DataFrame:
     """Price each event with the list collected last on or before its day.
 
     An event older than every list takes the first one and is flagged
-    ``before_first``. Named and default rates are equi-joins on kind and name, with the period as the residual condition.
+    ``before_first``. The list is found once for each day; events then meet
+    their day, their name's rate in that list and its default by equi-joins, so
+    a popular name with a long history meets one version per event.
     """
-    fields = F.struct("input_per_mtok", "output_per_mtok", "per_unit", "currency")
-    spans = history.select(
-        F.col("kind").alias("h_kind"), F.col("name").alias("h_name"), F.col("version").alias("h_version"),
-        F.when(~F.col("first_version"), F.col("valid_from")).alias("h_from"),
-        F.col("valid_from").alias("h_collected"), F.col("valid_to").alias("h_to"), fields.alias("h_rate"),
-    )
+    lists = history.select("version", "valid_from", "valid_to").distinct()
     day = F.to_date("ts")
-    inside = (F.col("h_from").isNull() | (day >= F.col("h_from"))) & (F.col("h_to").isNull() | (day < F.col("h_to")))
-    named = spans.select(*[F.col(c).alias("n" + c) for c in spans.columns])
-    n_inside = (F.col("nh_from").isNull() | (day >= F.col("nh_from"))) & (
-        F.col("nh_to").isNull() | (day < F.col("nh_to"))
+    days = list_of_day(events.select(day.alias("day")).where("day IS NOT NULL").distinct(), lists)
+    rated = history.select(
+        F.col("version").alias("r_version"), F.col("kind").alias("r_kind"), F.col("name").alias("r_name"),
+        F.struct("input_per_mtok", "output_per_mtok", "per_unit", "currency").alias("r_rate"),
+    )
+    default = rated.where("r_name = 'default'").select(
+        F.col("r_version").alias("d_version"), F.col("r_kind").alias("d_kind"), F.col("r_rate").alias("d_rate")
     )
     joined = (
-        events.join(
-            named,
-            (F.col("kind") == F.col("nh_kind")) & (F.col("price_key") == F.col("nh_name")) & n_inside,
-            "left",
-        )
-        .join(
-            spans.where("h_name = 'default'"),
-            (F.col("kind") == F.col("h_kind")) & inside,
-            "left",
-        )
-        .withColumn("rate", F.coalesce("nh_rate", "h_rate"))
-        .withColumn("version", F.coalesce("nh_version", "h_version"))
-        .withColumn("before_first", day < F.coalesce("nh_collected", "h_collected"))
+        events.withColumn("day", day).join(days, "day", "left")
+        .join(rated, (F.col("list_version") == F.col("r_version")) & (F.col("kind") == F.col("r_kind")) & (F.col("price_key") == F.col("r_name")), "left")
+        .join(default, (F.col("list_version") == F.col("d_version")) & (F.col("kind") == F.col("d_kind")), "left")
+        .withColumn("rate", F.coalesce("r_rate", "d_rate"))
+        .withColumn("version", F.when(F.col("rate").isNotNull(), F.col("list_version")))
+        .withColumn("before_first", F.when(F.col("rate").isNotNull(), F.col("before_first")))
         .withColumn("__currency", F.col("rate.currency"))
     )
     return (

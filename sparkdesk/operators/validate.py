@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkdesk.plans.prices import KNOWN_CURRENCIES, MAX_PLAUSIBLE_RATE
 from sparkdesk.operators.markdown import lines
 from sparkdesk.operators.web import address_problem
 from sparkdesk.sources.conversations import CONVERSATION_SCHEMA, CURRENT_SCHEMA
-from sparkdesk.sources.prices import exchange, rates
 
 
 def _known(c: Column) -> Column:
@@ -24,33 +25,39 @@ def _rate_rule(value: Column) -> Column:
 
 
 def price_table_problems(tables: DataFrame, current_collected: str) -> DataFrame:
-    """(table_id, rule, item) for every rule a price table breaks."""
-
-    def report(df: DataFrame, rule: Column, item: Column) -> DataFrame:
-        return df.select("table_id", rule.alias("rule"), item.alias("item")).where("rule IS NOT NULL")
-
-    r = rates(tables)
-    unpivoted = r.select(
-        "table_id", "name",
-        F.explode(F.array("input_per_mtok", "output_per_mtok", "per_unit")).alias("value"),
-    ).where("value IS NOT NULL")
-    fx = exchange(tables)
-    links = tables.select("table_id", F.explode("price.sources").alias("provider", "url"))
-    problem = address_problem(F.trim("url"))
-    reports = [
-        report(tables, F.when(F.col("oversized"), "file too large"), F.lit("file")),
-        report(tables, F.when(~_known(F.col("price.display_currency")), "currency unknown"), F.lit("display_currency")),
-        report(tables, F.when(F.col("price.collected") < current_collected, "older than current"), F.col("price.collected")),
-        report(fx, F.when(~_known(F.col("currency")), "currency unknown"), F.col("currency")),
-        report(fx, F.when(F.col("mult") == 0, "fx zero").otherwise(_rate_rule(F.col("mult"))), F.col("currency")),
-        report(unpivoted, _rate_rule(F.col("value")), F.col("name")),
-        report(r, F.when(~_known(F.col("currency")), "currency unknown"), F.col("name")),
-        report(links, F.when(F.trim("url") != "", F.concat(F.lit("link "), problem)), F.col("provider")),
+    """(table_id, rule, item) for every rule a price table breaks.
+
+    All rules of a table are one array over its parsed form, so tables are read
+    and parsed once, and nothing is shuffled.
+    """
+    price = F.col("price")
+
+    def said(rule: Column, item: Column) -> Column:
+        return F.struct(rule.alias("rule"), item.cast("string").alias("item"))
+
+    def each(entries: Column, rules: Callable[[Column, Column], list[Column]]) -> Column:
+        found = F.flatten(F.transform(F.map_entries(entries), lambda e: F.array(*rules(e["key"], e["value"]))))
+        return F.coalesce(found, F.array().cast("array<struct<rule:string,item:string>>"))
+
+    def unknown(currency: Column) -> Column:
+        return F.when(~_known(currency), "currency unknown")
+
+    def rate(*values: str) -> Callable[[Column, Column], list[Column]]:
+        return lambda name, r: [
+            *[said(_rate_rule(r[v]), name) for v in values], said(unknown(F.coalesce(r["currency"], F.lit("EUR"))), name),
+        ]
+
+    own = F.array(
+        said(F.when(F.col("oversized"), "file too large"), F.lit("file")),
+        said(unknown(price["display_currency"]), F.lit("display_currency")),
+        said(F.when(price["collected"] < current_collected, "older than current"), price["collected"]),
+    )
+    listed = [
+        each(price["fx"], lambda c, mult: [said(unknown(c), c), said(F.when(mult == 0, "fx zero").otherwise(_rate_rule(mult)), c)]),
+        each(price["ai"], rate("input_per_mtok", "output_per_mtok")), each(price["image"], rate("per_unit")), each(price["search"], rate("per_unit")),
+        each(price["sources"], lambda provider, url: [said(F.when(F.trim(url) != "", F.concat(F.lit("link "), address_problem(F.trim(url)))), provider)]),
     ]
-    out = reports[0]
-    for other in reports[1:]:
-        out = out.unionByName(other)
-    return out
+    return tables.select("table_id", F.inline(F.concat(own, *listed))).where("rule IS NOT NULL")
 
 
 ROLES = ["user", "assistant", "system"]

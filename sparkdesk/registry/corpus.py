@@ -372,21 +372,25 @@ def text_markers(spark, sf_dir):
     return V.text_markers(docs.unionByName(given), ["private/repo"], ["NOTES.md", "PLAN.md"])
 
 
+_HEAD = "concat(text, chr(10), chr(10), '|a|b|', chr(10), '|---|:-:|', chr(10), '|1|2|'"
+_TABLED = f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_HEAD}, chr(10), '|3|4|', chr(10), 'end') WHEN 1 THEN {_HEAD}, chr(10), chr(10), '|3|4|', chr(10))
+ WHEN 2 THEN {_HEAD}, chr(10), '| - | - |', chr(10), '|5|6|', chr(10), chr(10), ' |7|8|') ELSE {_HEAD}, chr(10), chr(10), 'prose | here', chr(10), chr(10), '|9|') END AS text FROM documents
+UNION ALL SELECT -doc_id - 1 AS doc_id, text FROM documents
+UNION ALL SELECT doc_id + 1000000000 AS doc_id, replace(replace(text, ' ', ' | '), '. ', concat('.', chr(10), chr(10), '| ')) AS text FROM documents"""
+
+
 @query(
     "broken_tables_v6",
-    """SELECT doc_id, n + 6 AS line_no, CAST(1 AS BIGINT) AS separators FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE doc_id % 4 = 1
-UNION ALL SELECT doc_id, n + 8, CAST(2 AS BIGINT) FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) WHERE doc_id % 4 = 2""",
+    rf"""WITH l AS (SELECT doc_id, i - 1 AS line_no, trim(raw, {TRIM}) AS line FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS raw FROM ({_TABLED}))),
+r AS (SELECT *, line LIKE '|%' AS is_row, regexp_matches(line, '^\|[\s|:-]+\|$') AND coalesce(lag(line LIKE '|%') OVER (PARTITION BY doc_id ORDER BY line_no), false) AS separator FROM l),
+s AS (SELECT *, sum(CASE WHEN separator THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seen FROM r),
+c AS (SELECT *, coalesce(max(seen) FILTER (NOT is_row) OVER (PARTITION BY doc_id ORDER BY line_no), 0) AS at_start FROM s),
+a AS (SELECT doc_id, line_no, is_row, lag(is_row) OVER w AS above, lag(line_no) OVER w AS above_no, lag(seen) OVER w - lag(at_start) OVER w AS tables FROM c WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no + 1 AS line_no, CAST(tables AS BIGINT) AS separators FROM a WHERE is_row AND above AND line_no - above_no > 1 AND tables > 0""",
 )
 def broken_tables(spark, sf_dir):
-    """Tables whole, cut once, two in one and cut, and followed by prose."""
-    head = "\n\n|a|b|\n|---|:-:|\n|1|2|"
-    k = F.col("doc_id") % 4
-    tail = (
-        F.when(k == 0, head + "\n|3|4|\nend").when(k == 1, head + "\n\n|3|4|\n")
-        .when(k == 2, head + "\n| - | - |\n|5|6|\n\n |7|8|").otherwise(head + "\n\nprose | here\n\n|9|")
-    )
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.translate("text", "|", ""), tail).alias("text"))
-    return V.broken_tables(docs)
+    """Tables below the given text whole, cut once, two in one and cut, and followed by prose; the given text alone, and with rows made of it."""
+    return V.broken_tables(run(spark, sf_dir, _TABLED, "documents"))
 
 
 # --- page layout ----------------------------------------------------------------------

@@ -8,11 +8,11 @@ from sparkdesk.functions import markdown as MF
 from sparkdesk.functions.classes import WHITE, WIDE
 from sparkdesk.operators import markdown as M
 from sparkdesk.registry.core import query, table
-from sparkdesk.registry.text import TRIM
+from sparkdesk.registry.text import TRIM, duck_flat
 
 
 def markdown_documents(spark, sf_dir):
-    """Document lines marked up by position; every tenth has a table, whose last
+    """Document lines as given, marked up by position; every tenth has a table, whose last
     row reads as a list item, and every twentieth a second table."""
     p = lambda i: i + 1
 
@@ -25,7 +25,7 @@ def markdown_documents(spark, sf_dir):
             .otherwise(s)
         )
 
-    lines = F.split(F.translate("text", "*_`|\\", ""), "\n")
+    lines = F.split("text", "\n")
     rows = F.transform(lines, lambda s, i: F.concat(
         F.lit("| "), p(i).cast("string"), F.lit(r" | a\|b "), F.col("lang"), F.lit(" | "), F.length(s).cast("string"), F.lit(" |")))
     tail = F.concat(
@@ -42,7 +42,7 @@ _MD = r"""md AS (SELECT doc_id, concat(array_to_string(list_transform(ls, lambda
  CASE WHEN doc_id % 10 = 0 THEN concat(chr(10), chr(10), 'line | name | size', chr(10), '---|:-:|--', chr(10),
    array_to_string(list_transform(ls, lambda s, n: concat('| ', n, ' | a\|b ', lang, ' | ', length(s), ' |')), chr(10)), chr(10), '- last | \x | ', chr(10), chr(10), 'end.', chr(10),
    CASE WHEN doc_id % 20 = 0 THEN concat(chr(10), '|a|b|', chr(10), '|-|-|', chr(10), '|1|', chr(10), '|||', chr(10)) ELSE '' END) ELSE '' END) AS text
- FROM (SELECT doc_id, lang, string_split(regexp_replace(text, '[*_`|\\]', '', 'g'), chr(10)) AS ls FROM documents))"""
+ FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS ls FROM documents))"""
 _CELL = rf"[{WHITE}]*[-:]*-[-:]*[{WHITE}]*"
 _BLOCKS = rf"""{_MD},
 l AS (SELECT doc_id, i - 1 AS line_no, trim(raw, {TRIM}) AS line FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS raw FROM md)),
@@ -56,14 +56,14 @@ f AS (SELECT *, CASE WHEN piped AND line_no = t0 + 1 THEN 'delimiter' WHEN piped
 s AS (SELECT *, CASE WHEN kind = 'table' THEN line_no = t0 WHEN kind IN ('rule', 'heading', 'bullet', 'numbered') THEN true WHEN kind IN ('para', 'quote')
    THEN coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no), '') <> kind ELSE false END AS starts FROM f),
 b AS (SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS block_no FROM s),
-blocks AS (SELECT doc_id, block_no, kind, max(CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) END) AS level,
+blocks AS (SELECT * REPLACE ({duck_flat("text")} AS text) FROM (SELECT doc_id, block_no, kind, max(CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) END) AS level,
   max(CASE WHEN kind = 'numbered' THEN CAST(regexp_extract(line, '^([0-9]+)', 1) AS BIGINT) END) AS ordinal,
   string_agg(CASE kind WHEN 'quote' THEN trim(regexp_replace(line, '^> ?', ''), {TRIM}) WHEN 'heading' THEN trim(regexp_replace(line, '^#+ ', ''), {TRIM}) WHEN 'bullet' THEN trim(substr(line, 3), {TRIM})
    WHEN 'numbered' THEN trim(regexp_replace(line, '^[0-9]+[.)] ', ''), {TRIM}) WHEN 'para' THEN line END, ' ' ORDER BY line_no) AS text
-  FROM b WHERE kind NOT IN ('blank', 'quote break', 'delimiter') GROUP BY doc_id, block_no, kind),
+  FROM b WHERE kind NOT IN ('blank', 'quote break', 'delimiter') GROUP BY doc_id, block_no, kind)),
 trow AS (SELECT doc_id, block_no, CAST(row_number() OVER (PARTITION BY doc_id, block_no ORDER BY line_no) - 1 AS BIGINT) AS row_no,
   list_transform(string_split(replace(regexp_replace(regexp_replace(line, '^\|', ''), '\|[ ]*$', ''), '\|', chr(1)), '|'), lambda c: trim(replace(c, chr(1), '|'), {TRIM})) AS cs FROM b WHERE kind = 'table'),
-cells AS (SELECT doc_id, block_no, row_no, unnest(range(0, len(cs))) AS col_no, unnest(cs) AS text FROM trow)"""
+cells AS (SELECT * REPLACE ({duck_flat("text")} AS text) FROM (SELECT doc_id, block_no, row_no, unnest(range(0, len(cs))) AS col_no, unnest(cs) AS text FROM trow))"""
 
 
 @query("markdown_blocks_w13", f"WITH {_BLOCKS} SELECT * FROM blocks")

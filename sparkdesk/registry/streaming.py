@@ -41,9 +41,9 @@ def streaming_ledger(spark, sf_dir):
 
 @query("retried_ledger_t5", _LEDGER)
 def retried_ledger(spark, sf_dir):
-    """The same with every batch written twice, as after a write whose success was not recorded."""
+    """The same in several batches, each written twice, as after a write whose success was not recorded, and folded in twos."""
     path = new_path(spark, "ledger")
-    write = SL.write_batch(path)
+    write = SL.write_batch(path, compact_every=2)
 
     def twice(batch: DataFrame, batch_id: int) -> None:
         write(batch, batch_id)

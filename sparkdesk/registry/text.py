@@ -216,15 +216,33 @@ def clamp_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clamp(F.col("text")).alias("shown"))
 
 
-@query("flat_inline_p16", f"SELECT doc_id, page_no, element AS plain FROM ({DUCK_LINES})")
+# the spans of inline Markdown for an engine without look-ahead: what a span may not begin with is spelled out
+_DUCK_SPANS = (
+    r"\*\*([^ \n*][^\n]*?|\*[^\n*][^\n]*?)\*\*|__([^ \n_][^\n]*?|_[^\n_][^\n]*?)__|\*([^ \n*][^\n*]*)\*|_([^ \n_][^\n_]*)_|`([^ \n`][^\n`]*)`"
+)
+
+
+def duck_flat(c: str) -> str:
+    return rf"regexp_replace({c}, '{_DUCK_SPANS}', '\1\2\3\4\5', 'g')"
+
+
+_WRAPPED = """array_to_string(list_transform(string_split(element, ' '), lambda w: CASE WHEN w = '' THEN w ELSE concat(
+ CASE page_no % 5 WHEN 0 THEN '**' WHEN 1 THEN '__' WHEN 2 THEN '*' WHEN 3 THEN '_' ELSE '`' END, w,
+ CASE page_no % 5 WHEN 0 THEN '**' WHEN 1 THEN '__' WHEN 2 THEN '*' WHEN 3 THEN '_' ELSE '`' END) END), ' ')"""
+
+
+@query(
+    "flat_inline_p16",
+    f"""SELECT doc_id, page_no, false AS wrapped, {duck_flat("element")} AS plain FROM ({DUCK_LINES})
+UNION ALL SELECT doc_id, page_no, true, {duck_flat(_WRAPPED)} FROM ({DUCK_LINES})""",
+)
 def flat_inline(spark, sf_dir):
-    """Lines with their words wrapped in markers come back as they were, but
-    for lines that hold a marker already, which are left alone."""
+    """Every given line as it is, and with its words wrapped in markers."""
     e, k = F.col("element"), F.col("page_no") % 5
     words = F.split("element", " ")
     mark = F.when(k == 0, "**").when(k == 1, "__").when(k == 2, "*").when(k == 3, "_").otherwise("`")
     wrapped = F.array_join(F.transform(words, lambda w: F.when(w == "", w).otherwise(F.concat(mark, w, mark))), " ")
-    raw = F.when(e.rlike(r"[*_`]"), F.lit(None)).otherwise(wrapped)
-    return document_lines(spark, sf_dir).select(
-        "doc_id", "page_no", F.coalesce(X.flatten_inline(raw), e).alias("plain")
+    both = F.array(F.struct(F.lit(False).alias("wrapped"), e.alias("line")), F.struct(F.lit(True).alias("wrapped"), wrapped.alias("line")))
+    return document_lines(spark, sf_dir).select("doc_id", "page_no", F.inline(both)).select(
+        "doc_id", "page_no", "wrapped", X.flatten_inline(F.col("line")).alias("plain")
     )

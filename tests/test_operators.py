@@ -1,13 +1,15 @@
 """Operators against brute force and literal cases, with blocks small enough to matter."""
 
+import datetime
 import ipaddress
 import random
 import unicodedata
 
 from pyspark.sql import Window, functions as F
 
-from sparkdesk.operators import conversations as C, evaluation as E, layout as Y, markdown as M, network as N, packages as G, pages as PG, replies as R, usage as U
+from sparkdesk.operators import conversations as C, evaluation as E, layout as Y, markdown as M, network as N, packages as G, pages as PG, replies as R, usage as U, validate as V
 from sparkdesk.plans.blocked import Scan, block_of, order_statistic, scan
+from sparkdesk.sources import prices as SP
 from sparkdesk.sources.evaluation import ASSERT_SCHEMA
 from sparkdesk.streaming import ledger as SL
 
@@ -277,3 +279,91 @@ def test_word_sets_are_compatibility_folded(spark):
         if a != b:
             want[i] = (" ".join(sorted(a - b)), " ".join(sorted(b - a)))
     assert got == want and 0 not in got and 1 not in got
+
+
+def _batches(spark, path, numbers, every=4):
+    write = SL.write_batch(path, compact_every=every)
+    for n in numbers:
+        rows = [("2024-01", "ai", f"p{n % 3}", n, 10 * n, n, float(n)), (f"2024-{n % 12 + 1:02}", "image", "ovh", n, 0, 0, 0.5 * n)]
+        write(spark.createDataFrame(rows, SL.LEDGER_COLUMNS), n)
+
+
+def _totals(spark, path):
+    return {(r.month, r.category, r.provider): (r["count"], r.cost) for r in SL.read_ledger(spark, path).collect()}
+
+
+def _expected(last):
+    out = {}
+    for n in range(last + 1):
+        out["2024-01", "ai", f"p{n % 3}"] = (n, float(n))
+        out[f"2024-{n % 12 + 1:02}", "image", "ovh"] = (n, 0.5 * n)
+    return out
+
+
+def test_ledger_stays_short(spark, tmp_path):
+    """However many batches were written, a reader opens one snapshot and fewer batches than are folded at once."""
+    path = str(tmp_path / "ledger")
+    assert _totals(spark, path) == {}
+    for last in (2, 30, 35):
+        _batches(spark, path, range(max(0, last - 30), last + 1) if last < 31 else range(31, last + 1))
+        assert _totals(spark, path) == _expected(last)
+    folders = {k: sorted(p.name for p in (tmp_path / "ledger" / k).iterdir() if "=" in p.name and not p.name.startswith(".")) for k in ("deltas", "snapshots", "commits")}
+    assert folders["snapshots"] == ["upto=35"] and folders["commits"] == ["upto=35"] and folders["deltas"] == []
+    _batches(spark, path, [36, 37])
+    assert len(list((tmp_path / "ledger" / "deltas").glob("batch=*"))) == 2 and _totals(spark, path) == _expected(37)
+
+
+def test_a_fold_that_fails_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    _batches(spark, path, range(7))
+    real = SL._folder
+
+    def failing(session, at):
+        if "/commits/upto=7" in at:
+            raise RuntimeError("lost before the pointer")
+        return real(session, at)
+
+    monkeypatch.setattr(SL, "_folder", failing)
+    try:
+        _batches(spark, path, [7])
+        raise AssertionError("the pointer was written")
+    except RuntimeError:
+        pass
+    assert _totals(spark, path) == _expected(7)  # snapshot 7 is there, but nothing points to it
+    monkeypatch.setattr(SL, "_folder", real)
+    _batches(spark, path, [7, 7, 8])  # the batch is repeated, also after it was folded
+    assert _totals(spark, path) == _expected(8)
+
+
+def test_as_of_day_equals_brute_force(spark):
+    """A popular name, a long history, days before every list, lists that end, names and kinds without a rate."""
+    rng = random.Random(11)
+    dates = sorted(rng.sample(range(0, 4000), 300))
+    day = lambda n: (datetime.date(2015, 1, 1) + datetime.timedelta(days=n))
+    rates = [(f"v{i}", "ai", name, float(i + 1), float(i), None, "EUR") for i in range(300) for name in ("hot", "default") if not (name == "hot" and i % 7 == 0) and not (name == "default" and i % 11 == 0)]
+    rate_df = spark.createDataFrame(rates, "version string, kind string, name string, input_per_mtok double, output_per_mtok double, per_unit double, currency string")
+    versions = spark.createDataFrame([(f"v{i}", day(d)) for i, d in enumerate(dates)], "version string, collected date")
+    events = [(i, "ai" if rng.random() < 0.95 else "image", rng.choice(["hot"] * 5 + ["other"]), rng.randrange(-400, 4400)) for i in range(800)]
+    df = spark.createDataFrame([(i, k, n, datetime.datetime.combine(day(d), datetime.time(3)), 1_000_000, 0, 0) for i, k, n, d in events],
+                               "id long, kind string, price_key string, ts timestamp, input_tokens long, output_tokens long, units long")
+    fx = spark.createDataFrame([("USD", 0.9)], "currency string, mult double")
+    got = {r.id: (r.version, r.before_first, r.cost) for r in U.priced_as_of(df, U.price_history(rate_df, versions), fx).collect()}
+    known, want = {(v, n) for v, _, n, *_ in rates}, {}
+    listed = [i for i in range(300) if any((f"v{i}", n) in known for n in ("hot", "default"))]
+    for i, kind, name, d in events:
+        at = max((v for v in range(300) if dates[v] <= d), default=None)
+        use = listed[0] if at is None or (at < listed[0]) else at
+        rated = kind == "ai" and ((f"v{use}", name) in known or (f"v{use}", "default") in known)
+        want[i] = (f"v{use}", d < dates[listed[0]], float(use + 1)) if rated else (None, None, 0.0)
+    assert got == want
+
+
+def test_price_tables_are_read_once(spark):
+    bad = '{"version":"1","collected":"2020","display_currency":"ZZZ","fx":{"USD":0,"QQQ":-1},"ai":{"m":{"input_per_mtok":-1,"output_per_mtok":99999999,"currency":"???"}},"image":{"i":{"per_unit":1}},"sources":{"a":"http://x.org","b":" "}}'
+    df = spark.createDataFrame([(1, bad), (2, "{}"), (3, None), (4, "no json")], "id long, json string")
+    report = V.price_table_problems(SP.parse_price_tables(df, "id", "json"), "2026-01-01")
+    got = sorted((r.table_id, r.rule, r.item) for r in report.collect())
+    assert got == sorted([(1, "currency unknown", "display_currency"), (1, "older than current", "2020"), (1, "fx zero", "USD"), (1, "currency unknown", "QQQ"),
+                          (1, "rate negative", "QQQ"), (1, "rate negative", "m"), (1, "rate implausible", "m"), (1, "currency unknown", "m"), (1, "link not https", "a")])
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and "Exchange" not in plan
