@@ -81,10 +81,7 @@ def streaming_replies(spark, sf_dir):
     lines.where("seq >= 20").write.mode("append").parquet(source)
     lines.where("seq < 20").write.mode("append").parquet(source)
     path = new_path(spark, "replies")
-    (
-        SR.assembled(spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(source), max_bytes=_CAP)
-        .writeStream.format("parquet").option("checkpointLocation", new_path(spark, "replies-checkpoint")).option("path", path)
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    incoming = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    SR.start_replies(SR.assembled(incoming, max_bytes=_CAP), path, new_path(spark, "replies-checkpoint")).awaitTermination()
     emitted = spark.read.schema(SR.REPLY_COLUMNS).parquet(path)
     return emitted.unionByName(SR.open_requests(spark.read.schema(lines.schema).parquet(source), emitted, max_bytes=_CAP))

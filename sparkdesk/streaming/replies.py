@@ -1,19 +1,25 @@
 """Replies assembled as their lines stream in.
 
-Lines are parsed by Spark; the operator keeps, per open request, the text so
-far and the lines that arrived ahead of their turn, and gives one row when the
-request ends. The text is capped, and a closed request keeps only a mark. A
+Lines are parsed by Spark; the operator keeps, per open request, the parts of the
+text so far, the lines that arrived ahead of their turn, and one small row on how
+far it is, and gives one row when the request ends. A batch appends a part and
+adds or removes single lines, so what it writes is in proportion to the batch,
+not to the reply. The text is capped, and a closed request keeps only a mark. A
 service that never stops names how long the mark is kept; a run that ends with
-its input must not, because a processing-time timeout always wants another batch.
+its input must not, because processing-time timers always want another batch.
+
+State of several columns needs Spark's RocksDB store: ``start_replies`` starts a
+stream with it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sparkdesk.functions.text import trimmed
 from sparkdesk.operators.replies import _EVENT, MAX_LINE_BYTES, MAX_REPLY_BYTES, assemble, line_events
@@ -21,11 +27,9 @@ from sparkdesk.operators.replies import _EVENT, MAX_LINE_BYTES, MAX_REPLY_BYTES,
 MAX_WAITING = 100_000  # lines of one request held ahead of a missing one
 
 REPLY_COLUMNS = "request_id long, reply string, truncated boolean, failed boolean, prompt long, completion long"
-_STEP = "struct<seq:bigint,kind:string,token:string,prompt:bigint,completion:bigint>"
-_STATE = (
-    "closed boolean, next long, reply string, size long, truncated boolean, prompt long, completion long, "
-    f"ahead array<struct<seq:bigint,steps:array<{_STEP}>>>"
-)
+_PROGRESS = "closed boolean, next long, size long, ahead long, truncated boolean, prompt long, completion long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def parsed(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -49,87 +53,130 @@ def parsed(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     )
 
 
-class _Reply:
-    """A request's state: what was assembled, and the lines ahead of their turn."""
+class _Progress:
+    """How far a request is: what one batch reads and writes whole."""
 
     def __init__(self, held: tuple | None):
-        first = (False, 0, "", 0, False, None, None, [])
-        self.closed, self.next, text, self.size, self.truncated, self.prompt, self.completion, ahead = held or first
-        self.parts, self.failed = [text], False
-        self.waiting = {a["seq"]: a["steps"] for a in ahead}
+        self.closed, self.next, self.size, self.ahead, self.truncated, self.prompt, self.completion = held or (
+            False, 0, 0, 0, False, None, None
+        )
+        self.failed, self.new = False, []
+
+    def row(self) -> tuple:
+        return (self.closed, self.next, self.size, self.ahead, self.truncated, self.prompt, self.completion)
 
     def take(self, steps: list, max_bytes: int) -> bool:
         """Apply one line; True if it ends the request."""
-        for s in steps:
-            if s["kind"] == "token":
-                n = len(s["token"].encode())
+        for kind, token, prompt, completion in steps:
+            if kind == "token":
+                n = len(token.encode())
                 if self.size + n > max_bytes:
                     self.truncated = True
                     return True
-                self.parts.append(s["token"])
+                self.new.append(token)
                 self.size += n
-            elif s["kind"] == "usage":
-                self.prompt, self.completion = int(s["prompt"]), int(s["completion"])
-            elif s["kind"] == "truncated":
+            elif kind == "usage":
+                self.prompt, self.completion = prompt, completion
+            elif kind == "truncated":
                 self.truncated = True
             else:
-                self.failed = s["kind"] == "error"
+                self.failed = kind == "error"
                 return True
         return False
 
-    def row(self, request) -> pd.DataFrame:
-        text = None if self.failed else "".join(self.parts)
-        self.closed, self.waiting, self.parts = True, {}, []
+
+def _plain(steps) -> list:
+    """A line's steps in values that JSON holds."""
+    number = lambda n: None if n is None else int(n)
+    return [[s["kind"], s["token"], number(s["prompt"]), number(s["completion"])] for s in steps]
+
+
+class Assembler(StatefulProcessor):
+    """State of one request: ``progress``, the ``parts`` of its text, and ``ahead``, a line each that came before its turn."""
+
+    def __init__(self, max_bytes: int, keep_closed_ms: int | None, quiet_ms: int | None, max_waiting: int):
+        self.max_bytes, self.keep_closed_ms, self.quiet_ms, self.max_waiting = max_bytes, keep_closed_ms, quiet_ms, max_waiting
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.progress = handle.getValueState("progress", _PROGRESS)
+        self.parts = handle.getListState("parts", "text string")
+        self.ahead = handle.getMapState("ahead", "seq long", "steps string")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        p = _Progress(self.progress.get())
+        was_closed = p.closed
+        for pdf in rows:
+            if not p.closed:
+                fresh = {int(q): _plain(steps) for q, steps in zip(pdf["seq"], pdf["steps"])}
+                if self._advance(p, fresh):
+                    yield self._ended(key[0], p)
+        if not was_closed:
+            self._keep(p)
+            self.progress.update(p.row())
+        wait = self.keep_closed_ms if p.closed else self.quiet_ms
+        if wait is not None and not was_closed:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        p = _Progress(self.progress.get())
+        if p.closed:
+            self.progress.clear()
+            return
+        # nothing came for a while: what has arrived is the reply, over any gap
+        for _, steps in sorted((q[0], s[0]) for q, s in self.ahead.iterator()):
+            if p.take(json.loads(steps), self.max_bytes):
+                break
+        yield self._ended(key[0], p)
+        self.progress.update(p.row())
+        if self.keep_closed_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_closed_ms)
+
+    def _advance(self, p: _Progress, fresh: dict[int, list]) -> bool:
+        """Take the lines whose turn it is and keep the others; True if the request ends."""
+        while True:
+            if p.next in fresh:
+                steps = fresh.pop(p.next)
+                if p.ahead and self.ahead.containsKey((p.next,)):  # the same line once more
+                    self.ahead.removeKey((p.next,))
+                    p.ahead -= 1
+            elif p.ahead and self.ahead.containsKey((p.next,)):
+                steps = json.loads(self.ahead.getValue((p.next,))[0])
+                self.ahead.removeKey((p.next,))
+                p.ahead -= 1
+            else:
+                break
+            p.next += 1
+            if p.take(steps, self.max_bytes):
+                return True
+        for q, steps in fresh.items():
+            if q > p.next:
+                p.ahead += not self.ahead.containsKey((q,))
+                self.ahead.updateValue((q,), (json.dumps(steps),))
+        self._keep(p)
+        p.failed = p.ahead > self.max_waiting
+        return p.failed
+
+    def _keep(self, p: _Progress) -> None:
+        if p.new and not p.closed:
+            self.parts.appendValue(("".join(p.new),))
+        p.new = []
+
+    def _ended(self, request, p: _Progress) -> pd.DataFrame:
+        text = None if p.failed else "".join([*(part[0] for part in self.parts.get()), *p.new])
+        p.closed, p.ahead = True, 0
+        self.parts.clear()
+        self.ahead.clear()
         return pd.DataFrame(
-            [[request, text, self.truncated, self.failed, self.prompt, self.completion]],
+            [[request, text, p.truncated, p.failed, p.prompt, p.completion]],
             columns=["request_id", "reply", "truncated", "failed", "prompt", "completion"],
         ).astype({"prompt": "Int64", "completion": "Int64"})
 
-    def held(self) -> tuple:
-        rest = [
-            (q, [(q, s["kind"], s["token"], s["prompt"], s["completion"]) for s in steps]) for q, steps in sorted(self.waiting.items())
-        ]
-        return (self.closed, self.next, "".join(self.parts), self.size, self.truncated, self.prompt, self.completion, rest)
-
-
-def _plain(step) -> dict:
-    """The state takes plain values only."""
-    return {k: step[k] if k in ("kind", "token") or step[k] is None else int(step[k]) for k in ("kind", "token", "prompt", "completion")}
-
-
-def _fold(max_bytes: int, keep_closed_ms: int | None, quiet_ms: int | None, max_waiting: int):
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (request,) = key
-        reply = _Reply(state.get if state.exists else None)
-        if state.hasTimedOut:
-            if reply.closed:
-                state.remove()
-                return
-            # nothing came for a while: what has arrived is the reply, over any gap
-            for _, steps in sorted(reply.waiting.items()):
-                if reply.take(steps, max_bytes):
-                    break
-            yield reply.row(request)
-        for pdf in batches:
-            if reply.closed:
-                continue
-            for seq, steps in zip(pdf["seq"], pdf["steps"]):
-                reply.waiting[int(seq)] = [_plain(s) for s in steps]
-            ended = False
-            while reply.next in reply.waiting and not ended:
-                ended = reply.take(reply.waiting.pop(reply.next), max_bytes)
-                reply.next += 1
-            if not ended and len(reply.waiting) > max_waiting:
-                reply.failed = ended = True
-            if ended:
-                yield reply.row(request)
-        state.update(reply.held())
-        wait = keep_closed_ms if reply.closed else quiet_ms
-        if wait is not None:
-            state.setTimeoutDuration(wait)
-
-    return advance
-
 
 def assembled(
     lines: DataFrame,
@@ -146,13 +193,28 @@ def assembled(
     input is bounded, ``open_requests`` has those that no line or time ended.
     """
     untimed = keep_closed_ms is None and quiet_ms is None
-    timeout = GroupStateTimeout.NoTimeout if untimed else GroupStateTimeout.ProcessingTimeTimeout
     return (
         parsed(lines, max_line_bytes).groupBy("request_id")
-        .applyInPandasWithState(_fold(max_bytes, keep_closed_ms, quiet_ms, max_waiting), REPLY_COLUMNS, _STATE, "append", timeout)
+        .transformWithStateInPandas(
+            Assembler(max_bytes, keep_closed_ms, quiet_ms, max_waiting), REPLY_COLUMNS, "append", "none" if untimed else "processingTime"
+        )
     )
 
 
+def start_replies(replies: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the replies of ``assembled`` as they end; the session's own state store setting stays as it was."""
+    conf = replies.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, _ROCKSDB)
+    try:
+        return (
+            replies.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        conf.set(_STORE, before) if before else conf.unset(_STORE)
+
+
 def open_requests(lines: DataFrame, emitted: DataFrame, max_bytes: int = MAX_REPLY_BYTES, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """The replies of bounded input that the stream has not emitted, as far as they arrived."""
     rest = lines.join(emitted.select("request_id").distinct(), "request_id", "left_anti")
