@@ -212,8 +212,11 @@ def split(text: str | None) -> list[str]:
     """Tokens of a whole text; runs of letters written apart, with one space in each gap, stand behind the others."""
     if not text:
         return []
-    apart = [" ".join(m.split()) for m in _SPACED.findall(text)]
-    return text.split() + apart
+    tokens = text.split()
+    # letters written apart are three tokens of one character in a row at least: most texts have none, and are not searched
+    if "111" not in "".join(["1" if len(t) == 1 else "0" for t in tokens]):
+        return tokens
+    return tokens + [" ".join(m.split()) for m in _SPACED.findall(text)]
 
 
 def restored_text(text: str, model: Characters) -> str:
