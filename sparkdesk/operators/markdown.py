@@ -14,6 +14,7 @@ from sparkdesk.functions.text import display_width, flatten_inline, trimmed
 LINES_PER_SLIDE = 10
 CHARS_PER_LINE = 60
 ROWS_PER_SLIDE = 8
+SPAN = 256
 PADDING, MIN_WIDTH, MAX_WIDTH = 2, 9, 60
 
 
@@ -196,39 +197,55 @@ def slides(documents: DataFrame) -> DataFrame:
     )
 
 
-def paginated_bullets(deck: DataFrame, per_slide: int = LINES_PER_SLIDE, per_line: int = CHARS_PER_LINE) -> DataFrame:
+def paginated_bullets(
+    deck: DataFrame, per_slide: int = LINES_PER_SLIDE, per_line: int = CHARS_PER_LINE, span: int = SPAN
+) -> DataFrame:
     """(doc_id, slide_no, part, title, bullets): slides without a table, cut so
     that each part fits; a title with nothing under it is still a slide.
 
-    Whether a piece goes on the next part depends on what filled this one, so
-    it is a fold over the slide's own pieces, carrying a part number per piece.
+    Whether a piece goes on the next part depends on what filled this one, so a
+    slide's pieces are walked in order. They are walked twice in blocks of
+    ``span``: once for the state in which each block is entered, carrying two
+    numbers, then inside each block for the part of every piece. So no array
+    grows beyond a block or the number of blocks. (doc_id, slide_no) is unique.
     """
+    zero = F.lit(0).cast("long")
+
+    def state(part: Column, filled: Column) -> Column:
+        return F.struct(part.alias("part"), filled.alias("filled"))
+
+    def place(at: Column, piece: Column) -> Column:
+        over = (at["filled"] > 0) & (at["filled"] + piece["cost"] > per_slide)
+        return state(at["part"] + over.cast("long"), F.when(over, zero).otherwise(at["filled"]) + piece["cost"])
+
+    def passed(steps: Column, start: Column, step) -> Column:
+        """The state before each step, and the last one."""
+        return F.aggregate(steps, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
     pieces = F.flatten(F.transform("bullets", lambda b: M.split_long(b, per_slide * per_line)))
     sized = F.transform(pieces, lambda p: F.struct(
         p.alias("text"), F.greatest(F.lit(1), F.ceil(display_width(p) / per_line)).cast("long").alias("cost")))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("part"), zero.alias("lines"), F.array().cast("array<bigint>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["lines"] > 0) & (acc["lines"] + x["cost"] > per_slide)
-        part = F.when(over, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(
-            part.alias("part"), (F.when(over, zero).otherwise(acc["lines"]) + x["cost"]).alias("lines"),
-            F.concat(acc["parts"], F.array(part)).alias("parts"),
-        )
-
-    placed = deck.where("table_block IS NULL").withColumn("pieces", sized).withColumn(
-        "parts", F.aggregate("pieces", start, step, lambda acc: acc["parts"])
+    numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("pieces") - 1) / span).cast("int")))
+    entries = passed(F.col("blocks"), state(zero, zero), lambda at, block: F.aggregate(block, at, place))
+    walked = (
+        deck.where("table_block IS NULL").select("doc_id", "slide_no", "title", sized.alias("pieces"))
+        .select("doc_id", "slide_no", "title", F.transform(numbers, lambda i: F.slice("pieces", i * span + 1, span)).alias("blocks"))
+        .select("doc_id", "slide_no", "title", F.posexplode(F.arrays_zip(
+            "blocks", F.slice(entries, F.lit(1), F.size("blocks")).alias("entry"))).alias("block", "b"))
     )
-    count = F.coalesce(F.array_max("parts"), zero)
+    parts = F.transform(F.slice(passed(F.col("b.blocks"), F.col("b.entry"), place), 2, span), lambda at: at["part"])
+    placed = walked.select("doc_id", "slide_no", "title", "block", F.posexplode_outer(F.arrays_zip(
+        F.transform("b.blocks", lambda p: p["text"]).alias("text"), parts.alias("part"))).alias("no", "p"))
     return (
-        placed.select("doc_id", "slide_no", "title", "pieces", "parts", F.explode(F.sequence(zero, count)).alias("part"))
+        placed.groupBy("doc_id", "slide_no", F.coalesce("p.part", zero).alias("part"))
+        .agg(
+            F.any_value("title").alias("title"),
+            F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("block", "no", "p.text")))).alias("own"),
+        )
         .select(
             "doc_id", "slide_no", "part",
             F.when(F.col("part") > 0, F.concat("title", F.lit(" (cont.)"))).otherwise(F.col("title")).alias("title"),
-            F.transform(
-                F.filter(F.arrays_zip("pieces", "parts"), lambda z: z["parts"] == F.col("part")), lambda z: z["pieces"]["text"]
-            ).alias("bullets"),
+            F.transform("own", lambda x: x["text"]).alias("bullets"),
         )
     )
 

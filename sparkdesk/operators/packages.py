@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 CONTENT_TYPES = "[Content_Types].xml"
@@ -36,36 +36,58 @@ def rels_name_for(part: Column) -> Column:
 
 
 def package_problems(parts: DataFrame, overrides: DataFrame, defaults: DataFrame, rels: DataFrame, uses: DataFrame) -> DataFrame:
-    """(package_id, rule, item) for broken packages. Each rule is an anti join
-    on package and name.
+    """(package_id, rule, item) for broken packages.
 
     ``parts`` (package_id, name), ``overrides`` (package_id, part_name),
     ``defaults`` (package_id, extension), ``rels`` (package_id, rels_name,
-    rel_id, target, external), ``uses`` (package_id, part, rel_id). A package
-    names each part once, and an anti join does not mind repeats on its right.
+    rel_id, target, external), ``uses`` (package_id, part, rel_id).
+
+    Each input is read once: its rows say what they name (a part, or a
+    relationship), as what, and which rule is broken if nobody answers for the
+    name. Rows alike are counted before they meet by package and name, so one
+    part that everything points to stays small. A repeated row is reported as
+    often as it stands; a null names nothing.
     """
-    names = parts.select("package_id", "name")
-    declared = overrides.select("package_id", F.ltrim("part_name", F.lit("/")).alias("name"), F.col("part_name").alias("item"))
-    undeclared = (
-        names.where(F.col("name") != CONTENT_TYPES)
-        .join(declared.select("package_id", "name"), ["package_id", "name"], "left_anti")
-        .withColumn("extension", F.regexp_extract("name", r"([^.]*)$", 1))
-        .join(defaults.select("package_id", "extension"), ["package_id", "extension"], "left_anti")
-        .select("package_id", F.lit("undeclared part").alias("rule"), F.col("name").alias("item"))
+    none = F.lit(None).cast("string")
+
+    def fact(name: Column, as_: str, rule: str | None = None, item: Column = none, space: str = "part") -> Column:
+        return F.struct(
+            F.lit(space).alias("space"), name.alias("name"), F.lit(as_).alias("as"), F.lit(rule).cast("string").alias("rule"), item.alias("item")
+        )
+
+    name = F.col("name")
+    part = parts.select("package_id", fact(name, "part", "undeclared part", name).alias("f"))
+    declared = overrides.select(
+        "package_id", fact(F.ltrim("part_name", F.lit("/")), "declared", "declared but missing", F.col("part_name")).alias("f")
+    )
+    to = F.when(~F.col("external"), resolved(rels_owner_dir(F.col("rels_name")), F.col("target")))
+    targets = F.when(~F.col("external"), fact(F.col("to"), "target", "dangling target", F.concat_ws(" -> ", "target", "to")))
+    known = fact(F.concat("rels_name", F.lit("\0"), "rel_id"), "known", space="relationship")
+    related = rels.withColumn("to", to).select("package_id", F.explode(F.array_compact(F.array(known, targets))).alias("f"))
+    wanted = F.concat(rels_name_for(F.col("part")), F.lit("\0"), F.col("rel_id"))
+    used = uses.select(
+        "package_id", fact(wanted, "used", "undeclared relationship", F.concat_ws(": ", "part", "rel_id"), "relationship").alias("f")
     )
-    missing = declared.join(names, ["package_id", "name"], "left_anti").select(
-        "package_id", F.lit("declared but missing").alias("rule"), "item"
+
+    same = Window.partitionBy("package_id", "space", "name")
+    facts = (
+        part.unionByName(declared).unionByName(related).unionByName(used).select("package_id", "f.*")
+        .groupBy("package_id", "space", "name", "as", "rule", "item").agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({kind: F.bool_or(F.col("as") == kind).over(same) for kind in ("part", "declared", "known")})
     )
-    targets = rels.where(~F.col("external")).withColumn("name", resolved(rels_owner_dir(F.col("rels_name")), F.col("target")))
-    dangling = targets.join(names, ["package_id", "name"], "left_anti").select(
-        "package_id", F.lit("dangling target").alias("rule"), F.concat_ws(" -> ", "target", "name").alias("item")
+    met = F.when(F.col("as") == "part", F.col("declared")).when(F.col("as") == "used", F.col("known")).otherwise(F.col("part"))
+    named = F.col("package_id").isNotNull() & F.col("name").isNotNull()
+    open_ = facts.where("rule IS NOT NULL").where(~(met & named)).where(
+        (F.col("as") != "part") | (F.col("name") != CONTENT_TYPES)
     )
-    known = rels.select("package_id", "rels_name", "rel_id")
-    used = uses.withColumn("rels_name", rels_name_for(F.col("part")))
-    unknown = used.join(known, ["package_id", "rels_name", "rel_id"], "left_anti").select(
-        "package_id", F.lit("undeclared relationship").alias("rule"), F.concat_ws(": ", "part", "rel_id").alias("item")
+    # a part may be declared by its extension; other rows carry one that no default can have
+    extension = F.when(F.col("as") == "part", F.regexp_extract("name", r"([^.]*)$", 1)).otherwise(F.concat_ws("\0", F.lit(""), "as", "item"))
+    by_extension = defaults.select("package_id", "extension").distinct().withColumn("listed", F.lit(True))
+    return (
+        open_.withColumn("extension", extension).join(by_extension, ["package_id", "extension"], "left").where("listed IS NULL")
+        .select("package_id", "rule", "item", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("time"))
+        .select("package_id", "rule", "item")
     )
-    return undeclared.unionByName(missing).unionByName(dangling).unionByName(unknown)
 
 
 def path_rules(paths: DataFrame) -> DataFrame:

@@ -125,6 +125,32 @@ def test_pagination(spark):
     assert got == [("T", 10), ("T (cont.)", 10), ("T (cont.)", 3), ("Empty", 0)]
 
 
+def test_pagination_equals_a_fold_over_many_blocks(spark):
+    rng = random.Random(17)
+    schema = "doc_id long, slide_no long, title string, bullets array<string>, table_block long"
+    decks = [(d, s, f"T{d}", ["x" * rng.randrange(1, 45) for _ in range(rng.choice([0, 1, 4, 5, 16, 17, 63, 64, 65, 300]))], None)
+             for d in (1, 2, None) for s in range(12)]
+    decks.append((9, 0, "table", ["y"], 3))
+    want = {}
+    for d, s, title, bullets, table in decks:
+        if table is not None:
+            continue
+        part = filled = 0
+        want[d, s, 0] = (title, [])
+        for b in bullets:
+            cost = -(-len(b) // 5)
+            if filled and filled + cost > 10:
+                part, filled = part + 1, 0
+                want[d, s, part] = (title + " (cont.)", [])
+            filled += cost
+            want[d, s, part][1].append(b)
+    for span in (4, 256):
+        got = M.paginated_bullets(spark.createDataFrame(decks, schema), per_line=5, span=span).collect()
+        assert len(got) == len(want)
+        assert {(r["doc_id"], r["slide_no"], r["part"]): (r["title"], r["bullets"]) for r in got} == want
+    assert M.paginated_bullets(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_reading_order(spark):
     def frag(y, x, width, text, page=1):
         return (page, y - 0.02, y, x, x + width, text)
@@ -146,6 +172,48 @@ def test_gutters_equal_brute_force(spark):
     assert {(r["page_id"], r["gap"]) for r in Y.gutters(df).collect()} == want
 
 
+def test_package_problems_equal_brute_force(spark):
+    rng = random.Random(5)
+    names = ["word/a.xml", "word/b.xml", "c.rels", "d.png", G.CONTENT_TYPES, None]
+    some = lambda xs: rng.choice(xs)
+    ids = [1, 1, 1, 2, None]  # one package holds most rows
+    parts = [(some(ids), some(names)) for _ in range(12)]
+    overrides = [(some(ids), some(["/word/a.xml", "word/a.xml", "/e.xml", "/d.png", None])) for _ in range(14)]
+    defaults = [(some(ids), some(["xml", "rels", None])) for _ in range(3)]
+    rels = [(some(ids), some(["word/_rels/a.xml.rels", "_rels/c.rels.rels", None]), some(["r1", "r2", None]), some(["b.xml", "/d.png", "gone", None]),
+             some([False, False, True, None])) for _ in range(40)]
+    uses = [(some(ids), some(["word/a.xml", "c.rels", None]), some(["r1", "r2", "r3", None])) for _ in range(40)]
+    make = spark.createDataFrame
+    p, o, d = make(parts, "package_id long, name string"), make(overrides, "package_id long, part_name string"), make(defaults, "package_id long, extension string")
+    r = make(rels, "package_id long, rels_name string, rel_id string, target string, external boolean")
+    u = make(uses, "package_id long, part string, rel_id string")
+
+    def has(rows, *key):
+        return None not in key and any(x == key for x in rows)
+
+    want = []
+    declared = [(k, n and n.lstrip("/")) for k, n in overrides]
+    for k, n in parts:
+        if n not in (None, G.CONTENT_TYPES) and not has(declared, k, n) and not has(defaults, k, n.rsplit(".", 1)[-1]):
+            want.append((k, "undeclared part", n))
+    for (k, n), (_, item) in zip(declared, overrides):
+        if not has(parts, k, n):
+            want.append((k, "declared but missing", item))
+    for k, f, _, t, external in rels:
+        base = "word/" if f and f.startswith("word/") else ""
+        to = None if t is None else t[1:] if t.startswith("/") else base + t
+        if external is False and not has(parts, k, to):
+            want.append((k, "dangling target", " -> ".join(x for x in (t, to) if x is not None)))
+    known = [x[:3] for x in rels]
+    for k, n, i in uses:
+        f = None if n is None else "word/_rels/a.xml.rels" if n.startswith("word/") else "_rels/c.rels.rels"
+        if not has(known, k, f, i):
+            want.append((k, "undeclared relationship", ": ".join(x for x in (n, i) if x is not None)))
+    got = G.package_problems(p, o, d, r, u)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len({x[1] for x in want}) == 4
+    assert G.package_problems(*(x.limit(0) for x in (p, o, d, r, u))).count() == 0
+
+
 def test_resolved_targets(spark):
     cases = [("word", "media/a.png", "word/media/a.png"), ("word", "../a.xml", "a.xml"), ("word", "/word/b.xml", "word/b.xml"), ("", "./c/../d.xml", "d.xml")]
     df = spark.createDataFrame(cases, "base string, target string, want string")
