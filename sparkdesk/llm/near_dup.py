@@ -9,10 +9,16 @@ Equal sets are one class, found by a hash of the set, and only its smallest id
 goes on. In a band bucket every member is paired with one leader; each band
 draws another leader. Pairs are verified on full sets, and components follow.
 Where a bucket still spans several components, its members outside the leader's
-component meet all members, in blocks that carry the full sets: a pair that the
-bucket is the first to show, of different components and with like sketches, is
-verified on the spot, and two components need one link. So no pair is ever a
-row, and no link between components that the bands show is lost.
+component meet all members, in blocks bounded by rows and by shingles. A first
+pass over the blocks compares sketches and keeps the rows that have a partner: a
+pair that the bucket is the first to show, of different components and with like
+sketches. Only these rows get their full sets, and a second pass verifies their
+pairs on the spot, where two components need one link. So no pair is ever a row,
+and no link between components that the bands show is lost.
+
+Joins on a bucket split the large ones: at most ``HOT_BUCKETS`` can hold more than
+that share of all entries, so their leaders are broadcast; later joins know a
+bucket's size and cut it by hashed id.
 
 Defined results: a null or empty text has an empty set and is its own component;
 rows that share an id are one document, with the links of any of them; a row
@@ -23,7 +29,7 @@ table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +46,9 @@ BINS = 128
 ROWS = 4  # bins in a band; a pair at the threshold is missed by all 32 bands once in 200,000
 ALIKE = 70  # equal bins of 128 that a pair needs to be verified later: 5 deviations under the threshold
 MINOR_BLOCK, MAJOR_BLOCK = 512, 2048
+BLOCK_ITEMS = 4_000_000  # shingles of a side of a block, nearly; one set is never cut
+HOT_ROWS = 1024  # rows of a bucket that one task of a join takes
+HOT_BUCKETS = 100_000  # of 32 bytes each: the most that are broadcast
 
 _SKETCHED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -150,27 +159,51 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _likeness(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, Callable]:
+    """Minor and other rows of a block, codes of their components, and what a minor row may be near to."""
+    x, y = f[f["minor"]].reset_index(drop=True), f[~f["minor"]].reset_index(drop=True)
+    sigs = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(len(y), BINS)
+    keys = np.stack(y["bands"]) if len(y) else np.empty((0, BINS // ROWS), dtype=np.int64)
+    ids, sizes = y["id"].to_numpy(), y["n_items"].to_numpy()
+    codes, _ = pd.factorize(pd.concat([y["component"], x["component"]]))
+    band, leader = int(f["band"].iloc[0]), f["leader"].iloc[0]
+
+    def look(i: int) -> np.ndarray:
+        """Rows of ``y`` that this bucket is the first to show with row i of ``x``, with like sketches."""
+        if x["id"][i] == leader:
+            return np.zeros(len(y), dtype=bool)
+        n = x["n_items"][i]
+        shared = keys[:, : band + 1] == np.asarray(x["bands"][i])[: band + 1]
+        same = (sigs == np.frombuffer(x["sig"][i], dtype=np.uint8)).sum(axis=1)
+        return (
+            shared[:, band] & ~shared[:, :band].any(axis=1) & (same >= ALIKE) & (ids != leader)
+            & (sizes * 100 >= n * PERCENT) & (n * 100 >= sizes * PERCENT)
+        )
+
+    return x, y, codes[len(y) :], codes[: len(y)], look
+
+
+def _with_partner(f: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block that have a partner of another component in it."""
+    x, y, own, comp, look = _likeness(f)
+    mine, others = np.zeros(len(x), dtype=bool), np.zeros(len(y), dtype=bool)
+    for i in range(len(x)):
+        found = look(i) & (comp != own[i])
+        mine[i] = found.any()
+        others |= found
+    return pd.concat([x[mine], y[others]])
+
+
 def _links_between(f: pd.DataFrame) -> pd.DataFrame:
     """Links of the ``minor`` rows with the others, enough to join their components."""
-    x, y = f[f["minor"]], f[~f["minor"]].reset_index(drop=True)
-    sigs = np.frombuffer(b"".join(y["sig"]), dtype=np.uint8).reshape(len(y), -1)
-    keys = np.stack(y["bands"])
-    ids, sizes, items = y["id"].to_numpy(), y["items"].map(len).to_numpy(), y["items"].to_numpy()
-    codes, labels = pd.factorize(pd.concat([y["component"], x["component"]]))
-    root = np.arange(len(labels))  # of each component, as links join them
-    comp, own = codes[: len(y)], codes[len(y) :]
-    band, leader, a, b = int(f["band"].iloc[0]), f["leader"].iloc[0], [], []
-    for i, c, s, held, mine in zip(x["id"], own, x["sig"], x["bands"], x["items"]):
-        if i == leader:
-            continue
-        same = sigs == np.frombuffer(s, dtype=np.uint8)
-        shared = keys[:, : band + 1] == np.asarray(held)[: band + 1]
-        mine, n = np.sort(mine), len(mine)  # in the order of signed integers
-        look = (
-            shared[:, band] & ~shared[:, :band].any(axis=1) & (same.sum(axis=1) >= ALIKE) & (root[comp] != root[c])
-            & (ids != leader) & (sizes * 100 >= n * PERCENT) & (n * 100 >= sizes * PERCENT)
-        )
-        at = np.flatnonzero(look)
+    x, y, own, comp, look = _likeness(f.assign(n_items=f["items"].map(len)))
+    ids, sizes, items = y["id"].to_numpy(), y["n_items"].to_numpy(), y["items"].to_numpy()
+    root = np.arange(len(x) + len(y))  # of each component, as links join them
+    a, b = [], []
+    for i in range(len(x)):
+        c, mine = own[i], np.sort(x["items"][i])  # in the order of signed integers
+        n = len(mine)
+        at = np.flatnonzero(look(i) & (root[comp] != root[c]))
         if not len(at):
             continue
         flat = np.concatenate([items[j] for j in at])
@@ -179,11 +212,19 @@ def _links_between(f: pd.DataFrame) -> pd.DataFrame:
         for j in at[common * 100 >= (sizes[at] + n - common) * PERCENT]:
             if root[comp[j]] != root[c]:
                 root[root == root[comp[j]]] = root[c]
-                a.append(min(i, ids[j]))
-                b.append(max(i, ids[j]))
+                a.append(min(x["id"][i], ids[j]))
+                b.append(max(x["id"][i], ids[j]))
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
+def _by_bucket(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of (bucket, id, n) with the facts of their bucket; a bucket of n rows is cut by hashed id."""
+    parts = F.ceil(F.col("n") / HOT_ROWS)
+    cut = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(11)), parts))
+    every = facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return cut.join(every, ["bucket", "part"]).drop("part")
+
+
 def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between components that meet in a bucket, beyond those with its leader."""
     labelled = (
@@ -192,20 +233,20 @@ def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
     )
     main = F.max(F.when(F.col("id") == F.col("leader"), F.col("component")))
     mixed = (
-        labelled.groupBy("bucket").agg(
-            main.alias("main"), F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        ).where("lo <> hi").select("bucket", "main", "size")
+        labelled.groupBy("bucket", "n").agg(main.alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi").select("bucket", "n", "main")
     )
-    rows = stage(labelled.drop("n").join(mixed, "bucket"), "near-mixed")
-    minors = rows.where("component <> main").groupBy("bucket").agg(F.count(F.lit(1)).alias("minors"))
-    spread = F.xxhash64("id", F.lit(7))
-    rows = (
-        rows.join(minors, "bucket").join(sigs, "id").join(sets, "id")
-        .withColumn("bi", F.ceil(F.col("minors") / MINOR_BLOCK).cast("int"))
-        .withColumn("bj", F.ceil(F.col("size") / MAJOR_BLOCK).cast("int"))
+    rows = stage(_by_bucket(labelled, mixed).join(sigs.select("id", "n_items"), "id"), "near-mixed")
+    minor = F.col("component") != F.col("main")
+    blocks = lambda count, items, most: F.ceil(F.greatest(count / most, items / BLOCK_ITEMS)).cast("int")
+    facts = rows.groupBy("bucket", "n").agg(
+        blocks(F.count_if(minor), F.sum(F.when(minor, F.col("n_items"))), MINOR_BLOCK).alias("bi"),
+        blocks(F.count(F.lit(1)), F.sum("n_items"), MAJOR_BLOCK).alias("bj"),
     )
-    keep = ["bucket", "band", "id", "component", "leader", "sig", "bands", "items"]
-    small = rows.where("component <> main").select(
+    rows = _by_bucket(rows, facts).join(sigs.drop("n_items"), "id")
+    spread = F.xxhash64("id", F.lit(7))
+    keep = ["bucket", "band", "id", "component", "leader", "n_items", "sig", "bands"]
+    small = rows.where(minor).select(
         *keep, F.lit(True).alias("minor"), F.pmod(spread, F.col("bi")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"),
     )
@@ -213,7 +254,19 @@ def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
         *keep, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"),
         F.pmod(spread, F.col("bj")).cast("int").alias("j"),
     )
-    return small.unionByName(every).groupBy("bucket", "i", "j").applyInPandas(_links_between, "a long, b long").distinct()
+    cells = small.unionByName(every)
+    schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in cells.schema)
+    near = stage(cells.groupBy("bucket", "i", "j").applyInPandas(_with_partner, schema), "near-partners")
+    return near.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_links_between, "a long, b long").distinct()
+
+
+def _with_leaders(entries: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
+    """Entries with their bucket's leader; the buckets that hold a large share of ``total`` aren't shuffled."""
+    # sizes add up to the total, so no more than HOT_BUCKETS can reach this one
+    large = F.col("n") >= max(HOT_ROWS, -(-total // HOT_BUCKETS))
+    hot = leaders.where(large)
+    rest = entries.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti")
+    return entries.join(F.broadcast(hot), "bucket").unionByName(rest.join(leaders.where(~large), "bucket"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -221,7 +274,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = stage(sketch_documents(docs), "near-sketches")
     classes = (
         sketched.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .agg(
+            F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+            F.first("n_shingles").alias("n_items"),
+        )
     )
     classes = stage(classes, "near-classes")
     entries = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
@@ -230,7 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id")).alias("l"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("bucket", F.col("l.id").alias("leader"), "n")
     )
-    members = stage(entries.join(leaders, "bucket"), "near-members")
+    members = stage(_with_leaders(entries, stage(leaders, "near-leaders"), classes.count() * (BINS // ROWS)), "near-members")
     pairs = stage(members.where("id <> leader").select(*_ordered("id", "leader")).distinct(), "near-pairs")
     sets = stage(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "near-sets")
     links = verified(pairs, sets)
@@ -243,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     links = stage(links.unionAll(repeated.distinct()), "near-links")
     comps = components(links)
-    later = stage(_missing_links(members, comps, classes.select("id", "sig", "bands"), sets), "near-later")
+    later = stage(_missing_links(members, comps, classes.select("id", "n_items", "sig", "bands"), sets), "near-later")
     if not later.isEmpty():
         comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(later), "near-final")
     own = classes.select("set_key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select(

@@ -179,6 +179,18 @@ def test_groups_without_a_centre(spark):
     assert {r.doc_id: r.component_id for r in rows} == want and 1 < len(set(want.values())) < 40
 
 
+def test_groups_in_many_blocks(spark, monkeypatch):
+    """Buckets that are cut for joins, and blocks cut by rows or by shingles, lose no link."""
+    hub = [f"h{i}" for i in range(120)]
+    cut = lambda k, n: " ".join(x if not (k * 7) % 110 <= j < (k * 7) % 110 + n else f"s{k}_{j}" for j, x in enumerate(hub))
+    docs = [(k, cut(k, 9 if k % 4 else 5)) for k in range(40)]
+    want = components_of(docs)
+    for name, value in (("MINOR_BLOCK", 3), ("MAJOR_BLOCK", 5), ("HOT_ROWS", 4), ("BLOCK_ITEMS", 300)):
+        monkeypatch.setattr(near_dup, name, value)
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 40 and {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_links_between_components():
     texts = ["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o q", "a b c d e f g h i j k l m n o r", "z b c d e f g h i j k l m n o p"]
     items = [near_dup.shingles(t).view(np.int64) for t in texts]
