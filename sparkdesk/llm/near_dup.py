@@ -9,12 +9,11 @@ Equal sets are one class, found by a hash of the set, and only its smallest id
 goes on. In a band bucket every member is paired with one leader; each band
 draws another leader. Pairs are verified on full sets, and components follow.
 Where a bucket still spans several components, its members outside the leader's
-component meet all members, in blocks bounded by rows and by shingles. A first
-pass over the blocks compares sketches and keeps the rows that have a partner: a
-pair that the bucket is the first to show, of different components and with like
-sketches. Only these rows get their full sets, and a second pass verifies their
-pairs on the spot, where two components need one link. So no pair is ever a row,
-and no link between components that the bands show is lost.
+component meet all members, in blocks that carry the full sets, bounded by rows
+and by shingles: a pair that the bucket is the first to show, of different
+components and with like sketches, is verified on the spot, and two components
+need one link. So no pair is ever a row, and no link between components that the
+bands show is lost.
 
 Joins on a bucket split the large ones: at most ``HOT_BUCKETS`` can hold more than
 that share of all entries, so their leaders are broadcast; later joins know a
@@ -183,17 +182,6 @@ def _likeness(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray,
     return x, y, codes[len(y) :], codes[: len(y)], look
 
 
-def _with_partner(f: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a block that have a partner of another component in it."""
-    x, y, own, comp, look = _likeness(f)
-    mine, others = np.zeros(len(x), dtype=bool), np.zeros(len(y), dtype=bool)
-    for i in range(len(x)):
-        found = look(i) & (comp != own[i])
-        mine[i] = found.any()
-        others |= found
-    return pd.concat([x[mine], y[others]])
-
-
 def _links_between(f: pd.DataFrame) -> pd.DataFrame:
     """Links of the ``minor`` rows with the others, enough to join their components."""
     x, y, own, comp, look = _likeness(f.assign(n_items=f["items"].map(len)))
@@ -243,9 +231,9 @@ def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
         blocks(F.count_if(minor), F.sum(F.when(minor, F.col("n_items"))), MINOR_BLOCK).alias("bi"),
         blocks(F.count(F.lit(1)), F.sum("n_items"), MAJOR_BLOCK).alias("bj"),
     )
-    rows = _by_bucket(rows, facts).join(sigs.drop("n_items"), "id")
+    rows = _by_bucket(rows, facts).join(sigs.drop("n_items"), "id").join(sets, "id")
     spread = F.xxhash64("id", F.lit(7))
-    keep = ["bucket", "band", "id", "component", "leader", "n_items", "sig", "bands"]
+    keep = ["bucket", "band", "id", "component", "leader", "sig", "bands", "items"]
     small = rows.where(minor).select(
         *keep, F.lit(True).alias("minor"), F.pmod(spread, F.col("bi")).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"),
@@ -254,10 +242,7 @@ def _missing_links(members: DataFrame, comps: DataFrame, sigs: DataFrame, sets:
         *keep, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"),
         F.pmod(spread, F.col("bj")).cast("int").alias("j"),
     )
-    cells = small.unionByName(every)
-    schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in cells.schema)
-    near = stage(cells.groupBy("bucket", "i", "j").applyInPandas(_with_partner, schema), "near-partners")
-    return near.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_links_between, "a long, b long").distinct()
+    return small.unionByName(every).groupBy("bucket", "i", "j").applyInPandas(_links_between, "a long, b long").distinct()
 
 
 def _with_leaders(entries: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
