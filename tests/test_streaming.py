@@ -69,3 +69,16 @@ def test_a_quiet_request_ends_over_its_gap(spark, tmp_path):
     finally:
         query.stop()
     assert [(r.request_id, r.reply, r.failed) for r in rows] == [(1, "ac", False)]
+
+
+def test_lines_ahead_are_kept_in_runs(spark, tmp_path):
+    """Lines ahead, sent twice and in overlapping parts, make a few entries of state; each counts once."""
+    line = lambda i: (1, i, token(f"{i} "))
+    batches = [
+        [line(i) for i in range(200, 500)], [line(i) for i in range(100, 300)], [line(i) for i in range(200, 500)],
+        [line(i) for i in range(0, 90)], [line(i) for i in range(95, 100)], [line(i) for i in range(90, 95)], [(1, 500, "data: [DONE]")],
+    ]
+    got, progress = run(spark, tmp_path, batches, max_waiting=450)
+    assert [r[:4] for r in got] == [(1, "".join(f"{i} " for i in range(500)), False, False)]
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in progress if p["numInputRows"]]
+    assert len(updated) == 7 and max(updated) <= 8
