@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkdesk.functions.text import is_readable
 
@@ -39,7 +39,10 @@ def record_states(parsed: DataFrame) -> DataFrame:
 
     A run ends at its first end record that names two readers and follows a
     record of each; anything after it is out of place. Only the first record
-    of a reader counts. The places that decide this are minima per run.
+    of a reader counts. The places that decide this are minima per run, in
+    windows without an order, so records are parsed once and share one shuffle;
+    whether a record has ``readable`` text is settled before it, so that pages
+    move only if the caller wants them.
     """
     r = F.col("r")
     valid = (
@@ -51,13 +54,17 @@ def record_states(parsed: DataFrame) -> DataFrame:
         .when((r["record"] == "reader") & F.coalesce(valid, F.lit(False)), "reader")
         .when(r["record"] == "reader", "invalid").otherwise("unknown"),
     )
-    first = lambda name: F.min(F.when((F.col("type") == "reader") & (r["reader"] == name), F.col("seq")))
-    firsts = typed.groupBy("run_id").agg(first("current").alias("first_current"), first("pdfkit").alias("first_pdfkit"))
-    placed = typed.join(firsts, "run_id")
-    ends = (F.col("type") == "end") & (r["readers"] == 2) & (F.col("first_current") < F.col("seq")) & (
+    run = Window.partitionBy("run_id")
+    first = lambda name: F.min(F.when((F.col("type") == "reader") & (F.col("reader") == name), F.col("seq"))).over(run)
+    readable = F.exists(F.coalesce(r["result"]["pages"], F.array().cast("array<string>")), is_readable)
+    placed = typed.where("run_id IS NOT NULL").select(
+        "run_id", "seq", "type", "problem", r["reader"].alias("reader"), r["readers"].alias("readers"),
+        r["result"]["pages"].alias("pages"), readable.alias("readable"),
+    ).withColumns({"first_current": first("current"), "first_pdfkit": first("pdfkit")})
+    ends = (F.col("type") == "end") & (F.col("readers") == 2) & (F.col("first_current") < F.col("seq")) & (
         F.col("first_pdfkit") < F.col("seq"))
-    ended = placed.where(ends).groupBy("run_id").agg(F.min("seq").alias("end_seq"))
-    own_first = F.when(r["reader"] == "current", F.col("first_current")).otherwise(F.col("first_pdfkit"))
+    ended = placed.withColumn("end_seq", F.min(F.when(ends, F.col("seq"))).over(run))
+    own_first = F.when(F.col("reader") == "current", F.col("first_current")).otherwise(F.col("first_pdfkit"))
     error = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(F.col("seq") > F.col("end_seq"), "after the end")
@@ -65,14 +72,14 @@ def record_states(parsed: DataFrame) -> DataFrame:
         .when(F.col("type") == "invalid", "invalid reader")
         .when((F.col("type") == "reader") & (F.col("seq") > own_first), "reader repeated")
         .when(
-            (F.col("type") == "reader") & (r["reader"] == "pdfkit")
+            (F.col("type") == "reader") & (F.col("reader") == "pdfkit")
             & (F.col("first_current").isNull() | (F.col("first_current") > F.col("seq"))),
             "optional reader first",
         )
         .when(F.col("type") == "unknown", "unknown record")
     )
-    return placed.join(ended, "run_id", "left").select(
-        "run_id", "seq", "type", r["reader"].alias("reader"), r["result"]["pages"].alias("pages"), error.alias("error"),
+    return ended.select(
+        "run_id", "seq", "type", "reader", "pages", "readable", error.alias("error"),
         (F.col("seq") == F.col("end_seq")).alias("is_end"),
         ((F.col("type") == "reader") & (F.col("seq") == own_first)
          & (F.col("end_seq").isNull() | (F.col("seq") < F.col("end_seq")))).alias("accepted"),
@@ -82,13 +89,12 @@ def record_states(parsed: DataFrame) -> DataFrame:
 def comparison_classes(states: DataFrame, processes: DataFrame) -> DataFrame:
     """(run_id, class, readers): ``success`` needs a clean process and protocol
     and both readers; otherwise some readable text makes it ``partial``."""
-    readable = F.exists(F.coalesce("pages", F.array().cast("array<string>")), is_readable)
     ok = F.coalesce("accepted", F.lit(False))
     runs = states.groupBy("run_id").agg(
         F.count_if(ok).alias("readers"),
         F.bool_or(F.coalesce("is_end", F.lit(False))).alias("ended"),
         F.bool_and(F.col("error").isNull()).alias("clean"),
-        F.bool_or(ok & readable).alias("readable"),
+        F.bool_or(ok & F.col("readable")).alias("readable"),
     )
     finished = (
         (F.coalesce("status", F.lit(-1)) == 0) & F.col("signal").isNull() & F.col("reason").isNull()

@@ -49,7 +49,7 @@ def _pages(v: Column, reader: Column) -> Column:
     One reader numbers its pages from 1 and adds whether it saw graphics:
     ``[[[1, {Ok|Err}], ...], flag]``; the other lists them: ``[{Ok|Err}, ...]``.
     """
-    items = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>"))
+    items = lambda x: F.try_variant_get(x, "$", "array<variant>")
     page = lambda p: F.coalesce(F.schema_of_variant(p).isin(PAGE_SHAPES), F.lit(False))
     text = lambda p: F.try_variant_get(p, "$.Ok", "string")
     ok = F.try_variant_get(v, "$.result.Ok", "variant")
@@ -76,16 +76,17 @@ def parse_records(lines: DataFrame) -> DataFrame:
     other = F.when(v.isNull(), "malformed").otherwise("not an object")
     opens = F.ltrim("line").startswith("{")
     parsed = held.withColumn("v", v).withColumn("r", r)
-    result = F.try_variant_get("v", "$.result", "variant")
-    shape = F.schema_of_variant(result)
-    one_key = F.size(F.json_object_keys(F.to_json(result))) == 1
-    pages = F.when(one_key & shape.startswith("OBJECT<Ok: "), _pages(F.col("v"), F.col("r.reader")))
-    body = F.when(shape == "OBJECT<Err: STRING>", F.struct(F.lit(None).cast("array<string>").alias("pages"))).when(
-        pages.isNotNull(), F.struct(pages.alias("pages"))
+    # the names in the result, without a look at what is below them
+    names = F.map_keys(F.try_variant_get("v", "$.result", "map<string,variant>"))
+    failed = F.schema_of_variant(F.try_variant_get("v", "$.result.Err", "variant")) == "STRING"
+    only = lambda name: F.coalesce((F.size("names") == 1) & (F.get("names", F.lit(0)) == name), F.lit(False))
+    parsed = parsed.withColumn("names", names).withColumn("pages", F.when(only("Ok"), _pages(F.col("v"), F.col("r.reader"))))
+    body = F.when(only("Err") & failed, F.struct(F.lit(None).cast("array<string>").alias("pages"))).when(
+        F.col("pages").isNotNull(), F.struct("pages")
     )
     return parsed.withColumn("r", F.struct("r.*", body.alias("result"))).withColumn(
         "problem", F.coalesce("broken", F.when(F.col("r._corrupt").isNotNull() & opens, "malformed").when(~opens, other))
-    ).drop("v", "broken")
+    ).drop("v", "broken", "names", "pages")
 
 
 MAX_LISTED = 400

@@ -105,6 +105,19 @@ def test_records_survive_a_malformed_line(spark, tmp_path):
     }
 
 
+def test_records_are_parsed_once(spark):
+    """Neither errors nor classes need a second look at the lines, and classes do not move the pages."""
+    lines = spark.createDataFrame([("r", 0, "[1]"), ("r", 1, '{"record":"end","readers":2}'), (None, 0, "[1]")], "run_id string, seq long, line string")
+    states = record_states(corpus.parse_records(lines))
+    assert sorted((r["seq"], r["error"]) for r in states.collect()) == [(0, "not an object"), (1, "end too early")]
+    processes = spark.createDataFrame([("r", 0, None, None, True)], "run_id string, status int, signal string, reason string, exit_confirmed boolean")
+    for df in (states.select("run_id", "seq", "error"), comparison_classes(states, processes)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") + plan.count("JsonToStructs") <= 1 and plan.count("try_parse_json") + plan.count("parse_json(") <= 1
+    window = plan[plan.index("Window"):].split("\n")[0]
+    assert "pages" not in window
+
+
 def test_manifest_and_inventory(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"version": 1, "documents": [{"id": "a"}, {"id": "b"}]}))
     assert corpus.read_manifest(spark, str(tmp_path / "m.json")).count() == 2
