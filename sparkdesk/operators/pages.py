@@ -298,14 +298,23 @@ def warning_kinds(pages: DataFrame, graphics: DataFrame) -> DataFrame:
 
 
 def word_set_differences(aligned: DataFrame) -> DataFrame:
-    """Pages whose word sets differ, in compatibility form and without case, with the words either side lacks."""
-    a, b = P.token_set(F.col("__a")), P.token_set(F.col("__b"))
+    """Pages whose word sets differ, in compatibility form and without case, with the words either side lacks.
+
+    Equal texts have equal words, so only pages whose texts differ are folded;
+    the words are in a generator, so that they are found once and not again to
+    tell whether any is left.
+    """
+    a_text, b_text = (F.coalesce(c, F.lit("")) for c in ("a_text", "b_text"))
+    lacking = F.transform(
+        F.array(F.struct(P.token_set(F.col("__a")).alias("a"), P.token_set(F.col("__b")).alias("b"))),
+        lambda w: F.struct(*(
+            F.array_join(F.array_sort(F.array_except(w[x], w[y])), " ").alias(f"only_{x}") for x, y in (("a", "b"), ("b", "a"))
+        )),
+    )
     return (
-        aligned.withColumns({"__a": P.folded(F.col("a_text")), "__b": P.folded(F.col("b_text"))}).select(
-            "doc_id", "page_no",
-            F.array_join(F.array_sort(F.array_except(a, b)), " ").alias("only_a"),
-            F.array_join(F.array_sort(F.array_except(b, a)), " ").alias("only_b"),
-        ).where("only_a <> '' OR only_b <> ''")
+        aligned.where(a_text != b_text)
+        .withColumns({"__a": P.folded(F.col("a_text")), "__b": P.folded(F.col("b_text"))})
+        .select("doc_id", "page_no", F.inline(F.filter(lacking, lambda d: (d["only_a"] != "") | (d["only_b"] != ""))))
     )
 
 

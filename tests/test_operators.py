@@ -349,6 +349,16 @@ def test_word_sets_are_compatibility_folded(spark):
     assert got == want and 0 not in got and 1 not in got
 
 
+def test_equal_texts_are_not_folded(spark):
+    """Pages with equal texts, or none, do not reach Python, and words are looked for once."""
+    rows = [(1, 1, "ﬁn", "ﬁn"), (2, 1, None, ""), (3, 1, "ﬁn a", "fin b")]
+    df = PG.word_set_differences(spark.createDataFrame(rows, "doc_id long, page_no long, a_text string, b_text string"))
+    assert [tuple(r) for r in df.collect()] == [(3, 1, "a", "b")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[plan.index("ArrowEvalPython"):]
+    assert "Filter" in before and plan.count("array_except") == 2
+
+
 def _batches(spark, path, numbers, every=4):
     write = SL.write_batch(path, compact_every=every)
     for n in numbers:
