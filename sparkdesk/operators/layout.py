@@ -18,52 +18,64 @@ MANY_COLUMNS = "it is laid out in more than one column, which this app cannot re
 
 
 def line_pieces(fragments: DataFrame) -> DataFrame:
-    """Fragments with the line they are on: (page_id, cluster, row, min_x, max_x, text).
+    """Lines with the fragments on them: (page_id, cluster, row, items), an item
+    being (top_down, min_x, min_y, text, max_x, max_y) in the order of the fold.
 
     A fragment joins the line above it when they overlap by more than half the
     shorter of the two, and the line grows with it, so lines are a fold from
     the top down. A fragment that lies below everything before it can join
     nothing: there the page is cut into clusters (a running minimum finds the
-    cuts), and the fold runs in each cluster on its own.
-    Everything is per page, and shares one shuffle of the fragments.
+    cuts), and the fold runs in each cluster on its own. While a cluster is one
+    line, that line's top is its first fragment's and its bottom the running
+    minimum, so windows see whether all of it joins, and only other clusters
+    are folded. A line is a run of items, because a line once left is closed.
+    Everything is per page, and shares one shuffle and one sort of the fragments.
     """
     w = Window.partitionBy("page_id").orderBy(F.desc("max_y"), F.asc("min_x"), F.asc("min_y"), F.asc("text"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lowest = F.min("min_y").over(w.rowsBetween(Window.unboundedPreceding, -1))
     cut = F.col("lowest").isNull() | (F.col("max_y") <= F.col("lowest"))
-    clustered = fragments.withColumn("lowest", lowest).withColumn("cluster", F.count_if(cut).over(w))
+    clustered = fragments.withColumn("lowest", lowest).withColumn("cut", cut).withColumns({
+        "cluster": F.count_if("cut").over(upto), "top": F.last(F.when(F.col("cut"), F.col("max_y")), ignorenulls=True).over(upto),
+    })
+
+    def joins(top: Column, bottom: Column, max_y: Column, min_y: Column) -> Column:
+        overlap = F.least(top, max_y) - F.greatest(bottom, min_y)
+        return overlap > 0.5 * F.least(top - bottom, max_y - min_y)
+
+    alone = F.col("cut") | joins(F.col("top"), F.col("lowest"), F.col("max_y"), F.col("min_y"))
     item = F.struct((-F.col("max_y")).alias("top_down"), "min_x", "min_y", "text", "max_x", "max_y")
-    grouped = clustered.groupBy("page_id", "cluster").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = clustered.groupBy("page_id", "cluster").agg(
+        F.sort_array(F.collect_list(item)).alias("items"), F.bool_and(F.coalesce(alone, F.lit(False))).alias("whole")
+    )
     start = F.struct(
-        F.lit(-1).alias("row"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast("array<int>").alias("rows")
+        F.lit(0).alias("n"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.array().cast("array<int>").alias("starts")
     )
 
     def step(acc: Column, f: Column) -> Column:
-        overlap = F.least(acc["top"], f["max_y"]) - F.greatest(acc["bottom"], f["min_y"])
-        shorter = F.least(acc["top"] - acc["bottom"], f["max_y"] - f["min_y"])
-        joins = (acc["row"] >= 0) & (overlap > 0.5 * shorter)
-        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        joined = (acc["n"] > 0) & joins(acc["top"], acc["bottom"], f["max_y"], f["min_y"])
         return F.struct(
-            row.alias("row"),
-            F.when(joins, F.greatest(acc["top"], f["max_y"])).otherwise(f["max_y"]).alias("top"),
-            F.when(joins, F.least(acc["bottom"], f["min_y"])).otherwise(f["min_y"]).alias("bottom"),
-            F.concat(acc["rows"], F.array(row)).alias("rows"),
+            (acc["n"] + 1).alias("n"),
+            F.when(joined, F.greatest(acc["top"], f["max_y"])).otherwise(f["max_y"]).alias("top"),
+            F.when(joined, F.least(acc["bottom"], f["min_y"])).otherwise(f["min_y"]).alias("bottom"),
+            F.when(joined, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["n"] + 1))).alias("starts"),
         )
 
-    rows = F.aggregate("items", start, step, lambda acc: acc["rows"])
-    return (
-        grouped.withColumn("rows", rows)
-        .select("page_id", "cluster", F.posexplode(F.arrays_zip("items", "rows")).alias("pos", "z"))
-        .select(
-            "page_id", "cluster", F.col("z.rows").alias("row"), "pos", F.col("z.items.min_x").alias("min_x"),
-            F.col("z.items.max_x").alias("max_x"), F.col("z.items.text").alias("text"),
-        )
-    )
+    # where lines start, from 1; the bound variable keeps the fold from being computed for each line
+    folded = F.flatten(F.transform(
+        F.array(F.aggregate("items", start, step, lambda acc: acc["starts"])),
+        lambda starts: F.transform(starts, lambda at, i: F.struct(
+            i.alias("row"), F.slice("items", at, F.coalesce(F.get(starts, i + 1), F.size("items") + 1) - at).alias("items"))),
+    ))
+    lines = F.when(F.col("whole"), F.array(F.struct(F.lit(0).alias("row"), F.col("items")))).otherwise(folded)
+    return grouped.select("page_id", "cluster", F.inline(lines))
 
 
 def text_lines(pieces: DataFrame) -> DataFrame:
     """One row per line: (page_id, cluster, row, text, gaps), its pieces from
     left to right; ``gaps`` are the middles of the wide spaces between them."""
-    items = F.array_sort(F.collect_list(F.struct("min_x", "pos", "max_x", "text")))
+    across = F.sort_array(F.transform("items", lambda x, i: F.struct(
+        x["min_x"].alias("min_x"), i.alias("pos"), x["max_x"].alias("max_x"), x["text"].alias("text"))))
     gaps = F.filter(
         F.transform(
             F.sequence(F.lit(2), F.size("items")),
@@ -75,7 +87,8 @@ def text_lines(pieces: DataFrame) -> DataFrame:
         lambda g: g["gap"] >= GUTTER_MIN_WIDTH,
     )
     words = F.filter(F.transform("items", lambda x: trimmed(x["text"])), lambda t: t != "")
-    return pieces.groupBy("page_id", "cluster", "row").agg(items.alias("items")).select(
+    # out of a generator, so that what reads the sorted pieces does not sort them again
+    return pieces.select("page_id", "cluster", "row", F.explode(F.array(across)).alias("items")).select(
         "page_id", "cluster", "row", F.array_join(words, " ").alias("text"),
         F.when(F.size("items") > 1, F.transform(gaps, lambda g: g["left"] + g["gap"] / 2))
         .otherwise(F.array().cast("array<double>")).alias("gaps"),
@@ -111,7 +124,7 @@ def reading_order(fragments: DataFrame) -> DataFrame:
     """
     said = F.when(F.col("text") != "", F.struct("cluster", "row", "text"))
     pages = text_lines(line_pieces(fragments)).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(said)).alias("lines"), F.array_sort(F.flatten(F.collect_list("gaps"))).alias("gaps")
+        F.sort_array(F.collect_list(said)).alias("lines"), F.sort_array(F.flatten(F.collect_list("gaps"))).alias("gaps")
     )
     close = lambda i: F.get("gaps", i) - F.get("gaps", i - 1) <= TOLERANCE
     columns = (F.size("gaps") >= GUTTER_MIN_ROWS) & F.exists(
