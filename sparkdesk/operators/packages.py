@@ -43,49 +43,49 @@ def package_problems(parts: DataFrame, overrides: DataFrame, defaults: DataFrame
     rel_id, target, external), ``uses`` (package_id, part, rel_id).
 
     Each input is read once: its rows say what they name (a part, or a
-    relationship), as what, and which rule is broken if nobody answers for the
-    name. Rows alike are counted before they meet by package and name, so one
-    part that everything points to stays small. A repeated row is reported as
-    often as it stands; a null names nothing.
+    relationship), as what, and under which item it is reported if nobody
+    answers for the name. They are sent once, by package and name, as little
+    more than that name; rows alike are counted where they arrive, and rule and
+    item are written out at the end. A repeated row is reported as often as it
+    stands; a null names nothing.
     """
     none = F.lit(None).cast("string")
 
-    def fact(name: Column, as_: str, rule: str | None = None, item: Column = none, space: str = "part") -> Column:
-        return F.struct(
-            F.lit(space).alias("space"), name.alias("name"), F.lit(as_).alias("as"), F.lit(rule).cast("string").alias("rule"), item.alias("item")
-        )
+    def fact(name: Column, as_: str, said: Column = none) -> Column:
+        return F.struct(name.alias("name"), F.lit(as_).alias("as"), said.alias("said"))
 
-    name = F.col("name")
-    part = parts.select("package_id", fact(name, "part", "undeclared part", name).alias("f"))
-    declared = overrides.select(
-        "package_id", fact(F.ltrim("part_name", F.lit("/")), "declared", "declared but missing", F.col("part_name")).alias("f")
-    )
+    part = parts.select("package_id", fact(F.col("name"), "part").alias("f"))
+    declared = overrides.select("package_id", fact(F.ltrim("part_name", F.lit("/")), "declared", F.col("part_name")).alias("f"))
     to = F.when(~F.col("external"), resolved(rels_owner_dir(F.col("rels_name")), F.col("target")))
-    targets = F.when(~F.col("external"), fact(F.col("to"), "target", "dangling target", F.concat_ws(" -> ", "target", "to")))
-    known = fact(F.concat("rels_name", F.lit("\0"), "rel_id"), "known", space="relationship")
+    targets = F.when(~F.col("external"), fact(F.col("to"), "target", F.col("target")))
+    known = fact(F.concat("rels_name", F.lit("\0"), "rel_id"), "known")
     related = rels.withColumn("to", to).select("package_id", F.explode(F.array_compact(F.array(known, targets))).alias("f"))
     wanted = F.concat(rels_name_for(F.col("part")), F.lit("\0"), F.col("rel_id"))
-    used = uses.select(
-        "package_id", fact(wanted, "used", "undeclared relationship", F.concat_ws(": ", "part", "rel_id"), "relationship").alias("f")
-    )
+    used = uses.select("package_id", fact(wanted, "used", F.concat_ws(": ", "part", "rel_id")).alias("f"))
 
-    same = Window.partitionBy("package_id", "space", "name")
+    same = Window.partitionBy("package_id", "name", "relationship")
     facts = (
         part.unionByName(declared).unionByName(related).unionByName(used).select("package_id", "f.*")
-        .groupBy("package_id", "space", "name", "as", "rule", "item").agg(F.count(F.lit(1)).alias("n"))
+        .repartition("package_id", "name")
+        .groupBy("package_id", "name", "as", "said").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("relationship", F.col("as").isin("known", "used"))
         .withColumns({kind: F.bool_or(F.col("as") == kind).over(same) for kind in ("part", "declared", "known")})
     )
     met = F.when(F.col("as") == "part", F.col("declared")).when(F.col("as") == "used", F.col("known")).otherwise(F.col("part"))
     named = F.col("package_id").isNotNull() & F.col("name").isNotNull()
-    open_ = facts.where("rule IS NOT NULL").where(~(met & named)).where(
+    open_ = facts.where("as <> 'known'").where(~(met & named)).where(
         (F.col("as") != "part") | (F.col("name") != CONTENT_TYPES)
-    )
+    ).select("package_id", "name", "as", "said", "n")
     # a part may be declared by its extension; other rows carry one that no default can have
-    extension = F.when(F.col("as") == "part", F.regexp_extract("name", r"([^.]*)$", 1)).otherwise(F.concat_ws("\0", F.lit(""), "as", "item"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("name", "said"), F.lit(1000)))
+    extension = F.when(F.col("as") == "part", F.regexp_extract("name", r"([^.]*)$", 1)).otherwise(spread)
     by_extension = defaults.select("package_id", "extension").distinct().withColumn("listed", F.lit(True))
+    rules = {"part": "undeclared part", "declared": "declared but missing", "target": "dangling target", "used": "undeclared relationship"}
+    rule = F.coalesce(*[F.when(F.col("as") == k, v) for k, v in rules.items()])
+    item = F.when(F.col("as") == "part", F.col("name")).when(F.col("as") == "target", F.concat_ws(" -> ", "said", "name")).otherwise(F.col("said"))
     return (
         open_.withColumn("extension", extension).join(by_extension, ["package_id", "extension"], "left").where("listed IS NULL")
-        .select("package_id", "rule", "item", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("time"))
+        .select("package_id", rule.alias("rule"), item.alias("item"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("time"))
         .select("package_id", "rule", "item")
     )
 

@@ -172,6 +172,46 @@ def test_gutters_equal_brute_force(spark):
     assert {(r["page_id"], r["gap"]) for r in Y.gutters(df).collect()} == want
 
 
+def test_lines_equal_a_fold(spark):
+    """Pages whose fragments overlap in chains, so that a cluster holds one line or many, against the fold in plain Python."""
+    rng = random.Random(11)
+    rows = []
+    for page in range(40):
+        for i in range(rng.randrange(1, 25)):
+            low = round(rng.random() * (0.3 if page % 2 else 3), 2)
+            rows.append((page, low, round(low + rng.choice([0.02, 0.05, 0.2]), 2), rng.choice([0.1, 0.3, 0.5]), 0.0, rng.choice(["a", " ", "b", "c"])))
+    df = spark.createDataFrame(rows, "page_id long, min_y double, max_y double, min_x double, max_x double, text string")
+    want = {}
+    for page in range(40):
+        lines, top, bottom = [], None, None
+        for _, lo, hi, x, _, t in sorted((r for r in rows if r[0] == page), key=lambda r: (-r[2], r[3], r[1], r[5])):
+            if lines and min(top, hi) - max(bottom, lo) > 0.5 * min(top - bottom, hi - lo):
+                top, bottom = max(top, hi), min(bottom, lo)
+                lines[-1].append((x, t))
+            else:
+                top, bottom = hi, lo
+                lines.append([(x, t)])
+        said = [" ".join(t for _, t in sorted(line, key=lambda p: p[0]) if t.strip()) for line in lines]
+        want[page] = sorted(said)
+    got = Y.text_lines(Y.line_pieces(df))
+    texts = {}
+    for r in got.collect():
+        texts.setdefault(r["page_id"], []).append(r["text"])
+    assert {k: sorted(v) for k, v in texts.items()} == want and len({len(v) for v in want.values()}) > 5
+    plan = Y.reading_order(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # a cluster and a page are gathered, a line is not
+
+
+def test_package_facts_are_sent_once(spark):
+    make = spark.createDataFrame
+    p, o, d = make([(1, "a.xml")] * 3, "package_id long, name string"), make([(1, "//b")] * 2, "package_id long, part_name string"), make([(1, "png")], "package_id long, extension string")
+    r = make([(1, "_rels/a.xml.rels", "r1", "b", False)], "package_id long, rels_name string, rel_id string, target string, external boolean")
+    df = G.package_problems(p, o, d, r, make([(1, "a.xml", "r1")], "package_id long, part string, rel_id string"))
+    assert sorted(map(tuple, df.collect())) == [(1, "dangling target", "b -> b")] + [(1, "declared but missing", "//b")] * 2 + [(1, "undeclared part", "a.xml")] * 3
+    with_names = [x for x in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].split("\n") if "Exchange hashpartitioning(package_id" in x and "name#" in x]
+    assert len(with_names) == 1
+
+
 def test_package_problems_equal_brute_force(spark):
     rng = random.Random(5)
     names = ["word/a.xml", "word/b.xml", "c.rels", "d.png", G.CONTENT_TYPES, None]
